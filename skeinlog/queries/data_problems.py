@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinlog.functions.ids import clean_id
 from skeinlog.operators.hierarchy import descendants, paths, resolve
 from skeinlog.operators.instants import normalize_instants
+from skeinlog.operators.shredding import flat_tables, nested_links, parse_content
 from skeinlog.runtime import table
 
 #: Table, key and field of each written time; fixed values.
@@ -75,10 +76,50 @@ def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
         descendants(rows.where("tree = 'session'")).select(F.lit("session").alias("tree"), "*"))
 
 
+#: Branch, path and depth of the lists of a request; fixed values.
+REQUEST_BRANCHES = {
+    "message.parts": ("message.parts", 2),
+    "response": ("response", 2),
+    "toolCallRounds": ("result.metadata.toolCallRounds", 2),
+    "toolCalls": ("result.metadata.toolCallRounds.toolCalls", 3),
+}
+
+
+def transcript_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``record`` of cursor_lines: an array of one struct with the line's key and content, for shredding."""
+    lines = table(spark, sf_dir, "cursor_lines").select("line_id", "raw")
+    return parse_content(lines, "raw", "line_id").select(F.array(F.struct("key", F.col("content").alias("message"))).alias("record"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: one row per non-null element of the nested arrays, with its parent's key and its place."""
+    chats = nested_links(table(spark, sf_dir, "vscode_chats"), "requests", REQUEST_BRANCHES, "requestId")
+    lines = nested_links(transcript_content(spark, sf_dir), "record", {"message.content": ("message", 2)}, "key")
+    return chats.select(F.lit("vscode_chats").alias("tbl"), "parent_key", "branch", "pos").unionByName(
+        lines.select(F.lit("cursor_lines").alias("tbl"), "parent_key", "branch", "pos")
+    ).distinct()
+
+
+def p6_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: the flat table of response elements, keyed by saved file and places."""
+    return flat_tables(table(spark, sf_dir, "vscode_chats"), "requests", "source_file")["response"].distinct()
+
+
 QUERIES = {
+    "p6_found": p6_found,
+    "p6_responses": p6_responses,
     "p1_found": p1_found,
     "p1_paths": p1_paths,
     "p1_descendants": p1_descendants,
     "p7_found": p7_found,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p6_responses": """
+        WITH files AS (SELECT DISTINCT source_file, requests FROM vscode_chats),
+        reqs AS (SELECT source_file, unnest(range(len(requests))) AS i, requests FROM files),
+        elements AS (SELECT source_file, i, requests[i + 1].response AS response, unnest(range(len(requests[i + 1].response))) AS j FROM reqs)
+        SELECT DISTINCT source_file, [CAST(i AS INTEGER)] AS places, CAST(j AS INTEGER) AS pos, response[j + 1].kind AS kind,
+               response[j + 1].value AS value, response[j + 1].content.value AS content_value, response[j + 1].toolId AS "toolId"
+        FROM elements WHERE response[j + 1] IS NOT NULL
+    """,
+}
