@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.functions.ids import clean_id
+from skeinlog.operators.drift import changes, unify
 from skeinlog.operators.hierarchy import descendants, paths, resolve
 from skeinlog.operators.instants import normalize_instants
 from skeinlog.operators.shredding import flat_tables, nested_links, parse_content
@@ -105,7 +106,19 @@ def p6_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tables(table(spark, sf_dir, "vscode_chats"), "requests", "source_file")["response"].distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 2: every change of fields between a file and the one before it."""
+    return changes(table(spark, sf_dir, "raw_lines"))
+
+
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 2: all lines in one table with consistent names of fields."""
+    return unify(table(spark, sf_dir, "raw_lines"))
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_unified": p2_unified,
     "p6_found": p6_found,
     "p6_responses": p6_responses,
     "p1_found": p1_found,
