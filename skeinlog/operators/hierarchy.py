@@ -270,6 +270,22 @@ def _path_batch(nodes, roots, depth, order, offsets, flat) -> pa.RecordBatch:  #
     })
 
 
+def gather_above(rows: DataFrame, piece: str) -> DataFrame:
+    """``rows`` without ``above`` and with the arrays in ``piece`` of all nodes above put in front of the own one.
+
+    ``rows`` has ``node, above, depth`` and other columns; ``above`` is null at roots. Every round joins the
+    piece that ends where the known one begins, so a depth of d takes log2(d) rounds.
+    """
+    cur = cut(rows)
+    deepest = cur.agg(F.max("depth")).first()[0] or 0
+    kept = [c for c in cur.columns if c not in ("above", piece)]
+    for _ in range(max(1, math.ceil(math.log2(deepest + 1)) + 1)):
+        up = cur.select(F.col("node").alias("__at"), F.col("above").alias("__next"), F.col(piece).alias("__piece"))
+        cur = cut(cur.join(up, F.col("above") == F.col("__at"), "left").select(
+            *kept, F.col("__next").alias("above"), F.when(F.col("__at").isNull(), F.col(piece)).otherwise(F.concat("__piece", piece)).alias(piece)))
+    return cur.drop("above")
+
+
 def paths(links: DataFrame, resolved: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """``node, root, depth, path``: the ids from the root down to the node; on or into a ring only the node itself.
 
@@ -285,14 +301,9 @@ def paths(links: DataFrame, resolved: DataFrame, slot_rows: int = SLOT_ROWS) ->
     out = ringed.unionByName(walked)
     if hot.isEmpty():
         return out
-    cur = cut(trees.join(hot, F.col("root") == F.col("hot_root"), "left_semi").select(
-        "node", "root", "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("above"), F.array("node").alias("path")))
-    deepest = cur.agg(F.max("depth")).first()[0]
-    for _ in range(max(1, math.ceil(math.log2(deepest + 1)) + 1)):
-        up = cur.select(F.col("node").alias("at"), F.col("above").alias("next"), F.col("path").alias("piece"))
-        cur = cut(cur.join(up, F.col("above") == F.col("at"), "left").select(
-            "node", "root", "depth", F.col("next").alias("above"), F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat("piece", "path")).alias("path")))
-    return out.unionByName(cur.drop("above"))
+    parts = trees.join(hot, F.col("root") == F.col("hot_root"), "left_semi").select(
+        "node", "root", "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("above"), F.array("node").alias("path"))
+    return out.unionByName(gather_above(parts, "path"))
 
 
 def descendants(path_rows: DataFrame) -> DataFrame:
