@@ -3,13 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skeinlog.functions.ids import clean_id
+from skeinlog.llm.conversations import conversations, infer_role, split_by_gaps
 from skeinlog.llm.lookalikes import lookalike_pairs, plain_text
 from skeinlog.llm.mixing import mix, shares
 from skeinlog.llm.tokens import encode, encode_with_offsets
+from skeinlog.operators.instants import normalize_instants
 from skeinlog.runtime import table
 
 
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``session_id, uuid, parent, role, at, has_text, channel`` of claude_messages."""
+    machines = table(spark, sf_dir, "machines").select("machine", "tz", "date_order")
+    rows = table(spark, sf_dir, "claude_messages").where("uuid is not null").join(machines, "machine", "left")
+    said = F.exists(F.coalesce("message.content", F.array()), lambda e: (e["type"] == "text") & F.coalesce(e["text"], F.lit("")).rlike(r"[^\s\x{85}\x{a0}\x{200b}\x{feff}\p{Z}]"))
+    picked = rows.select(
+        clean_id(F.col("sessionId")).alias("session_id"), clean_id(F.col("uuid")).alias("uuid"), clean_id(F.col("parentUuid")).alias("parent"),
+        infer_role(F.col("message.role"), F.col("type")).alias("role"), F.coalesce(said, F.lit(False)).alias("has_text"),
+        F.col("cwd").alias("channel"), "timestamp", "tz", "date_order",
+    )
+    return normalize_instants(picked, "timestamp", out="at").drop("timestamp", "tz", "date_order")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 5: the messages of every kept conversation in order, with roles."""
+    return conversations(chat_messages(spark, sf_dir))
+
+
+def p5_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 5: messages by directory, parted at calibrated inactivity gaps."""
+    rows = chat_messages(spark, sf_dir).where("channel is not null").select("channel", "uuid", "role", "at").distinct()
+    return split_by_gaps(rows, "channel", "at", "uuid")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 8: token ids of every document."""
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -41,6 +69,8 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_channels": p5_channels,
     "p8_ids": p8_ids,
     "p8_offsets": p8_offsets,
     "p9_mix": p9_mix,
