@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions.ids import clean_id
 from skeinlog.llm.conversations import conversations, infer_role, split_by_gaps
+from skeinlog.llm.defects import answer_text, defective_pairs
 from skeinlog.llm.lookalikes import lookalike_pairs, plain_text
 from skeinlog.llm.mixing import mix, shares
 from skeinlog.llm.tokens import encode, encode_with_offsets
@@ -14,6 +15,17 @@ from skeinlog.operators.instants import normalize_instants
 from skeinlog.runtime import table
 
 
+def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``request_id, question, answer`` of the requests in vscode_chats."""
+    requests = table(spark, sf_dir, "vscode_chats").select(F.explode("requests").alias("r")).where("r is not null")
+    return requests.select(F.col("r.requestId").alias("request_id"), F.col("r.message.text").alias("question"), answer_text(F.col("r.response")).alias("answer"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 3: requests with a defective answer."""
+    return defective_pairs(chat_pairs(spark, sf_dir))
+
+
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``session_id, uuid, parent, role, at, has_text, channel`` of claude_messages."""
     machines = table(spark, sf_dir, "machines").select("machine", "tz", "date_order")
@@ -69,6 +81,7 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_channels": p5_channels,
     "p8_ids": p8_ids,
