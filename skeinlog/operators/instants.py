@@ -159,4 +159,5 @@ def normalize_instants(df: DataFrame, value: str, zone: str = "tz", order: str =
     )
     offset = F.coalesce(F.col("fixed"), F.when(F.col("letters").isNotNull(), by_letters).otherwise(local))
     result = F.coalesce(F.col("direct"), F.col("wall") - offset)
-    return joined.select("row.*", result.alias(out))
+    # In two steps: a name among the row's own columns could else be taken for one used in the result.
+    return joined.select("row", result.alias("__us")).select("row.*", F.col("__us").alias(out))

@@ -25,18 +25,23 @@ def _get(v: str | Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.col(v) if isinstance(v, str) else v, f"$.{path}" if path else "$", kind)
 
 
+def plain_path() -> Column:
+    """The path of the row's file as it is on disk; Spark gives it as an address with its signs escaped."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, _ord, v``: the lines of files as variants, null for what is no JSON; numbered within each file.
 
     Files are read whole, so that numbers are those of the file; one file is one session and small.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("_ord", "line"))
+    whole = spark.read.text(path, wholetext=True).select(plain_path().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("_ord", "line"))
     return whole.where(F.trim("line") != "").select("path", F.col("_ord").cast("bigint").alias("_ord"), F.try_parse_json("line").alias("v"))
 
 
 def values(spark: SparkSession, path: str) -> DataFrame:
     """``path, v``: files that are one JSON value."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.try_parse_json("value").alias("v"))
+    return spark.read.text(path, wholetext=True).select(plain_path().alias("path"), F.try_parse_json("value").alias("v"))
 
 
 def content_text(v: Column) -> Column:
@@ -236,7 +241,7 @@ def vscode_log(spark: SparkSession, path: str, store: Store) -> DataFrame:
                 out.append(json.dumps(replay(changes)))
             yield pd.DataFrame({"path": pdf["path"], "chat": out})
 
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(plain_path().alias("path"), "value")
     return _chat_records(whole.mapInPandas(run, "path string, chat string").select("path", F.from_json("chat", CHAT).alias("chat")), store)
 
 
