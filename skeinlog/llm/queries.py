@@ -10,6 +10,7 @@ from skeinlog.llm.conversations import conversations, infer_role, split_by_gaps
 from skeinlog.llm.defects import answer_text, defective_pairs
 from skeinlog.llm.lookalikes import lookalike_pairs, plain_text
 from skeinlog.llm.mixing import mix, shares
+from skeinlog.llm.pii import found_items, mask_text
 from skeinlog.llm.tokens import encode, encode_with_offsets
 from skeinlog.operators.instants import normalize_instants
 from skeinlog.runtime import table
@@ -26,6 +27,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defective_pairs(chat_pairs(spark, sf_dir))
 
 
+def personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tbl, row_key, texts``: the free texts of the three tables, those of a message in one array; a key counts once."""
+    history = table(spark, sf_dir, "codex_history").select(F.lit("codex_history").alias("tbl"), F.col("row_id").cast("string").alias("row_key"), F.array("text").alias("texts"))
+    prompts = table(spark, sf_dir, "grok_prompts").select(F.lit("grok_prompts").alias("tbl"), F.col("row_id").cast("string").alias("row_key"), F.array("prompt").alias("texts"))
+    said = table(spark, sf_dir, "claude_messages").select(F.lit("claude_messages").alias("tbl"), clean_id(F.col("uuid")).alias("row_key"), F.transform("message.content", lambda e: e["text"]).alias("texts"))
+    rows = history.unionByName(prompts).unionByName(said)
+    return rows.where("row_key is not null and texts is not null").withColumn("texts", F.filter("texts", lambda t: t.isNotNull()))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 4: one row per item of personal information. Repeated rows are dropped where items are few: at the end."""
+    return found_items(personal_texts(spark, sf_dir), "texts").distinct()
+
+
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 4: the prompts of codex_history with typed placeholders."""
+    return mask_text(table(spark, sf_dir, "codex_history").select("row_id", "text"), "text", "masked").select("row_id", "masked").distinct()
+
+
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``session_id, uuid, parent, role, at, has_text, channel`` of claude_messages."""
     machines = table(spark, sf_dir, "machines").select("machine", "tz", "date_order")
@@ -82,6 +102,8 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_masked": p4_masked,
     "p5_found": p5_found,
     "p5_channels": p5_channels,
     "p8_ids": p8_ids,
