@@ -72,7 +72,7 @@ class Tagger:
         self.out = np.ascontiguousarray(weights["V"].transpose(0, 2, 1).astype(np.float32))  # (2, tags, h)
         self.bias = weights["b"].astype(np.float32)
         self.step = weights["A"].astype(np.float32)  # from, to
-        self.margin = 2 * float(self.step.max() - self.step[0, 0])
+        self.margin = 2 * float(self.step.max() - self.step.min())
 
     def scores(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Scores (place, tag, window) of windows of ``symbols``, which should be of similar length."""
@@ -108,19 +108,30 @@ class Tagger:
     def paths(self, score: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Best tags (place, text) of texts from their scores (place, tag, text).
 
-        A text in which no tag comes near "none" anywhere has no other best path; the others are decoded.
+        Where "none" leads by more than two transitions can ever make up for, every best path passes through it.
+        Only the stretches between such places are decoded, each from "none" to "none" but at the text's ends.
         """
-        longest, tags, n = score.shape
-        inside = np.arange(longest)[:, None] < size
-        near = (((score[:, 0] - score[:, 1:].max(axis=1)) < self.margin) & inside).any(axis=0)
+        longest, _, n = score.shape
         out = np.zeros((longest, n), np.int8)
-        todo = np.flatnonzero(near)
-        if not len(todo):
-            return out
-        own, live = np.ascontiguousarray(score[:, :, todo]), inside[:, todo]
-        back = np.empty((longest, tags, len(todo)), np.int8)
-        best, same = own[0].copy(), np.arange(tags, dtype=np.int8)[:, None]
-        for t in range(1, longest):
+        free = np.zeros((n, longest + 1), np.int8)
+        free[:, :-1] = ((score[:, 0] - score[:, 1:].max(axis=1) < self.margin) & (np.arange(longest)[:, None] < size)).T
+        edges = np.flatnonzero(np.diff(free.ravel(), prepend=0))
+        begin, length = edges[::2], edges[1::2] - edges[::2]
+        order = np.argsort(length, kind="stable")
+        for group in _groups(length[order]):
+            part = order[group]
+            self._decode(score, out, begin[part] % (longest + 1), begin[part] // (longest + 1), length[part], size)
+        return out
+
+    def _decode(self, score: np.ndarray, out: np.ndarray, begin: np.ndarray, column: np.ndarray, length: np.ndarray, size: np.ndarray) -> None:
+        steps, tags = int(length.max()), score.shape[1]
+        live = np.arange(steps)[:, None] < length
+        place = begin + np.minimum(np.arange(steps)[:, None], length - 1)
+        own = np.ascontiguousarray(score[place, :, column].transpose(0, 2, 1))
+        back = np.empty(own.shape, np.int8)
+        same = np.arange(tags, dtype=np.int8)[:, None]
+        best = own[0] + np.where(begin == 0, 0, self.step[0][:, None])
+        for t in range(1, steps):
             new, came = best[0] + self.step[0][:, None], back[t]
             came[...] = 0
             for k in range(1, tags):
@@ -128,17 +139,15 @@ class Tagger:
                 np.copyto(came, k, where=cand > new)
                 np.maximum(new, cand, out=new)
             new += own[t]
-            if live[t].all():
-                best = new
-            else:
-                back[t] = np.where(live[t], came, same)
-                best = np.where(live[t], new, best)
-        at, columns = best.argmax(axis=0), np.arange(len(todo))
-        for t in range(longest - 1, -1, -1):
-            out[t, todo] = np.where(live[t], at, 0)
+            back[t] = np.where(live[t], came, same)
+            best = np.where(live[t], new, best)
+        best = best + np.where(begin + length == size[column], 0, self.step[:, 0][:, None])
+        at, columns = best.argmax(axis=0).astype(np.int8), np.arange(len(begin))
+        for t in range(steps - 1, -1, -1):
+            here = live[t]
+            out[place[t, here], column[here]] = at[here]
             if t:
                 at = back[t, at, columns]
-        return out
 
     def tag(self, texts: list[str]) -> list[np.ndarray]:
         """Tags of every character of each text; equal texts are scored once."""
@@ -211,14 +220,27 @@ def _groups(length: np.ndarray) -> Iterator[slice]:
         at = upto
 
 
-#: What an item of a kind has at least; an exact check of what the model finds. Fixed values.
-SOUND = {
-    "email": re.compile(r"\w\s?(?:@|[\[(]\s?at\s?[\])]|\sat\s)\s?\w", re.I),
-    "phone": re.compile(r"^(?!.*\d[a-f]|.*[a-f]\d)(?=(?:.*?\d){7})", re.S),
-    "id_number": re.compile(r"(?:\d\D{0,3}){6}"),
-    "address": re.compile(r"(?=.*\d)(?=.*[^\W\d_]{3})", re.S),
-    "name": re.compile(r"[^\W\d_]+['’.,-]* +(?:[^\W\d_]+['’.-]* *)*[^\W\d_]{2}"),
-}
+#: The sign between the parts of an address of mail; fixed value.
+MAIL_SIGN = re.compile(r"\w\s?(?:@|[\[(]\s?at\s?[\])]|\sat\s)\s?\w", re.I)
+WORD = re.compile(r"[^\W\d_]+")
+HEX = re.compile(r"\d[a-f]|[a-f]\d")
+
+
+def sound(kind: str, said: str) -> bool:
+    """What an item of a kind has at least: an exact check, linear in its length, of what the model finds."""
+    digits = sum(c.isdigit() for c in said)
+    if kind == "email":
+        return bool(MAIL_SIGN.search(said)) and not REMOTE.search(said)
+    if kind == "phone":
+        return digits >= 7 and not HEX.search(said)
+    if kind == "id_number":
+        return digits >= 6
+    words = WORD.findall(said)
+    if kind == "address":
+        return digits > 0 and any(len(w) > 2 for w in words)
+    return len(words) > 1 and any(len(w) > 1 for w in words)
+
+
 REMOTE = re.compile(r"^git@|^pkg@|@[\w.-]*\d+\.\d+|@[\w-]+$")
 #: Numbers that go on behind a hyphen belong to a record id.
 GOES_ON = re.compile(r"-[0-9a-f]{3}", re.I)
@@ -241,6 +263,7 @@ def items(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
             runs.append([a, b, tag])
     runs.sort(key=lambda r: r[0] - r[1])
     taken: list[tuple[int, int, str]] = []
+    used = bytearray(len(text))
     for a, b, tag in runs:  # longer ones first
         while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
             a -= 1
@@ -248,11 +271,12 @@ def items(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
             b += 1
         kind = KINDS[tag - 1]
         said = text[a:b].strip()
-        if not SOUND[kind].search(said) or (kind == "email" and REMOTE.search(said)) or any(a < y and x < b for x, y, _ in taken):
+        if not sound(kind, said) or any(used[a:b]):
             continue
         if kind in ("id_number", "phone") and GOES_ON.match(text, b):
             continue
         taken.append((a, b, kind))
+        used[a:b] = b"\1" * (b - a)
     return sorted(taken)
 
 
