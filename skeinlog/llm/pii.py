@@ -238,7 +238,7 @@ def sound(kind: str, said: str) -> bool:
     words = WORD.findall(said)
     if kind == "address":
         return digits > 0 and any(len(w) > 2 for w in words)
-    return len(words) > 1 and any(len(w) > 1 for w in words)
+    return len(words) > 1 and any(len(w) > 1 for w in words) and "_" not in said
 
 
 REMOTE = re.compile(r"^git@|^pkg@|@[\w.-]*\d+\.\d+|@[\w-]+$")

@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skeinlog.llm import defects as D
+from skeinlog.llm import pii, pii_training
+
+ASKS = [("en", "How do I run {t} only for {f}?"), ("en", "Why does {w} in {f} fail?"), ("de", "Wie starte ich {t} nur für {f}?"), ("de", "Warum bricht {w} in {f} ab?"), ("fr", "Comment lancer {t} seulement pour {f} ?"), ("es", "¿Cómo ejecuto {t} solo para {f}?")]
+SAYS = {
+    "en": ["The root cause is in {f}, where {w} is called twice.", "After the change {w} takes only a third of that.", "Next I would add a test for {w} and run {t} again.", "Nobody noticed because {t} hides the warnings."],
+    "de": ["Der Fehler liegt in {f}, denn {w} wird dort zweimal aufgerufen.", "Nach der Änderung braucht {w} nur noch kurz.", "Bitte lösche den Zwischenspeicher nicht, bevor {t} durchgelaufen ist."],
+    "fr": ["L'erreur vient de {f}, où {w} est appelée deux fois.", "Après la modification, {w} ne prend plus que peu de temps.", "Évite de vider le cache avant que {t} ait terminé."],
+    "es": ["El fallo está en {f}, donde {w} se llama dos veces.", "Después del cambio, {w} necesita solo poco tiempo.", "No borres la caché hasta que {t} haya terminado."],
+}
+
+
+def pairs(n, seed):
+    r, m = random.Random(seed), pii_training.Maker(seed, [])
+    out = []
+    for _ in range(n):
+        language, q = r.choice(ASKS)
+        fill = lambda s: "".join(m.filler(p[1]) if p.startswith("{") else p for p in re.split(r"(\{\w\})", s))
+        out.append((fill(q), " ".join(fill(r.choice(SAYS[language])) for _ in range(r.randint(1, 3)))))
+    return out
+
+
+@pytest.fixture(scope="module")
+def model():
+    return D.train(pairs(500, 1), seed=3)
+
+
+def test_held_out_accuracy(model):
+    rows = D.synthesize(random.Random(9), pairs(150, 2))
+    found = model.decide([p for p, _ in rows])
+    right = sum((d is None and want < 0) or (want >= 0 and d == D.DEFECTS[want]) for d, (_, want) in zip(found, rows, strict=True))
+    assert right / len(rows) > 0.93
+
+
+def test_single_cases(model):
+    q = "How do I run make only for src/a/b.py?"
+    cases = [("", "empty"), ("​ \n", "empty"), ("I'm sorry, but I can't help with that request.", "refusal"), (q.upper(), "copy"), (f"> {q}", "copy"), ("Der Fehler liegt in src/a.py, denn load_x wird dort zweimal aufgerufen.", "language"),
+             ("The root cause is in src/a.py, where load_x is called twice. Next I would add a", "truncated"), ("The root cause is in src/a.py, where load_x is called twice.", None)]
+    assert model.decide([(q, a) for a, _ in cases]) == [d for _, d in cases]
+    assert model.decide([(q + " Answer in German, please.", cases[5][0])]) == [None]
+    assert D.visible("x") and not D.visible("﻿ \t")
+
+
+def test_query_shapes(spark):
+    rows = [(f"r{k}", q, a) for k, (q, a) in enumerate(pairs(300, 5))] + [("e1", "What?", None), ("e1", "What?", None), ("e2", None, "   "), (None, "q", "a"), ("big", "Why does it fail?", "The root cause is in src/a.py, where load_x is called twice. " * 800)]
+    df = spark.createDataFrame(rows, "request_id string, question string, answer string").withColumn("defect", F.lit(1))
+    found = [(r["request_id"], r["defect"]) for r in D.defective_pairs(df, sample=200).collect()]
+    got = dict(found)
+    assert len(found) == len(got) and got["e1"] == "empty" and got["e2"] == "empty" and "big" not in got and None not in got
+    assert len(got) < 30
+    assert D.defective_pairs(df.limit(0)).count() == 0
+
+
+def test_answer_text(spark):
+    df = spark.sql("select array(named_struct('kind', null, 'value', 'a', 'content', named_struct('value', 'no')), null, named_struct('kind', 'markdownContent', 'value', 'no', 'content', named_struct('value', 'b')), named_struct('kind', 'progressMessage', 'value', 'no', 'content', null)) as r")
+    assert df.select(D.answer_text(F.col("r")).alias("t")).first()["t"] == "ab"
+
+
+def test_items_in_made_texts():
+    maker = pii_training.Maker(77, [["please run the tests again", "Nobody noticed because make hides warnings."]])
+    made = [maker.text() for _ in range(400)]
+    right = wrong = missed = 0
+    for (text, tags), found in zip(made, pii.find_items([t for t, _ in made]), strict=True):
+        want = pii.items(text, np.array(tags, np.int8))
+        right, wrong, missed = right + len(set(want) & set(found)), wrong + len(set(found) - set(want)), missed + len(set(want) - set(found))
+    assert right / (right + missed) > 0.96 and right / (right + wrong) > 0.96
+
+
+def test_windows_are_reconciled():
+    filler = "Please keep the cache untouched until make is green again. " * 12
+    text = filler + "reach me on +1 (371) 555-0175 or edda.quill13@quillmail.example. " + filler + "my name is Priya Vaskander, please sign the commit with it. " + filler
+    assert [(text[a:b], k) for a, b, k in pii.find_items([text])[0]] == [("+1 (371) 555-0175", "phone"), ("edda.quill13@quillmail.example", "email"), ("Priya Vaskander", "name")]
+    assert pii.find_items([None, "", "x"]) == [[], [], []] and len(pii.find_items(["a b " * 5_000])[0]) == 0
+
+
+def test_batches_do_not_matter():
+    maker = pii_training.Maker(5, [])
+    texts = [maker.text()[0] for _ in range(60)] + ["short", "x" * 230]
+    together = pii.find_items(texts)
+    assert together == [pii.find_items([t])[0] for t in texts]
+
+
+def test_hard_negatives():
+    for text in ["clone git@forge.invalid:tools/ba48.git first", "install pkg@14.24.32 again", "@fixture breaks load_x", "bind load_x to 10.0.39.46 port 6205", "the request id is c6e17a91-7503-49ba-ab94-51662fd8d78c", "range 26-10-12 in src/a/b.md", "rename the Query Planner page"]:
+        assert pii.find_items([text])[0] == [], text
+
+
+def test_columns(spark):
+    df = spark.createDataFrame([(1, ["ask Aiko Ostiowitz about src/a.py", None, "cc edda@vask.invalid and hugo.brix3@tarnpost.test on it"], "k"), (2, None, "k"), (3, [], "k"), (4, [""], "k")], "id int, texts array<string>, kind string")
+    rows = sorted((r["id"], r["kind"], r["nth"]) for r in pii.found_items(df.drop("kind"), "texts").collect())
+    assert rows == [(1, "email", 1), (1, "email", 2), (1, "name", 1)]
+    one = spark.createDataFrame([(1, "ask Aiko Ostiowitz about it"), (2, None), (3, "")], "id int, text string")
+    assert {r["id"]: r["text"] for r in pii.mask_text(one, "text").collect()} == {1: "ask [NAME] about it", 2: None, 3: ""}
+    assert set(pii.mask_text(one, "text", "masked").columns) == {"id", "text", "masked"} and pii.found_items(df.drop("kind").limit(0), "texts").count() == 0
