@@ -345,19 +345,28 @@ def found_items(df: DataFrame, texts: str, path: str = MODEL) -> DataFrame:
 
 
 def mask_text(df: DataFrame, text: str, out: str | None = None, path: str = MODEL) -> DataFrame:
-    """``df`` with ``out`` (by default ``text`` itself): the text with typed placeholders; null stays null."""
+    """``df`` with ``out`` (by default ``text`` itself): the text with typed placeholders; null stays null.
+
+    ``text`` is a text or an array of texts, each of which is masked at its place.
+    """
     out = out or text
+    listed = isinstance(df.schema[text].dataType, T.ArrayType)
     rows, keep = _with_texts(df, text)
     names = [c for c in keep if c != out]
     rows = rows.select("__texts", *[F.col(f"`{c}`") for c in names], *([F.col("__texts").alias("__text")] if out != text else []))
-    schema = rows.drop("__texts").schema.add("__masked", T.StringType())
+    schema = rows.drop("__texts").schema.add("__masked", T.ArrayType(T.StringType()) if listed else T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tagger(path)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            given = batch.column(0).to_pylist()
+            texts = [t for row in given for t in (row or [])] if listed else given
             done = [masked(t, f) for t, f in zip(texts, find_items(texts, own), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(done, pa.string())], names=[*batch.schema.names[1:], "__masked"])
+            if listed:
+                each = iter(done)
+                done = [None if row is None else [next(each) for _ in row] for row in given]
+            column = pa.array(done, pa.list_(pa.string()) if listed else pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], column], names=[*batch.schema.names[1:], "__masked"])
 
     result = rows.mapInArrow(run, schema).withColumnRenamed("__masked", out)
     return result.withColumnRenamed("__text", text) if out != text else result

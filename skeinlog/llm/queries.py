@@ -27,13 +27,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defective_pairs(chat_pairs(spark, sf_dir))
 
 
-def personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``tbl, row_key, texts``: the free texts of the three tables, those of a message in one array; a key counts once."""
+def free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tbl, row_key, texts``: the free texts of the three tables, those of a message in one array with nulls at their places."""
     history = table(spark, sf_dir, "codex_history").select(F.lit("codex_history").alias("tbl"), F.col("row_id").cast("string").alias("row_key"), F.array("text").alias("texts"))
     prompts = table(spark, sf_dir, "grok_prompts").select(F.lit("grok_prompts").alias("tbl"), F.col("row_id").cast("string").alias("row_key"), F.array("prompt").alias("texts"))
     said = table(spark, sf_dir, "claude_messages").select(F.lit("claude_messages").alias("tbl"), clean_id(F.col("uuid")).alias("row_key"), F.transform("message.content", lambda e: e["text"]).alias("texts"))
-    rows = history.unionByName(prompts).unionByName(said)
-    return rows.where("row_key is not null and texts is not null").withColumn("texts", F.filter("texts", lambda t: t.isNotNull()))
+    return history.unionByName(prompts).unionByName(said)
+
+
+def personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tbl, row_key, texts`` of the rows with a key and texts, without null texts."""
+    return free_texts(spark, sf_dir).where("row_key is not null and texts is not null").withColumn("texts", F.filter("texts", lambda t: t.isNotNull()))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +46,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem 4: the prompts of codex_history with typed placeholders."""
-    return mask_text(table(spark, sf_dir, "codex_history").select("row_id", "text"), "text", "masked").select("row_id", "masked").distinct()
+    """Problem 4: the texts of the three tables with typed placeholders, as arrays with the places of ``free_texts``."""
+    rows = free_texts(spark, sf_dir).where("row_key is not null or texts is not null")
+    return mask_text(rows, "texts").select("tbl", "row_key", F.col("texts").alias("masked")).distinct()
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

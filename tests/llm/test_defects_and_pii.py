@@ -101,3 +101,29 @@ def test_columns(spark):
     one = spark.createDataFrame([(1, "ask Aiko Ostiowitz about it"), (2, None), (3, "")], "id int, text string")
     assert {r["id"]: r["text"] for r in pii.mask_text(one, "text").collect()} == {1: "ask [NAME] about it", 2: None, 3: ""}
     assert set(pii.mask_text(one, "text", "masked").columns) == {"id", "text", "masked"} and pii.found_items(df.drop("kind").limit(0), "texts").count() == 0
+
+
+def test_masked_arrays_keep_their_places(spark):
+    rows = [(1, ["ask Aiko Ostiowitz about it", None, "no item", "cc edda@vask.invalid on it"]), (2, None), (3, []), (4, [None, ""])]
+    df = spark.createDataFrame(rows, "id int, texts array<string>")
+    want = {1: ["ask [NAME] about it", None, "no item", "cc [EMAIL] on it"], 2: None, 3: [], 4: [None, ""]}
+    assert {r["id"]: r["texts"] for r in pii.mask_text(df, "texts").collect()} == want
+    both = {r["id"]: (r["texts"], r["masked"]) for r in pii.mask_text(df, "texts", "masked").collect()}
+    assert both == {k: (texts, want[k]) for k, texts in rows}
+
+
+def test_masked_query_has_all_tables(spark, data):
+    from skeinlog.llm import queries as Q
+
+    texts = {(r["tbl"], r["row_key"]): r["texts"] for r in Q.free_texts(spark, data).where("row_key is not null").collect()}
+    masked = {(r["tbl"], r["row_key"]): r["masked"] for r in Q.p4_masked(spark, data).collect()}
+    assert texts.keys() == masked.keys() and {t for t, _ in masked} == {"codex_history", "grok_prompts", "claude_messages"}
+    changed = set()
+    for key, given in texts.items():
+        assert (given is None) == (masked[key] is None) and len(given or []) == len(masked[key] or [])
+        want = None if given is None else [pii.masked(t, f) for t, f in zip(given, pii.find_items(given), strict=True)]
+        assert masked[key] == want
+        if want != given:
+            changed.add(key)
+    assert {t for t, _ in changed} == {"codex_history", "grok_prompts", "claude_messages"}
+    assert changed == {(r["tbl"], r["row_key"]) for r in Q.p4_found(spark, data).collect()}
