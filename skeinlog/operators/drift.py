@@ -2,8 +2,9 @@
 
 Every file is profiled per field: type and a bottom-k sketch of its values, combined partition-locally before
 any shuffle. Neighbouring files are compared by a bipartite matching between the fields that stop and those
-that start, weighted by value overlap and name similarity; matched pairs are renames. Renames of all files
-make classes of names, and one name per class gives the consistent table.
+that start, weighted by value overlap and name similarity; matched pairs are renames. Where a sketch may not hold
+all values, those of the fields in question are counted by a join on value hashes. Renames of all files make
+classes of names, and one name per class gives the consistent table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from skeinlog.operators.ordered import previous
 from skeinlog.runtime import cut
 
-#: Distinct values kept per field of a file; overlap is estimated from the smallest hashes.
+#: Distinct values kept per field of a file, those of the smallest hashes; a sketch of fewer holds all.
 SKETCH = 64
 #: Least score of a rename.
 RENAME = 0.5
@@ -28,6 +29,8 @@ RENAME = 0.5
 HELD = 50_000
 
 PARTIAL = "install_id string, store string, file_id string, written_at timestamp, field string, kind string, n bigint, sketch array<bigint>"
+OPEN = "pair string, side string, install_id string, store string, file_id string, fields array<string>"
+VALUES = "pair string, side string, field string, kind string, hash bigint"
 CHANGES = "file_id string, change string, old_field string, new_field string"
 FIELDS = "line_id bigint, file_id string, store string, field string, value string"
 
@@ -139,20 +142,29 @@ def name_similarity(a: str, b: str) -> float:
     return max(words, len(pa & pb) / max(1, len(pa | pb)), 1.0 if flat[0] == flat[1] else 0.0)
 
 
-def rename_score(old: tuple, new: tuple) -> float:
-    """How well a new field goes on for an old one, from 0 to 1; 0 for different types."""
+def overlap_counts(va: list[int], vb: list[int]) -> tuple[int, int, int]:
+    """Common values of two sketches and the values of each, of the hashes that neither has cut off."""
+    ends = [max(v) for v in (va, vb) if len(v) >= SKETCH]
+    sa, sb = ({x for x in v if not ends or x <= min(ends)} for v in (va, vb))
+    return len(sa & sb), len(sa), len(sb)
+
+
+def rename_score(old: tuple, new: tuple, counts: tuple[int, int, int] | None = None) -> float:
+    """How well a new field goes on for an old one, from 0 to 1; 0 for different types.
+
+    ``counts`` are the exact numbers of common, old and new values; without them the sketches tell.
+    """
     (a, kind, va), (b, kind_b, vb) = old, new
     if kind != kind_b:
         return 0.0
-    sa, sb = set(va), set(vb)
-    common = len(sa & sb)
-    jaccard = common / max(1, len(sa | sb))
-    overlap = jaccard if kind == "number" else (jaccard + common / max(1, min(len(sa), len(sb)))) / 2
+    common, na, nb = counts or overlap_counts(va, vb)
+    jaccard = common / max(1, na + nb - common)
+    overlap = jaccard if kind == "number" else (jaccard + common / max(1, min(na, nb))) / 2
     alike = name_similarity(a, b)
     same_place = a.rpartition(".")[0] == b.rpartition(".")[0]
     if kind == "boolean":  # two values say nothing
         return alike if same_place else 0.0
-    if overlap == 0 and alike >= 0.75 and min(len(sa), len(sb)) > 1 and same_place:  # values that never repeat, such as ids
+    if overlap == 0 and alike >= 0.75 and min(len(set(va)), len(set(vb))) > 1 and same_place:  # values that never repeat, such as ids
         return alike * 0.8
     return 0.8 * overlap + 0.15 * alike + 0.05 * same_place
 
@@ -203,18 +215,30 @@ def _inner(field: str, whole: set[str]) -> bool:
     return False
 
 
-def compare(old: list[tuple], new: list[tuple]) -> list[tuple[str, str, str]]:
+def _ends(before: dict[str, tuple], after: dict[str, tuple]) -> tuple[list[str], list[str], set[str]]:
+    """The fields that stop, those that start and those of another type; of the first two only whole ones."""
+    retyped = {x for x in before.keys() & after.keys() if before[x][1] != after[x][1]}
+    stop, start = before.keys() - after.keys(), after.keys() - before.keys()
+    gone, come = stop | retyped, start | retyped
+    return sorted(x for x in stop if not _inner(x, gone)), sorted(x for x in start if not _inner(x, come)), retyped
+
+
+def open_pairs(old: list[tuple], new: list[tuple]) -> list[tuple[str, str]]:
+    """Pairs of a field that stops and one that starts of which a sketch may not hold all values."""
+    before, after = {f[0]: f for f in old}, {f[0]: f for f in new}
+    stop, start, _ = _ends(before, after)
+    return [(a, b) for a in stop for b in start if before[a][1] == after[b][1] != "boolean" and max(len(before[a][2]), len(after[b][2])) >= SKETCH]
+
+
+def compare(old: list[tuple], new: list[tuple], counts: dict[tuple[str, str], tuple[int, int, int]] | None = None) -> list[tuple[str, str, str]]:
     """Changes ``(change, old_field, new_field)`` between the fields of two files.
 
-    Inner fields of an object that is added, removed, retyped or renamed as a whole are left out.
+    Inner fields of an object that is added, removed, retyped or renamed as a whole are left out. ``counts``
+    has the exact numbers of common, old and new values of pairs of fields.
     """
     before, after = {f[0]: f for f in old}, {f[0]: f for f in new}
-    retyped = {x for x in before.keys() & after.keys() if before[x][1] != after[x][1]}
-    stop, start = before.keys() - after.keys(), after.keys() - before.keys()
-    gone, come = stop | retyped, start | retyped
-    stop = sorted(x for x in stop if not _inner(x, gone))
-    start = sorted(x for x in start if not _inner(x, come))
-    score = [[rename_score(before[a], after[b]) for b in start] for a in stop]
+    stop, start, retyped = _ends(before, after)
+    score = [[rename_score(before[a], after[b], (counts or {}).get((a, b))) for b in start] for a in stop]
     renamed = [(stop[i], start[j]) for i, j in best_matching(score) if score[i][j] >= RENAME]
     from_, to = {a for a, _ in renamed}, {b for _, b in renamed}
     return (
@@ -225,15 +249,65 @@ def compare(old: list[tuple], new: list[tuple]) -> list[tuple[str, str, str]]:
     )
 
 
+def _fields(side: list[dict]) -> list[tuple]:
+    return [(f["field"], f["kind"], [int(x) for x in f["sketch"]]) for f in side]
+
+
 def _compare_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for file, old, new in zip(pdf["file_id"], pdf["old"], pdf["new"], strict=True):
-            sides = [[(f["field"], f["kind"], [int(x) for x in f["sketch"]]) for f in side] for side in (old, new)]
-            rows.extend((file, *change) for change in compare(*sides))
+        for file, old, new, sizes, shared in zip(pdf["file_id"], pdf["old"], pdf["new"], pdf["sizes"], pdf["shared"], strict=True):
+            sides = _fields(old), _fields(new)
+            counts = {}
+            if sizes is not None:
+                own = {(x["side"], x["field"]): int(x["n"]) for x in sizes}
+                both = {(x["old_field"], x["new_field"]): int(x["n"]) for x in (shared if shared is not None else [])}
+                counts = {(a, b): (both.get((a, b), 0), own["old", a], own["new", b]) for a, b in open_pairs(*sides)}
+            rows.extend((file, *change) for change in compare(*sides, counts))
         yield pd.DataFrame(rows, columns=["file_id", "change", "old_field", "new_field"])
 
 
+def _open_fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for pair, install, store, file, before, old, new in zip(*(pdf[c] for c in ("pair", "install_id", "store", "file_id", "before", "old", "new")), strict=True):
+            sides = _fields(old), _fields(new)
+            kinds = [{f[0]: f[1] for f in side} for side in sides]
+            found = open_pairs(*sides)
+            for k, (side, of) in enumerate((("old", before), ("new", file))):
+                if names_ := sorted({x[k] for x in found}):
+                    rows.append((pair, side, install, store, of, [f"{kinds[k][x]}\x1e{x}" for x in names_]))
+        yield pd.DataFrame(rows, columns=["pair", "side", "install_id", "store", "file_id", "fields"])
+
+
+def _values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        seen = set()
+        for pair, side, fields, raw in zip(pdf["pair"], pdf["side"], pdf["fields"], pdf["raw"], strict=True):
+            wanted = set(fields)
+            for field, kind, value in fields_of(read_object(raw) or {}):
+                if f"{kind}\x1e{field}" in wanted:
+                    seen.add((pair, side, field, kind, value_hash(kind, value)))
+        yield pd.DataFrame(list(seen), columns=["pair", "side", "field", "kind", "hash"])
+
+
+def exact_counts(lines: DataFrame, both: DataFrame) -> DataFrame:
+    """``pair, sizes, shared``: the distinct values of each field in question, and those common to two of a pair of files.
+
+    ``both`` has ``pair, install_id, store, file_id, before, old, new``. Only hashes are shuffled, by their
+    own value, so that no large file or field fills a task.
+    """
+    asked = cut(both.select("pair", "install_id", "store", "file_id", "before", "old", "new").mapInPandas(_open_fields, OPEN))
+    told = lines.select(F.col("install_id").alias("i"), F.col("store").alias("s"), F.col("file_id").alias("f"), "raw")
+    met = told.join(asked, F.col("i").eqNullSafe(F.col("install_id")) & F.col("s").eqNullSafe(F.col("store")) & (F.col("f") == F.col("file_id")))
+    values = cut(met.select("pair", "side", "fields", "raw").mapInPandas(_values, VALUES).distinct())
+    sizes = values.groupBy("pair", "side", "field").agg(F.count("*").alias("n")).groupBy("pair").agg(F.collect_list(F.struct("side", "field", "n")).alias("sizes"))
+    old = values.where("side = 'old'").select("pair", "kind", "hash", F.col("field").alias("old_field"))
+    new = values.where("side = 'new'").select("pair", "kind", "hash", F.col("field").alias("new_field"))
+    shared = old.join(new, ["pair", "kind", "hash"]).groupBy("pair", "old_field", "new_field").agg(F.count("*").alias("n"))
+    return sizes.join(shared.groupBy("pair").agg(F.collect_list(F.struct("old_field", "new_field", "n")).alias("shared")), "pair", "left")
+
+
 def changes(lines: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """``file_id, change, old_field, new_field`` of each file against the one before it of its install and store.
 
@@ -251,7 +325,13 @@ def changes(lines: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
         return F.col("install_id").eqNullSafe(F.col(f"{side}_install_id")) & F.col("store").eqNullSafe(F.col(f"{side}_store")) & (F.col(file) == F.col(f"{side}_file_id"))
 
     both = pairs.join(new, same("n", "file_id")).join(old, same("o", "before"))
-    return both.select("file_id", "old", "new").mapInPandas(_compare_rows, CHANGES)
+    both = both.select("file_id", "before", "install_id", "store", "old", "new")
+    if known.where(F.exists("fields", lambda f: F.size(f["sketch"]) >= SKETCH)).isEmpty():
+        counted = both.select("file_id", "old", "new", F.expr("cast(null as array<struct<side string, field string, n bigint>>)").alias("sizes"), F.expr("cast(null as array<struct<old_field string, new_field string, n bigint>>)").alias("shared"))
+    else:
+        both = cut(both.withColumn("pair", F.to_json(F.struct("install_id", "store", "file_id"))))
+        counted = both.join(exact_counts(lines, both), "pair", "left")
+    return counted.select("file_id", "old", "new", "sizes", "shared").mapInPandas(_compare_rows, CHANGES)
 
 
 def names(lines: DataFrame, found: DataFrame, profiles: DataFrame) -> DataFrame:

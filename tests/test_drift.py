@@ -50,3 +50,38 @@ def test_changes_and_unified(spark):
     unified = {r["line_id"]: r["fields"] for r in D.unify(df).collect()}
     assert unified[1] == {"cwd": "/a", "v": "1", "o.x": "1"} and unified[5] == {"cwd": "/a", "v": "1"} and set(unified) == {1, 5, 6, 8}
     assert D.changes(df.limit(0)).count() == 0
+
+
+def test_many_values_are_compared_whole(spark):
+    t = datetime(2025, 1, 1)
+    rows = []
+
+    def file(install, day, values):
+        for k in range(max(map(len, values.values()))):
+            raw = json.dumps({f: v[k % len(v)] for f, v in values.items()})
+            rows.append((len(rows), install, "s", f"{install}{day}", t.replace(day=day), k, raw))
+
+    some = [f"/w/{k}" for k in range(1000)]
+    for install, n, m in [("a", 100, 400), ("b", 200, 1000), ("c", 60, 400), (None, 300, 300)]:
+        file(install, 1, {"cwd": some[:n], "flag": ["x", "y"]})
+        file(install, 2, {"place": some[:m], "other": [f"o{k}" for k in range(90)]})
+    file("d", 1, {"cwd": some[:100]})
+    file("d", 2, {"place": some[90:500]})
+    file("e", 1, {"n": list(range(100))})
+    file("e", 2, {"k": list(range(100)), "z": [5_000 + k for k in range(100)]})
+    file("e", 3, {"k2": list(range(90, 500))})
+    df = spark.createDataFrame(rows, "line_id long, install_id string, store string, file_id string, written_at timestamp, line_no int, raw string")
+    got = sorted(tuple(r) for r in D.changes(df).collect())
+    want = [("d2", "removed", "cwd", ""), ("d2", "added", "", "place"), ("e2", "renamed", "n", "k"), ("e2", "added", "", "z"),
+            ("e3", "removed", "k", ""), ("e3", "removed", "z", ""), ("e3", "added", "", "k2")]
+    for file_id in ("a2", "b2", "c2", "None2"):
+        want += [(file_id, "renamed", "cwd", "place"), (file_id, "removed", "flag", ""), (file_id, "added", "", "other")]
+    assert got == sorted(want)
+    assert {frozenset(r["fields"]) & {"cwd", "place"} for r in D.unify(df.where("install_id = 'a'")).collect()} in ({frozenset({"cwd"})}, {frozenset({"place"})})
+
+
+def test_sketches_are_compared_in_their_common_range():
+    values = {n: sorted(D.value_hash("string", f"/w/{k}") for k in range(n))[: D.SKETCH] for n in (50, 100, 400)}
+    common, old, new = D.overlap_counts(values[100], values[400])
+    assert common == old < new == D.SKETCH
+    assert D.overlap_counts(values[50], values[50]) == (50, 50, 50)
