@@ -306,8 +306,39 @@ def paths(links: DataFrame, resolved: DataFrame, slot_rows: int = SLOT_ROWS) ->
     return out.unionByName(gather_above(parts, "path"))
 
 
+def ring_walks(links: DataFrame, resolved: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """``node, root, depth, path, walk`` of the nodes on a ring or leading into one.
+
+    ``walk`` has every node above, each once, the farthest first, and the node itself at its end: all of the
+    ring is above its nodes and above those leading into it. ``path`` is the same for a node of the ring; that
+    of a node leading into it begins at the first node of the ring.
+    """
+    rows = cut(_one_per_node(links.withColumn("locality", F.lit(None).cast("string"))).drop("locality").join(resolved.where("depth < 0"), "node"))
+    # Without the link of its smallest node, a ring with all that leads into it is a tree below that node.
+    opened = rows.select("node", F.when(F.col("node") != F.col("root"), F.col("parent")).alias("parent"))
+    down = paths(opened, resolve(opened, slot_rows=slot_rows), slot_rows).select("node", F.col("path").alias("down"))
+    known = cut(rows.select("node", "root", "depth").join(down, "node"))
+    rings = known.where("depth = -1").groupBy("root").agg(F.max_by("down", F.size("down")).alias("ring"))
+    placed = known.join(rings, "root").withColumn("on", F.size(F.array_intersect("down", "ring")))
+    walked = placed.withColumn("walk", F.concat(F.slice("ring", F.col("on") + 1, F.size("ring") - F.col("on")), F.col("down")))
+    path = F.when(F.col("depth") == -1, F.col("walk")).otherwise(F.slice("down", F.col("on"), F.size("down")))
+    return walked.select("node", "root", "depth", path.alias("path"), "walk")
+
+
+def whole_paths(links: DataFrame, resolved: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """``node, root, depth, path, walk`` of every node: ``paths`` of the trees and ``ring_walks`` of the rest."""
+    trees = paths(links, resolved, slot_rows).where("depth >= 0").withColumn("walk", F.col("path"))
+    return trees.unionByName(ring_walks(links, resolved, slot_rows))
+
+
 def descendants(path_rows: DataFrame) -> DataFrame:
-    """``ancestor, node, distance``: one row for each node and each of its ancestors, itself included."""
-    return path_rows.where("depth >= 0").select("node", "depth", F.posexplode("path").alias("at", "ancestor")).select(
-        "ancestor", "node", (F.col("depth") - F.col("at")).cast("int").alias("distance")
+    """``ancestor, node, distance``: one row for each node and each of its ancestors, itself included.
+
+    Nodes on a ring or leading into one have rows if ``path_rows`` has their ``walk`` (``whole_paths``); with
+    ``path`` only they have none.
+    """
+    if "walk" not in path_rows.columns:
+        path_rows = path_rows.where("depth >= 0").withColumn("walk", F.col("path"))
+    return path_rows.select("node", F.size("walk").alias("n"), F.posexplode("walk").alias("at", "ancestor")).select(
+        "ancestor", "node", (F.col("n") - 1 - F.col("at")).cast("int").alias("distance")
     )

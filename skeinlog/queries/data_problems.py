@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions.ids import clean_id
 from skeinlog.operators.drift import changes, unify
-from skeinlog.operators.hierarchy import descendants, paths, resolve
+from skeinlog.operators.hierarchy import descendants, resolve, whole_paths
 from skeinlog.operators.instants import normalize_instants
 from skeinlog.operators.shredding import flat_tables, nested_links, parse_content
-from skeinlog.runtime import table
+from skeinlog.runtime import cut, table
 
 #: Table, key and field of each written time; fixed values.
 WRITTEN_TIMES = [
@@ -63,18 +63,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem 1: the path of every message and session from its root, as an array of ids."""
+    """Problem 1: the path of every message and session from its root, as an array of ids; rings as in ``ring_walks``."""
     parts = []
     for tree, links in (("message", message_links(spark, sf_dir)), ("session", session_links(spark, sf_dir))):
-        parts.append(paths(links, resolve(links)).select(F.lit(tree).alias("tree"), "node", "root", "depth", "path"))
+        parts.append(whole_paths(links, cut(resolve(links))).select(F.lit(tree).alias("tree"), "node", "root", "depth", "path"))
     return parts[0].unionByName(parts[1])
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem 1: every ancestor and descendant of the trees, with their distance."""
-    rows = p1_paths(spark, sf_dir)
-    return descendants(rows.where("tree = 'message'")).select(F.lit("message").alias("tree"), "*").unionByName(
-        descendants(rows.where("tree = 'session'")).select(F.lit("session").alias("tree"), "*"))
+    """Problem 1: every ancestor and descendant of the trees and rings, with their distance."""
+    parts = []
+    for tree, links in (("message", message_links(spark, sf_dir)), ("session", session_links(spark, sf_dir))):
+        parts.append(descendants(whole_paths(links, cut(resolve(links)))).select(F.lit(tree).alias("tree"), "*"))
+    return parts[0].unionByName(parts[1])
 
 
 #: Branch, path and depth of the lists of a request; fixed values.

@@ -71,6 +71,55 @@ def test_paths_and_descendants(spark, slot_rows):
     assert H.descendants(paths).count() == sum(d + 1 for _, d in known.values() if d >= 0)
 
 
+def above(links):
+    """Of each node all that is met on the way up, each once, farthest first, with the node itself at the end."""
+    parent = {}
+    for n, p in links:
+        if n is not None:
+            parent[n] = min((x for x in (parent.get(n), p) if x is not None), default=None)
+    out = {}
+    for n in parent:
+        met, at = [], n
+        while at in parent and at not in met:
+            met.append(at)
+            at = parent[at]
+        out[n] = met[::-1]
+    return out
+
+
+def whole(links, known):
+    """Paths and descendants with rings, by walking."""
+    met = above(links)
+    on = {n for n, (_, depth) in known.items() if depth == -1}
+    paths = {n: walk[max(k for k, x in enumerate(walk) if x in on):] if known[n][1] == -2 else walk for n, walk in met.items()}
+    return paths, sorted((a, n, len(walk) - 1 - k) for n, walk in met.items() for k, a in enumerate(walk))
+
+
+@pytest.mark.parametrize("slot_rows", [1000, 3])
+def test_whole_paths_and_descendants(spark, slot_rows):
+    links = graph(9) + [("r1", "r3"), ("r2", "r1"), ("r3", "r2"), ("t1", "r2"), ("t2", "t1"), ("t3", "t2"), ("t3", "t2"), ("u1", "t1"), ("self", "self"), ("below", "self")]
+    df = spark.createDataFrame([(n, p, "all") for n, p in links], "node string, parent string, locality string")
+    known = brute(links)
+    rows = H.whole_paths(df, H.resolve(df), slot_rows)
+    want_paths, want_below = whole(links, known)
+    got = rows.collect()
+    assert len(got) == len(known) and {r["node"]: r["path"] for r in got} == want_paths
+    assert {r["node"]: (r["root"], r["depth"]) for r in got} == known
+    assert want_paths["t3"] == ["r2", "t1", "t2", "t3"] and want_paths["r2"] == ["r3", "r1", "r2"] and want_paths["self"] == ["self"]
+    assert sorted(tuple(r) for r in H.descendants(rows).collect()) == want_below
+    assert H.whole_paths(df.limit(0), H.resolve(df.limit(0))).count() == 0
+
+
+def test_queries_have_rings(spark, data):
+    from skeinlog.queries import data_problems as Q
+
+    for tree, links in (("message", Q.message_links(spark, data)), ("session", Q.session_links(spark, data))):
+        pairs = [(r["node"], r["parent"]) for r in links.collect()]
+        want_paths, want_below = whole(pairs, brute(pairs))
+        assert {r["node"]: r["path"] for r in Q.p1_paths(spark, data).where(f"tree = '{tree}'").collect()} == want_paths
+        assert sorted((r["ancestor"], r["node"], r["distance"]) for r in Q.p1_descendants(spark, data).where(f"tree = '{tree}'").collect()) == want_below
+
+
 def test_order_over_hot_groups(spark):
     r = random.Random(3)
     rows = [(r.choice(["hot", "hot", "hot", "b", None]), k * 3 % 1000, k, r.choice([1, 2, None])) for k in range(1000)]
