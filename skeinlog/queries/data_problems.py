@@ -102,9 +102,40 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def request_table(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The flat table of one list of the requests, keyed by saved file and places."""
+    return flat_tables(table(spark, sf_dir, "vscode_chats"), "requests", "source_file")[path].distinct()
+
+
 def p6_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 6: the flat table of response elements, keyed by saved file and places."""
-    return flat_tables(table(spark, sf_dir, "vscode_chats"), "requests", "source_file")["response"].distinct()
+    return request_table(spark, sf_dir, "response")
+
+
+def p6_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: the flat table of requests, keyed by saved file."""
+    return request_table(spark, sf_dir, "")
+
+
+def p6_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: the flat table of message parts, keyed by saved file and places."""
+    return request_table(spark, sf_dir, "message.parts")
+
+
+def p6_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: the flat table of rounds of tool calls, keyed by saved file and places."""
+    return request_table(spark, sf_dir, "result.metadata.toolCallRounds")
+
+
+def p6_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: the flat table of tool calls, keyed by saved file and places."""
+    return request_table(spark, sf_dir, "result.metadata.toolCallRounds.toolCalls")
+
+
+def p6_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: the flat table of content elements of transcript lines, keyed by line."""
+    lines = parse_content(table(spark, sf_dir, "cursor_lines").select("line_id", "raw"), "raw", "line_id")
+    return flat_tables(lines, "content", "key")[""].withColumnRenamed("key", "line_id").distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +153,11 @@ QUERIES = {
     "p2_unified": p2_unified,
     "p6_found": p6_found,
     "p6_responses": p6_responses,
+    "p6_requests": p6_requests,
+    "p6_parts": p6_parts,
+    "p6_rounds": p6_rounds,
+    "p6_calls": p6_calls,
+    "p6_content": p6_content,
     "p1_found": p1_found,
     "p1_paths": p1_paths,
     "p1_descendants": p1_descendants,

@@ -48,3 +48,36 @@ def test_content_shapes(spark):
     for r in S.nested_links(df, "record", {"c": ("message", 2)}, "key").collect():
         got.setdefault(int(r["parent_key"]), []).append(r["pos"])
     assert {k: sorted(v) for k, v in got.items()} == {k: w for k, (_, w) in enumerate(cases) if w}
+
+
+def test_queries_have_all_flat_tables(spark, data):
+    from skeinlog.queries import data_problems as Q
+    from skeinlog.runtime import table
+
+    want = {name: set() for name in ("p6_requests", "p6_parts", "p6_responses", "p6_rounds", "p6_calls", "p6_content")}
+    for row in table(spark, data, "vscode_chats").select("source_file", "requests").collect():
+        f = row["source_file"]
+        for i, r in enumerate(row["requests"] or []):
+            if r is None:
+                continue
+            want["p6_requests"].add((f, (), i, r["requestId"], r["timestamp"], r["modelId"], (r["message"] or {"text": None})["text"], r["isCanceled"]))
+            for j, e in enumerate((r["message"] and r["message"]["parts"]) or []):
+                if e is not None:
+                    want["p6_parts"].add((f, (i,), j, e["kind"], e["text"]))
+            for j, e in enumerate(r["response"] or []):
+                if e is not None:
+                    want["p6_responses"].add((f, (i,), j, e["kind"], e["value"], e["content"] and e["content"]["value"], e["toolId"]))
+            for j, e in enumerate((r["result"] and r["result"]["metadata"] and r["result"]["metadata"]["toolCallRounds"]) or []):
+                if e is None:
+                    continue
+                want["p6_rounds"].add((f, (i,), j))
+                for k, c in enumerate(e["toolCalls"] or []):
+                    if c is not None:
+                        want["p6_calls"].add((f, (i, j), k, c["name"]))
+    for row in table(spark, data, "cursor_lines").select("line_id", "raw").collect():
+        for j, e in enumerate(S.content_elements(row["raw"]) or []):
+            if e is not None:
+                want["p6_content"].add((str(row["line_id"]), (), j, *(e.get(k) for k in ("type", "text", "name", "input", "bubbleId"))))
+    for name, rows in want.items():
+        got = [tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in Q.QUERIES[name](spark, data).collect()]
+        assert rows and len(got) == len(rows) and set(got) == rows, name
