@@ -1,11 +1,15 @@
 """Trains the tagger of ``pii`` in numpy from labelled spans: ``python -m skeinlog.llm.pii_training DATA_DIR``.
 
-Labelled texts are made by filling carrier sentences with items of known kind; sentences from a bounded
-sample of the rows in DATA_DIR (``SAMPLE``) without anything that looks like an item are put around them.
+Labelled texts are made: items of known kind, built from public forms (number plans, postal habits, common names)
+and from words spliced anew for every text, are put into sentences written here and into sentences of a bounded
+sample (``SAMPLE``) of the ``documents`` corpus and of the questions in ``vscode_chats``, tables that by their description hold no
+personal information and that no query of the problem reads. Nothing is taken from the tables in which items are looked for.
 """
 
 from __future__ import annotations
 
+import multiprocessing
+import os
 import random
 import re
 import sys
@@ -15,123 +19,189 @@ import numpy as np
 
 from skeinlog.llm.pii import KINDS, MODEL, SYMBOLS, WINDOW, Tagger, items
 
-#: Most rows read as surroundings.
-SAMPLE = 6000
-HIDDEN, EPOCHS, TEXTS, BATCH_TEXTS = 16, 26, 14_000, 128
-
-#: Parts of names, streets and towns; fixed values.
-FIRST = "Zoe Zoë Jonas Edda Hugo Tomas Tariq Leila Kofi Priya Milo Pavel Noor Ekrem Anders Aiko Ines Freya Renée Soraya Bruno Marta Anna Peter Maria John Emma Paul Laura Ali Chen Yuki Olga Ivan Sara Luis Ana Max Lena Omar Nina".split()
-STEMS = "Quill Brix Tarn Vask Ober Halv Dunsel Yarro Krem Fenn Pell Wend Osti Mirr Hart Lind Mor Stein Wes Cal".split()
-ENDS = "ari stad wick höfer ez gaard ington ander beck ouche owitz mole man son ell berg ley".split()
-STREETS = ["Harrowgate Mill", "Old Brickfield", "Quarry Hill", "Alderwick", "Saltgate", "Pellow", "Maple", "Station", "Church", "River Bend"]
-WAYS = ["Lane", "Road", "Ave", "Blvd.", "Court", "Terrace", "Street", "Drive", "Way"]
-TOWNS = ["Brunnstedt", "Ketterholm", "Vaucelle-le-Gris", "Robledal", "Eastmoor", "Thornmere", "Low Pellow", "Norwick", "San Teodor"]
-HOSTS = ["tarnpost.test", "halvdata.test", "vask.invalid", "quillmail.example", "dev.oberwork.example", "post.mirr.example", "mail.example.org", "corp.test"]
-PAGES = ["Query Planner", "North Gate", "Silent Harbor", "Copper Build", "Main Street", "Night Shift", "Amber Falcon", "Session Explorer", "Review Board", "Paste Cache", "Blue Lantern", "Green Door", "Data Studio", "West Tower"]
-TOOLS = ["pytest", "make", "tmux", "git", "docker", "bazel", "tox", "gradle", "ruff", "eslint", "cargo", "mypy"]
-#: Sentences around items ({N} name, {E} email, {P} phone, {I} id number, {A} address; {f} file, {w} word, {c} thing); fixed values.
+#: Most documents, and most questions, read as surroundings: those with the smallest hashes of their ids.
+SAMPLE = 8000
+HIDDEN, ROUNDS, STEPS, BATCH_TEXTS, WORKERS = 20, 360, 10, 80, 8
+
+#: Common given names of several countries; fixed values.
+GIVEN = """James Mary Robert Patricia Michael Jennifer William Linda David Elizabeth Richard Barbara Joseph Susan Thomas Jessica Christopher Karen Daniel Lisa Matthew Nancy Anthony
+Mark Sandra Steven Ashley Andrew Emily Kenneth Michelle Kevin Amanda Brian Melissa George Deborah Hans Ursula Klaus Sabine Jürgen Heike Wolfgang Katrin Dieter Jörg Björn Lukas Mia
+Pierre Camille Jean Céline François Hélène Thierry Chloé Mathieu Aurélie José Carmen Javier Lucía Andrés Pilar Álvaro Sofía Giulia Marco Francesca Lorenzo Chiara Alessandro
+João Beatriz Rui Olena Dmitri Svetlana Oleg Katarzyna Piotr Agnieszka Zsófia Gábor Petra Jiří Mehmet Ayşe Fatma Mustafa Yusuf Fatima Ahmed Layla Hassan Priyanka Rahul Ananya Vikram
+Wei Mei Hiroshi Keiko Takeshi Minh Thuy Kwame Amara Chinedu Ngozi Sven Astrid Lars Ingrid Mikkel Sanna Eero""".split()
+#: Common family names of several countries; fixed values.
+FAMILY = """Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Thompson Moore Jackson Harris Robinson Lewis Walker Wright Campbell Mitchell Roberts Phillips Evans
+Edwards Collins Stewart Murphy Cooper Richardson Howard Peterson Bailey Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Schäfer Koch Richter Klein Schröder Neumann Zimmermann
+Krüger Hartmann Lehmann Martin Bernard Dubois Durand Lefèvre Moreau Girard Lambert Fontaine Rousseau García Fernández González Rodríguez López Sánchez Pérez Gómez Jiménez Ruiz Navarro
+Rossi Ferrari Esposito Bianchi Colombo Ricci Silva Santos Oliveira Ferreira Kowalski Nowak Wiśniewski Novák Svoboda Horvat Nagy Kovács Ivanov Petrov Shevchenko Yılmaz Demir Kaya Hussain
+Patel Sharma Iyer Banerjee Khan Nguyen Tran Kim Park Tanaka Suzuki Watanabe Chen Wang Okafor Mensah Hansen Nielsen Johansson Lindqvist Virtanen O'Brien McCarthy FitzGerald""".split()
+#: Beginnings and ends of place and street names of several countries; fixed values.
+PLACE_A = "Spring Green Brook Ash Wood Clear Fair Mill Kings Queens River Rock High Long Stone Oak Elm Cedar Bridge Church Han Ham Nürn Frei Würz Bam Regens Wolfs Göt Stras Nan Mont Ville Beau Saint- Val Sala Bada Carta Grana Ali Lind Berg".split()
+PLACE_B = "field ford ton ville burg berg wood dale port mouth bury stead heim hausen hafen brück furt ingen bourg pellier neuve celona nova manca cante joz gena borough haven vik".split()
+CITIES = "London Leeds York Bristol Boston Chicago Denver Seattle Austin Portland Berlin Hamburg München Köln Dresden Leipzig Paris Lyon Toulouse Lille Madrid Sevilla Valencia Bilbao Wien Zürich Dublin Toronto".split()
+WAYS = "Street St St. Road Rd Avenue Ave Ave. Lane Ln Drive Dr Court Ct Place Boulevard Blvd Blvd. Way Terrace Close Crescent Square Parkway Gardens".split()
+STATES = "AL AZ CA CO FL GA IL MA MI MN NY OH OR PA TX VA WA".split()
+MAIL_WORDS = "mail post inbox web net cloud data soft tech labs group works systems office team home studio media info global".split()
+MAIL_ENDS = ".com .com .com .org .net .edu .io .de .fr .es .co.uk .eu .example .test .invalid".split()
+#: Common English words for titles of pages, products and features; fixed values.
+TITLE_A = "Release Account Dark Light Quick Smart Global Local Shared Private Public Daily Weekly Central Remote Internal Native Golden Red Blue White Black Silver Early Late Open Closed Deep Bright Hidden Summer Winter Morning Royal New Old Big Fast".split()
+TITLE_B = "Notes Settings Mode Search Login Report Editor Viewer Manager Browser Server Client Console Wizard Panel Calendar Library Guide Store Center Monitor Engine Toolkit Platform Sky Ocean Mountain Forest Eagle Tiger Garden Stream Castle Market Hall House Valley Lake Road Bridge Desk Pipeline Backlog Sprint Roadmap".split()
+TOOLS = "pytest make tmux git docker bazel tox gradle ruff eslint cargo mypy npm yarn pip helm kubectl terraform rsync curl ssh".split()
+THINGS = "invoice parser backup server build deployment contract schema client review ticket order account import export meeting release parcel form refund cron job".replace("cron job", "cronjob").split()
+#: Sentences around items ({N} name, {E} email, {P} phone, {I} id number, {A} address; {f} file, {w} code, {c} thing, {t} tool); fixed values.
 CARRIERS = [
-    "my name is {N}, please sign the commit with it", "as {N} said yesterday, the {c} has to go", "ask {N} about {f}", "hi, {N} here. {w} fails with a segfault",
-    "{N} reported this, call {P} if {w} breaks again", "the row says {N} / {P} / {E}, is that test data?", "reach me on {P} or {E}", "invoice goes to {N}, {A}",
-    "ship the spare laptop to {A}", "user lives at {A} and her number is {P}", "paste from the ticket: {I}, {N}", "we stored {I} next to {E} in {f}",
-    "the fixture in {f} still has {I} in it", "{P} keeps showing up in the {c} logs", "cc {E} and {E} on the {c} report", "send the summary to {E} once {t} is done",
-    "git config user.email {E}", 'git config user.email {E} && git config user.name "{N}"', "Signed-off-by: {N} <{E}>", "Signed-off-by: {N} {E}", "mask this: {A}; {I}; {P}", "{I}; {P}",
-    "ich heiße {N}, Rückruf unter {P}", "Lieferung an {A}, Kennung {I}", "bitte schick das Ergebnis an {E}", "je suis {N} et mon numéro est le {P}", "{N} habite {A}",
-    "envoie le rapport à {E} avant ce soir", "me llamo {N}, mi documento es {I}", "mi dirección es {A} y mi teléfono {P}", "escribe a {E} cuando {w} termine",
-    "{N} wrote {w}", "contact: {N}, {E}", "please call {N} at {P}", "{E}", "{P}", "thanks, {N}", "curl -H 'X-User: {E}' localhost", "export ADMIN={E}", "echo \"{N} {P}\" >> {f}", "grep -n '{I}' {f}",
+    "Please forward the {c} to {E}.", "Customer {N} called about the {c}, number {P}.", "{N} will review the {c} next week", "assigned to {N}", "Author: {N} <{E}>", "From: {N} <{E}>", "To: {E}", "Reviewed-by: {N} <{E}>",
+    "You can phone {P} during office hours", "Tel. {P}", "phone: {P}", "mobile {P}, mail {E}", "fax {P}", "The new employee is {N} ({E})", "kind regards, {N}", "Regards,\n{N}", "Cheers {N}", "hello {N}, did you see the {c}?", "talk to {N} or {N} first",
+    "{N} and {N} found the bug in {f}", "according to {N}, {w} is fine", "blame says {N} changed {f}", "her address: {A}", "send the parcel to {N}, {A}", "billing address {A}", "deliver it to {A}.", "office at {A} is closed", "He moved to {A} last year",
+    "SSN {I}", "social security number {I}", "her id is {I}", "tax number: {I}", "the applicant's document {I} has expired", "record for {N}: {I}, {A}", "{N};{E};{P}", "{N}, {P}, {E}", "{I} | {N} | {P}", "name={N} phone={P}",
+    "{c} was opened by {N}", "owner of {f} is {N}", "remove {E} from the list", "why is {E} in the {c}?", "the test user {E} can't log in", "mailto:{E}", "git log --author '{N}'", "git commit --author=\"{N} <{E}>\"", "export MAIL_TO={E}", "{t} --user {E}", "sendmail {E} < {f}",
+    "curl -d 'phone={P}' localhost", "redact {I} in {f}", "delete the line with {A} from {f}", "the dump contains {P} and {I}", "Frau {N} wohnt in {A}", "mein Name ist {N}", "Bitte {N} anrufen: {P}", "Ansprechpartner ist {N}, E-Mail {E}", "Personalausweis {I}", "die Adresse lautet {A}", "Telefon {P}",
+    "mon nom est {N}", "appelez {N} au {P}", "son adresse est {A}", "écrivez à {E}", "numéro de pièce {I}", "M. {N} a signalé le problème", "el cliente {N} vive en {A}", "llama a {N} al {P}", "mi correo es {E}", "documento {I} de {N}", "contacto: {N}, {E}",
+    "I am {N}.", "This is {N} from support", "written by {N}", "{N}: looks good to me", "@{w} cc {N}", "{E}", "{P}", "{A}", "{I}", "{N}", "call me at {P} or write to {E}", "tell {N} that {w} broke", "{N} lives at {A}; phone {P}", "as discussed with {N}, the {c} moves to {f}", "ask {N}",
+    "{E} and {E}", "mail {E} or {E}", "{E}, {E}", "{P} or {P}", "{P} and {P}", "{I} and {I}", "{N} and {N}", "{N}, {N} and {N}", "both {A} and {A}", "{I}, {P}", "{P}; {I}", "{I} / {P} / {E}", "id {I}, tel {P}", "not {P} but {P}", "{E} or {P}", "user.name={N} user.email={E}", "--name \"{N}\" --mail {E}",
 ]
 #: Sentences that hold none; fixed values.
 NOTHING = [
-    "range {d}-{d}-{d} in {f}", "bind {w} to 10.0.{d}.{d} port {D}", "@fixture breaks {w}", "the request id is {u}", "install pkg@{d}.{d}.{d} again", "clone git@forge.invalid:tools/{h}.git first",
-    "rename the {G} page", "the {G} release was built at {s}", "The {G} ticket asks for the same thing, so this closes both.", "The {G} page still links to the old {c}.", "bump {t} to {d}.{d}.{D}",
-    "see issue #{D} and commit {x}", "it takes {D} ms at {d}:{d}", "on 2025-{d}-{d} the {c} broke", "open https://{G2}.example/{w} and look", "Dr. Watson logs show {D} rows", "Why does {w} in {f} raise ENOSPC?",
-    "Keep the {G} and the {G} in step", "{t} --jobs {D} && git status", "grep -n {w} {f}", "@{w} see {f}", "Die Warnung in Zeile {D} verschwindet", "Der Fehler liegt in {f} nahe Zeile {D}.", "scp {f} deploy@host-{d}:/srv/{w}",
+    "git clone git@{h}.{k}:{w}/{w}.git", "git@{k}{T}:{w0}/{w0}.git", "fetch git@{k}.{k}{T}:{w0}/{h}.git", "origin git@{w0}{T}:{k}/{k}.git is gone", "ssh://git@{k}{T}/{w0}.git", "{w0}@{k}{T}:/{w0}/{w0}", "{d}-{d}-{d}", "{d}-{d}", "lines {d}-{d}-{d} of {f}", "slice {d}-{D}", "{d}.{d}.{d}.{d}", "{d}/{d}/{d}", "git remote add up git@{k}.org:{w}.git", "ssh {w0}@{w0}-{d}", "scp {f} {w0}@{h}:/srv/{w0}", "{w0}@{d}.{d}.{d}", "npm i {w0}@{d}.{d}.{D}", "@{w0} def {w}", "pip install {w0}=={d}.{d}.{d}", "from {f} import {w}", "@{w0}/{w0}@{d}.{d}",
+    "10.{d}.{d}.{d}:{D}", "127.0.0.1:{D}", "host 192.168.{d}.{d} is down", "id {u}", "trace {u} ended", "sha {x}", "commit {x} in {f}", "{Y}-{m}-{m} {m}:{m}:{m}", "{m}/{m}/{Y}", "{m}.{m}.{Y}", "on {Y}-{m}-{m} the {c} broke", "between {m}-{m}-{y} and {m}-{m}-{y}", "at {s} the {c} stopped", "epoch {s}",
+    "the {G} page is slow", "{G} was renamed to {G}", "open {G}", "see the {G} board", "ship {G} first", "{G} {d}.{d} is out", "{c} {D} of {D}", "issue #{D}", "{J}-{D}", "see {J}-{h}", "line {D}, in {w}", "{f}:{D}:{d}", "took {D} ms and {D} rows", "{t} {f}", "{t} --jobs {d} {f}", "{t} run {w} && {t} push",
+    "https://{h}.{k}.com/{w}?id={D}", "http://localhost:{D}/{w}", "{w}({d}, {d})", "port {D}", "v{d}.{d}.{D}", "{x}", "error {D}: {w}", "{D} of {D} passed", "order {D} items", "{c} no. {D}", "Zeile {D} in {f}", "la ligne {D} de {f}", "la línea {D} de {f}",
+    "build {D}-{x}", "run {D}-{h}-{D}", "{u}.log", "key {D}-{h}{D}", "Mr. {c}", "Dear team, the {c} is ready", "I think {G} and {G} should merge", "Monday", "In {M} we ship", "{t} failed with E{D}", "PR {D} by the bot", "user {w} has {D} rows",
+    "at {s}", "created {s}", "since {s} nothing", "ts={s}", "{s}", "version {d}.{d}.{D}", "to {d}.{d}.{D}", "{t} {d}.{d}.{D} is out", "from {d}.{d} to {d}.{D}", "{w} fails", "{w} calls {w}", "{w} in {f} is slow", "{w0} and {w}", "{w}: done",
+    "Can you check {w}?", "Could you split {f} in two?", "Would it be better to drop {w}?", "Where is {w} used?", "Kannst du {w} prüfen?", "Könntest du {f} aufteilen?", "Wo wird {w} benutzt?", "Warum ist {w} so langsam?", "Weshalb braucht {f} {D} Zeilen?", "Pourquoi {w} est-elle si lente ?", "Peux-tu vérifier {f} ?",
+    "Quand faut-il lancer {t} ?", "¿Puedes revisar {w}?", "¿Por qué tarda {f}?", "¿Dónde se usa {w}?", "Zeig mir {f}", "Montre-moi {f}", "Muéstrame {f}", "Explain {w}", "Fix {w}, then {t}", "yes", "no", "go on", "thanks", "Danke", "merci", "gracias", "ok, next",
+    "Die Rechnung liegt im Ordner.", "Der Vertrag gilt ab {M}", "Unser Lager ist voll", "Die Nummer steht im Formular", "Das Formular hat {D} Felder", "Der Kunde wartet auf die Lieferung", "Im Keller steht der alte Server", "Die Abteilung plant einen Umzug", "Meine Kundennummer fehlt: siehe {f}", "Der Antrag vom Montag ist fertig",
+    "La réunion de lundi est annulée", "Le contrat et la facture sont dans {f}", "El pedido llegó el lunes", "La factura y el contrato faltan", "ISO {D}-{d}", "POSIX {D}.{d}", "{J} {D}", "{J} {D} part {d}", "The {G} hides the {G} on phones", "the {G} covers {c} and {c}", "see chapter {d}.{d}.{d}", "a + {w}.{w0}", "{w0}.{w0}.{k} is down", "class {G2}({G2})", "return {G2}({w}, {d})", "public {G2} {w}()", "void {w}({G2} {k})",
 ]
 
 
 class Maker:
     """Makes labelled texts; every draw comes from one seed."""
 
-    def __init__(self, seed: int, around: list[list[str]]) -> None:
+    def __init__(self, seed: int, around: list[str]) -> None:
         self.r = random.Random(seed)
-        self.around = around or [["please run the tests again"]]
+        self.around = around or ["please run the tests again"]
 
-    def word(self) -> str:
-        return "".join(self.r.choice("bdfgklmnprstvz") + self.r.choice("aeiou") for _ in range(self.r.randint(2, 3))) + self.r.choice(["", "", "n", "r", "s"])
+    def digits(self, n: int) -> str:
+        return "".join(self.r.choice("0123456789") for _ in range(n))
 
-    def last(self) -> str:
+    def word(self, most: int = 3) -> str:
+        return "".join(self.r.choice("bcdfghjklmnprstvwxz") + self.r.choice("aeiou") for _ in range(self.r.randint(2, most))) + self.r.choice(["", "", "n", "r", "s", "x"])
+
+    def spliced(self, words: list[str]) -> str:
+        """The beginning of one word with the end of another: a new word of the same make."""
         r = self.r
-        one = lambda: r.choice(STEMS) + r.choice(ENDS) if r.random() < 0.75 else self.word().capitalize()
-        return one() + ("-" + one() if r.random() < 0.15 else "")
+        a, b = r.choice(words), r.choice(words)
+        i, j = r.randint(2, max(2, len(a) - 2)), r.randint(1, max(1, len(b) - 3))
+        return (a[:i] + b[j:].lower()) if r.random() < 0.8 else a + b[j:].lower()
+
+    def given(self) -> str:
+        return self.r.choice(GIVEN) if self.r.random() < 0.55 else self.spliced(GIVEN)
 
-    def first(self) -> str:
-        return self.r.choice(FIRST) if self.r.random() < 0.8 else self.word().capitalize()
+    def family(self) -> str:
+        r = self.r
+        one = lambda: r.choice(FAMILY) if r.random() < 0.3 else self.spliced(FAMILY) if r.random() < 0.6 else self.spliced(FAMILY + PLACE_A) + r.choice(PLACE_B) if r.random() < 0.7 else self.word().capitalize()
+        return one() + ("-" + one() if r.random() < 0.14 else "")
 
     def name(self) -> str:
-        r, first, last = self.r, self.first(), self.last()
+        r, given, family = self.r, self.given(), self.family()
         form = r.random()
         if form < 0.5:
-            text = f"{first} {last}"
-        elif form < 0.64:
-            text = f"{first} {r.choice('ABDEHJKLMRST')}. {last}"
+            text = f"{given} {family}"
+        elif form < 0.62:
+            text = f"{given} {r.choice('ABCDEFGHJKLMNPRSTVW')}. {family}"
+        elif form < 0.66:
+            text = f"{given} {r.choice(['van', 'de', 'von', 'della', 'al', 'Al', 'El'])}{r.choice([' ', '-'])}{family}"
         elif form < 0.8:
-            text = f"{last}, {first}"
+            text = f"{family}, {given}"
+        elif form < 0.84:
+            text = f"{r.choice('ABCDEGHJKLMNPRST')}. {family}"
         else:
-            text = f"{r.choice(['Ms', 'Ms', 'Mr', 'Dr.', 'Dr.', 'Mrs', 'Prof.'])} {last}"
+            text = f"{r.choice(['Ms', 'Ms.', 'Mr', 'Mr.', 'Dr.', 'Dr', 'Mrs', 'Prof.', 'Herr', 'Frau', 'Mme', 'Sra.'])} {family}"
         return text.upper() if r.random() < 0.1 else text.lower() if r.random() < 0.03 else text
 
+    def host(self) -> str:
+        r = self.r
+        name = lambda: r.choice([r.choice(MAIL_WORDS), self.word(), self.spliced(FAMILY + PLACE_A).lower(), r.choice(MAIL_WORDS) + self.word(2), self.word(2) + r.choice(MAIL_WORDS)])
+        plain = re.sub(r"[^a-z0-9.-]", "", (name() + ("." + name() if r.random() < 0.25 else ("-" + name() if r.random() < 0.08 else ""))).lower())
+        return (plain or "mail") + r.choice(MAIL_ENDS)
+
     def email(self) -> str:
         r = self.r
-        a = re.sub(r"[^a-z]", "", self.first().lower().replace("ë", "e").replace("é", "e"))
-        b = (r.choice(STEMS) if r.random() < 0.8 else self.word()).lower()
-        who = r.choice([a, a + b, a + "." + b, a + "_" + b, a + "-" + b, a[0] + b, a[0] + b, a + "+" + r.choice(["ci", "wip", "logs"])])
-        who += str(r.randint(1, 99)) if r.random() < 0.4 and "+" not in who else ""
-        host = r.choice(HOSTS) if r.random() < 0.85 else self.word() + r.choice([".com", ".test", ".org"])
+        simple = lambda s: re.sub(r"[^a-z]", "", s.lower().translate(str.maketrans("éèëöüäóíáçşñø", "eeeouaoiacsno"))) or "user"
+        a, b = simple(self.given()), simple(self.family())
+        who = r.choice([a, b, a + b, a + "." + b, a + "_" + b, a + "-" + b, a[0] + b, a[0] + "." + b, b + "." + a, a + "+" + self.word(2), a + b[0]])
+        who += self.digits(r.randint(1, 4)) if r.random() < 0.35 and "+" not in who else ""
+        host = self.host()
         form = r.random()
-        if form < 0.76:
+        if form < 0.74:
             text = f"{who}@{host}"
             return text.upper() if r.random() < 0.1 else text
-        if form < 0.84:
-            return f"{who} [at] {host}"
-        return f"{who} (at) {host.replace('.', ' dot ')}" if form < 0.92 else f"{who}{r.choice([' at ', '[at]', '(at)'])}{host.replace('.', r.choice([' dot ', '.']))}"
+        at = r.choice([" [at] ", " (at) ", "[at]", "(at)", " at ", " AT ", " @ "])
+        dot = r.choice([".", ".", " dot ", "[dot]", " [dot] ", "(dot)"]) if at != " at " else " dot "
+        return who + at + host.replace(".", dot)
 
     def phone(self) -> str:
-        d = lambda n: "".join(self.r.choice("0123456789") for _ in range(n))
-        a = str(self.r.randint(201, 989))
-        return self.r.choice([
-            f"+1{a}555{d(4)}", f"+1 ({a}) 555-{d(4)}", f"({a}) 555-{d(4)}", f"{a}-555-{d(4)}", f"{a}.555.{d(4)}", f"{a} 555 {d(4)} ext. {d(2)}", f"020 7946 {d(4)}", f"+44 20 7946 {d(4)}",
-            f"+33 1 99 00 {d(2)} {d(2)}", f"030/23125-{d(3)}", f"+49 30 23125 {d(3)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"0{d(3)} {d(6)}", f"{a} 555 {d(4)}"])
+        """Written forms of national and international number plans."""
+        r, d = self.r, self.digits
+        a, x = str(r.randint(201, 989)), str(r.randint(200, 999))
+        z = str(r.randint(20, 989))
+        text = r.choice([
+            f"+1{a}{x}{d(4)}", f"+1 ({a}) {x}-{d(4)}", f"+1-{a}-{x}-{d(4)}", f"1-{a}-{x}-{d(4)}", f"({a}) {x}-{d(4)}", f"{a}-{x}-{d(4)}", f"{a}.{x}.{d(4)}", f"{a} {x} {d(4)}", f"+1 {a} {x} {d(4)}",
+            f"020 {d(4)} {d(4)}", f"+44 20 {d(4)} {d(4)}", f"0{z} {d(3)} {d(4)}", f"07{d(3)} {d(6)}", f"+44 7{d(3)} {d(6)}", f"+44 (0){z} {d(6)}", f"0{z}/{d(r.randint(5, 8))}", f"0{z}/{d(5)}-{d(r.randint(2, 3))}", f"+49 {z} {d(r.randint(5, 8))}", f"+49 {z} {d(5)} {d(3)}", f"+49 (0){z} {d(6)}", f"0049 {z} {d(7)}",
+            f"+33 {r.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{r.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{r.randint(1, 9)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"+34 {r.choice('679')}{d(2)} {d(3)} {d(3)}", f"{r.choice('679')}{d(2)} {d(3)} {d(3)}", f"+34 {r.choice('679')}{d(2)} {d(2)} {d(2)} {d(2)}",
+            f"+{r.randint(20, 99)} {d(2)} {d(4)} {d(4)}", f"+{r.randint(20, 99)}{d(r.randint(8, 10))}", f"03-{d(4)}-{d(4)}",
+        ])
+        return text + (r.choice([" ext. ", " ext ", " x"]) + d(r.randint(2, 4)) if r.random() < 0.1 else "")
 
     def id_number(self) -> str:
-        d = lambda n: "".join(self.r.choice("0123456789") for _ in range(n))
-        c = self.r.choice
-        letter = "ABCDEFGHJKLMNPQRSTVWXYZ"
-        return c([
-            f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"QQ{d(6)}{c('ABCD')}", f"QQ {d(2)} {d(2)} {d(2)} {c('ABCD')}", f"DNI {d(8)}{c(letter)}", f"Steuer-ID 00 {d(3)} {d(3)} {d(3)}",
-            f"driver licence D{d(3)}-{d(4)}-{d(4)}", f"passport X{d(7)}", f"passport no. ZZ{d(6)}", f"{d(3)}-{d(2)}-{d(4)}", f"passport {c(letter)}{d(8)}"])
+        """Written forms of national identity, tax, social security, passport and licence numbers."""
+        r, d = self.r, self.digits
+        c, letter = r.choice, "ABCDEFGHJKLMNPQRSTVWXYZ"
+        two = lambda: c("ABCEGHJKLMNOPRSTWXYZQ") + c("ABCEGHJKLMNPRSTWXYZQ")
+        bare = c([
+            lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"9{d(2)}-{d(2)}-{d(4)}", lambda: f"{d(3)} {d(2)} {d(4)}", lambda: f"{two()}{d(6)}{c('ABCD')}", lambda: f"{two()} {d(2)} {d(2)} {d(2)} {c('ABCD')}", lambda: f"{two()}-{d(2)}-{d(2)}-{d(2)}-{c('ABCD')}",
+            lambda: f"{d(8)}{c(letter)}", lambda: f"{d(8)}-{c(letter)}", lambda: f"{c('XYZ')}{d(7)}{c(letter)}", lambda: f"{c('XYZ')}-{d(7)}-{c(letter)}", lambda: f"{d(2)} {d(3)} {d(3)} {d(3)}", lambda: f"{c('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}",
+            lambda: f"{c('CFGHJKLMNPRTVWXYZ')}{d(2)}{c('CFGHJKLMNPRTVWXYZ')}{d(5)}", lambda: "".join(c(letter) for _ in range(6)) + f"{d(2)}{c('ABCDEHLMPRST')}{d(2)}{c(letter)}{d(3)}{c(letter)}", lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"{d(3)}.{d(3)}.{d(3)}-{d(2)}",
+        ])
+        led = c([
+            lambda: f"passport {c(letter)}{d(8)}", lambda: f"passport no. {two()}{d(7)}", lambda: f"Passport No {d(9)}", lambda: f"passport number {c(letter)}{d(7)}", lambda: f"passport {two()}{d(6)}", lambda: f"driver's license {c(letter)}{d(7)}", lambda: f"driver licence {c(letter)}{d(3)}-{d(4)}-{d(4)}", lambda: f"driving licence {c(letter)}{d(4)}-{d(5)}-{d(5)}",
+            lambda: f"Steuer-ID {d(2)} {d(3)} {d(3)} {d(3)}", lambda: f"Steuer-ID {d(11)}", lambda: f"DNI {d(8)}{c(letter)}", lambda: f"NIE {c('XYZ')}{d(7)}{c(letter)}", lambda: f"SSN {d(3)}-{d(2)}-{d(4)}", lambda: f"NI number {two()}{d(6)}{c('ABCD')}", lambda: f"Ausweisnr. {c('LMNPRT')}{d(2)}{c('FGHJK')}{d(5)}",
+            lambda: f"licence no. {c(letter)}{d(8)}", lambda: f"tax id {d(2)}-{d(7)}", lambda: f"ID card {two()} {d(7)}", lambda: f"CPF {d(3)}.{d(3)}.{d(3)}-{d(2)}",
+        ])
+        return (bare if r.random() < 0.55 else led)()
+
+    def place(self) -> str:
+        r = self.r
+        made = r.choice(PLACE_A) + r.choice(PLACE_B)
+        return r.choice(CITIES) if r.random() < 0.3 else re.sub(r"-(\w)", lambda m: "-" + m[1].upper(), made) if r.random() < 0.7 else r.choice(["San ", "Bad ", "New ", "Low ", "Great ", "Saint-", "Sankt "]) + made.capitalize() + r.choice(["", "", "-sur-Mer", "-le-Bas", " Bay"])
 
     def address(self) -> str:
-        r = self.r
-        town = r.choice(TOWNS) if r.random() < 0.85 else self.word().capitalize()
-        code = "00" + str(r.randint(100, 999)) if r.random() < 0.8 else str(r.randint(10000, 99999))
-        no = f"{r.randint(1, 240)}{r.choice(['', '', '', 'a', 'b', 'c'])}"
-        street = r.choice(STREETS) if r.random() < 0.85 else self.word().capitalize()
-        base = f"{no} {street} {r.choice(WAYS)}"
-        local = self.word().capitalize()
+        r, d = self.r, self.digits
+        no = f"{r.randint(1, 999)}{r.choice(['', '', '', '', 'a', 'b', 'B', ' bis'])}"
+        street = lambda: r.choice([self.family(), self.place(), r.choice(PLACE_A), r.choice(PLACE_A) + " " + r.choice(PLACE_A), self.spliced(PLACE_A) + r.choice(PLACE_B)]).replace("- ", " ")
+        town = self.place()
+        base = f"{no} {street()} {r.choice(WAYS)}"
+        flat = f"{r.choice(['Apt', 'Apt.', 'Flat', 'Unit', 'Suite'])} {r.randint(1, 60)}{r.choice(['', '', 'B', 'C'])}"
+        uk = f"{r.choice('BLMSEN')}{r.choice(['', 'S', 'E'])}{r.randint(1, 20)} {d(1)}{r.choice('ABDEFGH')}{r.choice('JLNPQR')}"
+        german = r.choice([self.spliced(PLACE_A) + r.choice(["straße", "str.", "weg", "allee", "gasse", "platz"]), self.family() + "straße", self.place() + r.choice(["er Straße", "er Weg", "er Allee"]), r.choice(["Am ", "An der ", "Im ", "Auf dem ", "Zum "]) + self.spliced(PLACE_A).capitalize()])
+        french = r.choice(["rue", "avenue", "boulevard", "place", "impasse", "allée", "chemin", "quai"]) + r.choice([" de ", " des ", " du ", " de la ", " "]) + r.choice([self.family(), self.place(), self.spliced(PLACE_A).capitalize() + "s"])
+        spanish = r.choice(["Calle", "Calle de", "Calle del", "C/", "Avenida", "Avenida de", "Plaza", "Paseo de"]) + " " + r.choice([self.family(), self.place()])
         return r.choice([
-            base, base, f"{base}, {town}", f"Apt {r.randint(1, 30)}, {base}, {town} {code}", f"{base}, {town} {code}", f"{no} rue des {r.choice(['Tilleuls-Gris', local + 's'])}, {code} {town}",
-            f"{r.choice(['Lindenhofer Weg', 'Am Salzanger', 'Mühlgrundstraße', local + 'straße', local + ' Weg', 'Am ' + local])} {no}, {code} {town}",
-            f"Calle del {r.choice(['Robledal', local])} {r.randint(1, 240)}, {r.randint(1, 9)}º {r.choice('ABCD')}, {town}", f"PO Box {r.randint(100, 9999)}, {town}"])
+            lambda: base, lambda: f"{base}, {town}", lambda: f"{base}, {town}, {r.choice(STATES)} {d(5)}", lambda: f"{base}, {town} {d(5)}", lambda: f"{base}, {flat}, {town}, {r.choice(STATES)} {d(5)}", lambda: f"{flat}, {base}, {town} {d(5)}", lambda: f"{flat}, {base}, {town}", lambda: f"{base}, {town} {uk}", lambda: f"{base} {flat}",
+            lambda: f"{german} {no}, {d(5)} {town}", lambda: f"{german} {no}, {d(5)} {town}", lambda: f"{german} {no} in {d(5)} {town}", lambda: f"{german} {no}", lambda: f"{no}{r.choice([' ', ', '])}{french}, {d(5)} {town}", lambda: f"{no} {french}, {town}", lambda: f"{no} {french}",
+            lambda: f"{spanish} {r.randint(1, 200)}, {r.randint(1, 9)}º {r.choice('ABCD')}, {town}", lambda: f"{spanish}, {r.randint(1, 200)}, {d(5)} {town}", lambda: f"{spanish} {r.randint(1, 200)}, {d(5)} {town}", lambda: f"{spanish} {r.randint(1, 200)}, {town}", lambda: f"{r.choice(['PO Box', 'P.O. Box', 'Postfach'])} {r.randint(10, 9999)}, {town}", lambda: f"{r.choice(['PO Box', 'P.O. Box'])} {r.randint(10, 9999)}, {town} {d(5)}",
+        ])()
 
     def filler(self, code: str) -> str:
-        r = self.r
-        d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+        r, d = self.r, self.digits
         h = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+        title = lambda: f"{r.choice(TITLE_A)} {r.choice(TITLE_B)}" if r.random() < 0.7 else f"{r.choice(TITLE_B)} {r.choice(TITLE_B)}"
         return {
-            "f": lambda: f"{r.choice(['src', 'pkg', 'lib', 'core', 'svc', 'cmd', 'tests'])}/{self.word()}/{self.word()}{r.choice(['', '-v2'])}.{r.choice(['py', 'go', 'ts', 'sql', 'rs', 'java'])}",
-            "w": lambda: f"{r.choice(['load', 'split', 'join', 'hash', 'trim'])}{r.choice(['_' + self.word(), self.word().capitalize()])}", "c": lambda: r.choice(["cache", "parser", "scheduler", "search box", "event queue", "migration"]),
-            "t": lambda: r.choice(TOOLS), "d": lambda: str(r.randint(1, 59)), "D": lambda: str(r.randint(100, 40000)), "u": lambda: f"{h(8)}-{h(4)}-4{h(3)}-a{h(3)}-{h(12)}", "h": lambda: h(4), "x": lambda: h(12),
-            "s": lambda: "17" + d(8), "G": lambda: r.choice(PAGES), "G2": lambda: r.choice(PAGES).lower().replace(" ", "-"),
+            "f": lambda: f"{r.choice(['src', 'pkg', 'lib', 'core', 'app', 'cmd', 'tests', 'docs', self.word()])}/{r.choice(['', self.word() + '/'])}{self.word()}{r.choice(['', '_' + self.word(), '-v2'])}.{r.choice(['py', 'go', 'ts', 'sql', 'rs', 'java', 'md', 'yaml', 'csv'])}",
+            "w": lambda: f"{self.word()}{r.choice(['_' + self.word(), self.word().capitalize(), '', '.' + self.word()])}", "w0": lambda: r.choice([self.word(), r.choice(TOOLS), r.choice(THINGS)]), "c": lambda: r.choice(THINGS), "t": lambda: r.choice(TOOLS),
+            "d": lambda: str(r.randint(0, 99)), "D": lambda: str(r.randint(100, 99999)), "u": lambda: f"{h(8)}-{h(4)}-{h(4)}-{h(4)}-{h(12)}", "h": lambda: h(4), "k": self.word, "x": lambda: h(r.choice([7, 12, 40])), "s": lambda: "1" + d(r.choice([9, 12])),
+    "G": title, "G2": lambda: r.choice(TITLE_A + TITLE_B) + (r.choice(TITLE_B) if r.random() < 0.6 else ""), "T": lambda: r.choice(MAIL_ENDS), "J": lambda: "".join(r.choice("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(r.randint(2, 4))), "Y": lambda: f"20{r.randint(10, 29)}", "y": lambda: f"{r.randint(10, 29)}", "m": lambda: f"{r.randint(1, 12):02d}", "M": lambda: r.choice(["January", "March", "July", "October"]),
         }[code]()
 
     def sentence(self, pattern: str) -> tuple[str, list[int]]:
@@ -142,32 +212,49 @@ class Maker:
             if code in ("N", "E", "P", "I", "A"):
                 tag = "EPIAN".index(code) + 1
                 part = {"N": self.name, "E": self.email, "P": self.phone, "I": self.id_number, "A": self.address}[code]()
-                if code == "E" and self.r.random() < 0.08:
-                    text, tags = text + "mailto:", tags + [0] * 7
             elif code:
                 part = self.filler(code)
             text += part
             tags += [tag] * len(part)
         return text, tags
 
+    def woven(self) -> tuple[str, list[int]]:
+        """A sentence of the corpus with an item between two of its words."""
+        r = self.r
+        s = r.choice(self.around)
+        gaps = [m.start() for m in re.finditer(" ", s)] or [len(s)]
+        at = r.choice(gaps)
+        code = r.choice("NNEPPIIA")
+        item, tags = self.sentence(r.choice(["{%s}", "{%s}", "({%s})", "{%s},", "'{%s}'", "{%s}:", "- {%s} -"]) % code)
+        return f"{s[:at]} {item}{s[at:]}", [0] * (at + 1) + tags + [0] * (len(s) - at)
+
     def text(self) -> tuple[str, list[int]]:
         r = self.r
         pieces = []
         for _ in range(r.choice([1, 1, 2, 2, 3, 4])):
             kind = r.random()
-            if kind < 0.32:
+            if kind < 0.26:
                 pieces.append(self.sentence(r.choice(CARRIERS)))
-            elif kind < 0.47:
+            elif kind < 0.38:
+                pieces.append(self.woven())
+            elif kind < 0.56:
                 pieces.append(self.sentence(r.choice(NOTHING)))
+            elif kind < 0.58:
+                units = [r.choice([self.word(2)[:k], self.digits(k)]) for k in (r.randint(1, 3), r.randint(1, 3))]
+                s = r.choice([" ", "", "-", ", "]).join(r.choice(units) for _ in range(r.randint(4, 60))) if r.random() < 0.5 else (" ".join(units) + " ") * r.randint(3, 40)
+                pieces.append((s, [0] * len(s)))
             else:
-                pieces.append(((s := r.choice(r.choice(self.around))), [0] * len(s)))
-        glue = r.choice([" ", "\n", ". ", " - ", ".. ", "\n- "])
+                pieces.append(((s := r.choice(self.around)), [0] * len(s)))
+        glue = r.choice([" ", "\n", ". ", " - ", ".. ", "\n- ", "; ", ", "])
         text, tags = "", []
         for k, (s, t) in enumerate(pieces):
             text, tags = text + (glue if k else "") + s, tags + [0] * (len(glue) if k else 0) + t
         if r.random() < 0.2:
             text, tags = text + ".", [*tags, 0]
-        return text[:WINDOW], tags[:WINDOW]
+        if len(text) > WINDOW:
+            at = r.randint(0, len(text) - WINDOW)
+            text, tags = text[at : at + WINDOW], tags[at : at + WINDOW]
+        return text, tags
 
 
 class Trainer:
@@ -263,74 +350,107 @@ class Trainer:
             self.w[n] -= (rate * (self.m[n] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[n] / (1 - 0.999**self.steps)) + 1e-8)).astype(np.float32)
 
 
-def surroundings(data: str, often: int = 4) -> list[list[str]]:
-    """Sentences of a bounded sample of rows that hold no item, grouped by what is the same but for masked parts.
-
-    Code names, paths, numbers and tools are masked; what recurs ``often`` times is boilerplate, while sentences with
-    someone's data differ. Signs of mail and 555 numbers rule one out.
-    """
+def surroundings(data: str) -> list[str]:
+    """Sentences of the ``SAMPLE`` documents and questions whose ids have the smallest hashes, each different sentence once."""
     import pyarrow.dataset as ds
+    import xxhash
+
+    rows = [(str(x["doc_id"]), x["text"] or "") for x in ds.dataset(f"{data}/documents.parquet").to_table(columns=["doc_id", "text"]).to_pylist()]
+    chats = ds.dataset(f"{data}/vscode_chats.parquet").to_table(columns=["requests"])["requests"].to_pylist()
+    asked = [(q["requestId"], (q["message"] or {}).get("text") or "") for chat in chats for q in (chat or []) if q and q["requestId"]]
+    found: dict[str, None] = {}
+    for part in (rows, asked):
+        for _, text in sorted(part, key=lambda x: (xxhash.xxh64_intdigest(x[0]), x[1]))[:SAMPLE]:
+            for s in re.split(r"[\r\n]+| - |(?<=[.?!]) (?=[A-ZÀ-Ý¿])", text):
+                if 0 < len(s.strip()) < 200:
+                    found.setdefault(s.strip())
+    return [*found, *code_lines(len(found))]
+
+
+def code_lines(most: int) -> list[str]:
+    """Lines of code and comments of the standard library without signs of mail, authors or house numbers: ``most`` with the smallest hashes."""
+    import pathlib
+    import sysconfig
+
+    import xxhash
+
+    lines = set()
+    for path in sorted(pathlib.Path(sysconfig.get_path("stdlib")).glob("*.py")):
+        lines.update(x.strip() for x in path.read_text(errors="replace").splitlines())
+    kept = [x for x in lines if 12 < len(x) < 160 and not re.search(r"\w@\w|uthor|opyright|ontributed|ritten by|[A-Z][a-z]+ [A-Z]|\d{5}", x)]
+    return sorted(kept, key=xxhash.xxh64_intdigest)[:most]
+
+
+def _work(task: tuple) -> tuple:
+    """A few steps of Adam from the given state on texts of the worker's own."""
+    weights, first, second, steps, seed, rate, around = task
+    trainer = Trainer(0)
+    trainer.w, trainer.m, trainer.v, trainer.steps = weights, first, second, steps
+    maker = Maker(seed, around)
+    table = _table()
+    made = sorted((maker.text() for _ in range(STEPS * BATCH_TEXTS)), key=lambda x: len(x[0]) + maker.r.random() * 24)
+    groups = [made[k : k + BATCH_TEXTS] for k in range(0, len(made), BATCH_TEXTS)]
+    maker.r.shuffle(groups)
+    losses = []
+    for part in groups:
+        longest = max(1, max(len(s) for s, _ in part))
+        x, y = np.zeros((longest, len(part)), np.int64), np.zeros((longest, len(part)), np.int64)
+        mask = np.zeros((longest, len(part)), bool)
+        for c, (s, t) in enumerate(part):
+            x[: len(s), c], y[: len(s), c], mask[: len(s), c] = table[[ord(z) for z in s]], t, True
+        loss, g = trainer.batch(x, y, mask)
+        trainer.update(g, rate)
+        losses.append(loss)
+    return trainer.w, trainer.m, trainer.v, float(np.mean(losses))
+
+
+_symbols: list[np.ndarray] = []
+
+
+def _table() -> np.ndarray:
+    from skeinlog.llm.pii import _symbol_table
+
+    if not _symbols:
+        _symbols.append(_symbol_table())
+    return _symbols[0]
+
 
-    texts: list[str] = []
-    for name, column in (("codex_history", "text"), ("grok_prompts", "prompt"), ("claude_messages", "message")):
-        for t in ds.dataset(f"{data}/{name}.parquet").head(SAMPLE, columns=[column])[column].to_pylist():
-            texts += [e["text"] or "" for e in (t["content"] or []) if e] if isinstance(t, dict) else [t or ""]
-    seen: dict[str, set[str]] = {}
-    count: dict[str, int] = {}
-    tools = re.compile(r"\b(?:" + "|".join(TOOLS) + r")\b")
-    for t in texts:
-        for s in re.split(r"\n| - |(?<=[.?!]) (?=[A-ZÀ-Ý¿])", t):
-            if 0 < len(s) < 160 and not re.search(r"@|[\[(]at[\])]| at .* dot |555|23125|7946", s):
-                key = tools.sub("#", re.sub(r"\d+", "9", re.sub(r"[\w.-]*/[\w./-]+|\b\w+_\w+|\b[a-z]+[A-Z]\w*", "#", s)))
-                seen.setdefault(key, set()).add(s)
-                count[key] = count.get(key, 0) + 1
-    return [sorted(group)[:60] for key, group in sorted(seen.items()) if count[key] >= often or (key.islower() and not re.search(r"\d", key))]
-
-
-def train(data: str, out: str = MODEL, seed: int = 1, epochs: int = EPOCHS, start: str | None = None, rate: float = 0.01) -> None:
-    """Makes the labelled texts, trains (from the weights in ``start``, if given) and writes the weights; prints held-out results."""
+def train(data: str, out: str = MODEL, seed: int = 1, rounds: int = ROUNDS, start: str | None = None, rate: float = 0.012) -> None:
+    """Trains (from the weights in ``start``, if given) and writes the weights; prints results on made texts of another seed.
+
+    ``WORKERS`` processes each take ``STEPS`` steps on new texts; then their weights are averaged: one round.
+    """
     around = surroundings(data)
-    maker = Maker(seed, around)
-    texts = [maker.text() for _ in range(TEXTS)]
-    other = Maker(seed + 1000, around)
+    other = Maker(seed + 1_000_000, around)
     held = [other.text() for _ in range(1500)]
-    trainer = Trainer(seed)
+    own = Trainer(seed)
     if start:
         with np.load(start) as known:
-            trainer.w = {n: v.astype(np.float32) for n, v in known.items()}
-    rng = np.random.default_rng(seed)
-    from skeinlog.llm.pii import _symbol_table
-
-    table = _symbol_table()
-    coded = [(table[[ord(c) for c in s]], np.array(t)) for s, t in texts]
+            own.w = {n: v.astype(np.float32) for n, v in known.items()}
+    w, m, v = own.w, own.m, own.v
+    _table()
     began = time.time()
-    for epoch in range(epochs):
-        order = np.argsort([len(s) + rng.normal() * 12 for s, _ in coded])
-        groups = [order[k : k + BATCH_TEXTS] for k in range(0, len(order), BATCH_TEXTS)]
-        losses = []
-        for k in rng.permutation(len(groups)):
-            part = [coded[i] for i in groups[k]]
-            longest = max(len(s) for s, _ in part)
-            x, y = np.zeros((longest, len(part)), np.int64), np.zeros((longest, len(part)), np.int64)
-            mask = np.zeros((longest, len(part)), bool)
-            for c, (s, t) in enumerate(part):
-                x[: len(s), c], y[: len(s), c], mask[: len(s), c] = s, t, True
-            loss, g = trainer.batch(x, y, mask)
-            trainer.update(g, rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.02))
-            losses.append(loss)
-        np.savez(out, **{n: v.astype(np.float16) if n == "X" else v for n, v in trainer.w.items()})
-        if epoch % 3 == 2 or epoch == epochs - 1:
-            own = Tagger({n: v.copy() for n, v in trainer.w.items()})
-            right = wrong = missed = 0
-            for (s, t), tags in zip(held, own.tag([s for s, _ in held]), strict=True):
-                want, got = items(s, np.array(t, np.int8)), items(s, tags)
-                right += len(set(want) & set(got))
-                wrong += len(set(got) - set(want))
-                missed += len(set(want) - set(got))
-            print(f"epoch {epoch} loss {np.mean(losses):.3f} held out: right {right} wrong {wrong} missed {missed} ({time.time() - began:.0f} s)", flush=True)
+    with multiprocessing.get_context("fork").Pool(WORKERS) as pool:
+        for k in range(rounds):
+            now = rate * (0.5 * (1 + np.cos(np.pi * k / rounds)) + 0.02)
+            done = pool.map(_work, [(w, m, v, k * STEPS, seed * 100_000 + k * WORKERS + i, now, around) for i in range(WORKERS)], chunksize=1)
+            w, m, v = ({n: np.mean([d[j][n] for d in done], axis=0).astype(np.float32) for n in w} for j in range(3))
+            if k % 10 == 9 or k == rounds - 1:
+                tagger = Tagger({n: x.copy() for n, x in w.items()})
+                right = wrong = missed = 0
+                for (s, t), tags in zip(held, tagger.tag([s for s, _ in held]), strict=True):
+                    want, got = items(s, np.array(t, np.int8)), items(s, tags)
+                    right += len(set(want) & set(got))
+                    wrong += len(set(got) - set(want))
+                    missed += len(set(want) - set(got))
+                print(f"round {k} loss {np.mean([d[3] for d in done]):.3f} held out: right {right} wrong {wrong} missed {missed} ({time.time() - began:.0f} s)", flush=True)
+    np.savez(out, **{n: x.astype(np.float16) if n == "X" else x for n, x in w.items()})
 
 
 if __name__ == "__main__":
-    # The weights beside the model: 26 epochs, then 9 more with seed 2 at a lower rate.
+    # The weights beside the model: 360 rounds, then 110, 90 and 45 more at lower rates.
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     train(sys.argv[1])
-    train(sys.argv[1], seed=2, epochs=9, start=MODEL, rate=0.004)
+    train(sys.argv[1], seed=2, rounds=110, start=MODEL, rate=0.005)
+    train(sys.argv[1], seed=3, rounds=90, start=MODEL, rate=0.005)
+    train(sys.argv[1], seed=4, rounds=45, start=MODEL, rate=0.004)
