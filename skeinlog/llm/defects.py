@@ -1,88 +1,60 @@
 """Broken prompt and response pairs (problem 3).
 
 A multi-label linear classifier on hashed n-grams and pair features flags answers that are empty, truncated,
-refusals, copies of the question or in another language. It is trained when the query runs, on a bounded
-sample of the pairs (``SAMPLE``): their answers are truncated, copied, swapped and refused synthetically; a
-held-out part of these calibrates one threshold per defect. Sampled pairs that the first round finds
-defective are left out of the second. The weights, a few hundred kilobytes whatever the data, then score
-every pair.
+refusals, copies of the question or in another language. It is trained by ``defects_training`` on synthetically
+truncated, copied, swapped and refused answers, with thresholds calibrated on a held-out part; weights and
+thresholds lie beside this module. Pairs are scored in whole Arrow batches: token numbers, n-gram hashes and
+letter triples are arrays, and the score is one sparse product. Only ids and verdicts are shuffled.
 """
 
 from __future__ import annotations
 
-import math
-import random
+import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFECTS = ["empty", "truncated", "refusal", "copy", "language"]
-#: Most pairs that training sees.
-SAMPLE = 3000
-BITS = 15
-LANGUAGE_BITS = 13
-ROUNDS = 7
-
-#: Frequent words by language; fixed values.
-FREQUENT = {
-    "en": "the a an is are was to of and in that it for with this you on not as be can how what why do does by from when so have".split(),
-    "de": "der die das und ist nicht ein eine den dem mit zu auf für von wir sich wird bitte ich es im wenn nur noch einen warum wie".split(),
-    "fr": "le la les un une des et est pas pour que dans ne il je ce sur avec du au plus qui pourquoi comment avant après deux".split(),
-    "es": "el la los las un una y es no para que en se de del por con más como su lo al hasta después así qué cómo".split(),
-    "it": "il lo gli una è non per che di con sono della nel più come questo".split(),
-    "pt": "o os uma é não para que de com são da no mais como este isso".split(),
-}
-#: Scripts that tell a language by themselves, by the start of their letters' Unicode names; fixed values.
-SCRIPTS = {"CYRILLIC": "ru", "GREEK": "el", "HIRAGANA": "ja", "KATAKANA": "ja", "CJK": "ja", "HANGUL": "ko", "ARABIC": "ar", "HEBREW": "he", "THAI": "th", "DEVANAGARI": "hi"}
-LANGUAGES = [*FREQUENT, "ru", "el", "ja", "ko", "ar", "he", "th", "hi"]
+BITS, LANGUAGE_BITS, DENSE = 15, 13, 40
+MODEL = os.path.join(os.path.dirname(__file__), "defects_model.npz")
+
+#: Languages of Latin script with a profile, then those told by their script alone.
+LATIN = ["en", "de", "fr", "es", "it", "pt", "nl", "pl", "sv", "tr"]
+#: First and last code points of scripts that tell a language by themselves; fixed values.
+SCRIPTS = {"ru": [(0x400, 0x52F)], "el": [(0x370, 0x3FF), (0x1F00, 0x1FFF)], "ja": [(0x3040, 0x30FF), (0x4E00, 0x9FFF)], "ko": [(0xAC00, 0xD7AF)], "ar": [(0x600, 0x6FF)], "he": [(0x590, 0x5FF)], "th": [(0xE00, 0xE7F)], "hi": [(0x900, 0x97F)]}
+LANGUAGES = [*LATIN, *SCRIPTS]
 #: Names of languages by which a question may ask for one; fixed values.
 ASKED = {
-    "en": r"english|englisch|anglais|inglés|inglese", "de": r"german|deutsch|allemand|alemán", "fr": r"french|französisch|français|francés", "es": r"spanish|spanisch|espagnol|español|castellano",
-    "it": r"italian|italienisch|italien|italiano", "pt": r"portuguese|portugiesisch|portugais|portugués", "ru": r"russian|russisch|russe|ruso", "el": r"greek|griechisch|grec|griego", "ja": r"japanese|japanisch|japonais|japonés",
-}
-ASKS = {k: re.compile(rf"\b(?:{v})\b", re.I) for k, v in ASKED.items()}
-#: Parts of refusals by language, combined at random for training; fixed values.
-REFUSALS = {
-    "en": (["I'm sorry, but ", "Sorry, ", "Unfortunately ", "I apologize, but ", "As an assistant ", "No. ", "Apologies, but ", ""],
-           ["I can't help with that request", "I cannot provide what you are asking for", "I am not able to assist with this", "this is something I have to decline", "I won't do that", "I must refuse to work on {f} for policy reasons",
-            "my guidelines don't permit me to touch {f}", "that falls outside what I'm allowed to do", "I'd rather not take part in this", "that is not a task for me, and I will not continue", "answering this is off limits for me",
-            "I can't continue with this conversation", "I'm unable to comply with your request", "I am not permitted to answer this question", "this is against my rules",
-            "no comment can be given on this matter", "there will be no answer to this", "this request goes against the rules I follow, therefore there will be no answer", "no change will be made", "that is something I don't do", "I have been told not to discuss {f}",
-            "I would prefer not to", "I decline", "this topic is closed for me, so no answer follows", "policy does not allow me to go on", "I don't feel comfortable helping here"],
-           ["", "", "", " Is there another task?", " Please ask something else.", " I'll leave it there."]),
-    "de": (["Es tut mir leid, ", "Leider ", "Nein, ", "Entschuldigung, ", ""],
-           ["dabei kann ich leider nicht helfen", "diese Anfrage muss ich ablehnen", "das darf ich nicht bearbeiten", "meine Richtlinien lassen das nicht zu", "dazu gebe ich keine Auskunft", "das kann ich nicht beantworten", "ich werde das nicht tun", "das liegt außerhalb dessen, was ich tun darf", "dazu sage ich nichts", "diese Bitte verstößt gegen meine Regeln", "das lehne ich ab"],
-           ["", "", " Bitte stelle eine andere Frage.", " Gibt es etwas anderes?"]),
-    "fr": (["Je suis désolé, ", "Désolé, ", "Malheureusement ", "Non, ", ""],
-           ["je ne peux pas répondre à cette demande", "mes règles m'interdisent de continuer", "je dois refuser de traiter ce sujet", "je ne ferai pas cela", "je ne suis pas autorisé à aider", "il m'est impossible d'accepter cette demande", "cela sort de ce qu'il m'est permis de faire", "je préfère ne pas répondre", "cette demande va contre mes règles", "je ne peux rien dire à ce sujet"],
-           ["", "", " Y a-t-il autre chose ?", " Posez une autre question."]),
-    "es": (["Lo siento, ", "Lamentablemente ", "No, ", "Perdón, ", ""],
-           ["no puedo ayudar con esa petición", "mis normas no me permiten seguir", "tengo que rechazar esta solicitud", "no voy a hacer eso", "no estoy autorizado a responder", "no me es posible continuar con esto", "eso queda fuera de lo que se me permite hacer", "prefiero no responder", "esta petición va contra mis reglas", "no puedo decir nada al respecto"],
-           ["", "", " ¿Hay otra cosa?", " Haz otra pregunta."]),
+    "en": r"english|englisch\w*|anglais|inglés|inglese|английск\w*|英語", "de": r"german|deutsch\w*|allemand|alemán|tedesco|немецк\w*", "fr": r"french|französisch\w*|français|francés|francese", "es": r"spanish|spanisch\w*|espagnol|español|castellano",
+    "it": r"italian|italienisch\w*|italien|italiano", "pt": r"portuguese|portugiesisch\w*|portugais|portugués|português", "nl": r"dutch|niederländisch\w*|néerlandais", "pl": r"polish|polnisch\w*|polonais|polaco", "sv": r"swedish|schwedisch\w*|suédois|sueco", "tr": r"turkish|türkisch\w*|turc|turco",
+    "ru": r"russian|russisch\w*|russe|ruso|по-русски", "el": r"greek|griechisch\w*|grec|griego", "ja": r"japanese|japanisch\w*|japonais|japonés|日本語",
 }
-#: Starts that are no refusal although they sound like one; fixed values.
-HARMLESS = ["Sorry, I missed that earlier. ", "I can't open the log from here, but this should help. ", "Apologies for the delay. ", "I cannot see the file, so I worked from the diff. ", "Leider fehlte ein Test, er ist jetzt da. ", "Désolé pour le retard. ", "Lo siento por la espera. "]
-#: Dressings of a copied question, and of one that an answer follows; fixed values.
-DRESSINGS = ["{q}", "{q}", '"{q}"', "> {q}", "**{q}**", "Q: {q}", "Your question: {q}", "You asked: {q}", "{q}...", "{q}\n", "`{q}`", "{q} {q}", "Question: {q}", "Deine Frage: {q}", "Votre question : {q}", "Tu pregunta: {q}", "«{q}»", "# {q}"]
-LED = ["{q}\n\n{a}", "> {q}\n\n{a}", "You asked: {q}\n\n{a}", "**{q}**\n\n{a}"]
-
-
-def visible(text: str) -> bool:
-    """Whether anything of a text can be seen."""
-    return any(unicodedata.category(c)[0] not in "ZC" and c not in "ㅤᅟᅠﾠ" for c in text)
-
+ASKS = {k: re.compile(rf"\b(?:{v})", re.I) for k, v in ASKED.items()}
 
+_VISIBLE = regex.compile(r"[^\p{Z}\p{C}ㅤᅟᅠﾠ]")
 _PATH = re.compile(r"[\w.~-]*/[\w./~-]*\w")
 _NAME = re.compile(r"\b(?:[A-Za-z]+_\w+|[a-z]+[A-Z]\w*|\w*\d\w*[A-Za-z]\w*)\b")
 _DIGITS = re.compile(r"\d+")
 _TOKENS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[‹›]\w?|[^\w\s]|\n")
+_FENCED = re.compile(r"```.*?(?:```|\Z)", re.S)
+_UNSPOKEN = re.compile(r"[\W\d_‹›]+")
+_SQUEEZED = re.compile(r"[\W_]+")
+_SENTENCE = re.compile(r"[.!?。！？]+(?:\s|$)")
+_ITEM = re.compile(r"(?:[-*•]|\d+[.)])(?:\s|$)")
+_BARE_ITEM = re.compile(r"[-*•]|\d+[.)]?")
+
+
+def visible(text: str) -> bool:
+    """Whether anything of a text can be seen."""
+    return _VISIBLE.search(text) is not None
 
 
 def simplified(text: str) -> str:
@@ -90,334 +62,215 @@ def simplified(text: str) -> str:
     return _DIGITS.sub("9", _NAME.sub("‹", _PATH.sub("›", text)))
 
 
-def _hash(text: str, bits: int) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in one array and the length of each."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _mixed(parts: list[np.ndarray], salt: int, bits: int) -> np.ndarray:
+    """One hash of ``bits`` bits from several arrays of numbers."""
+    h = np.full(len(parts[0]), np.uint64(salt * 2 + 1))
+    for p in parts:
+        h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _grams(values: np.ndarray, owner: np.ndarray, n: int, salt: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of each run of ``n`` values of one owner."""
+    if len(values) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last = len(values) - n + 1
+    same = owner[:last] == owner[n - 1 :]
+    return owner[:last][same], _mixed([values[k : k + last][same] for k in range(n)], salt, bits)
 
 
-def script_language(text: str) -> str | None:
-    """The language that the script of most letters tells, if any."""
-    count: dict[str, int] = {}
-    letters = 0
-    for c in text:
-        if c.isalpha():
-            letters += 1
-            if c > "ͯ":
-                word = unicodedata.name(c, "").split(" ")[0]
-                if word in SCRIPTS:
-                    count[SCRIPTS[word]] = count.get(SCRIPTS[word], 0) + 1
-    best = max(count, key=count.get, default=None)
-    return best if best and count[best] > 0.3 * letters else None
+_scripts: list[np.ndarray] = []
 
 
-def by_words(text: str) -> str | None:
-    """The language whose frequent words a text has most of; None without a clear one."""
-    script = script_language(text)
-    if script:
-        return script
-    words = re.findall(r"[^\W\d_]+", simplified(text).lower())
-    score = {k: sum(w in s for w in words) for k, s in _FREQUENT.items()}
-    first, second = sorted(score.values())[-1], sorted(score.values())[-2]
-    return max(score, key=score.get) if first > second and first >= 1 else None
+def _script_table() -> np.ndarray:
+    """For each code point 0: no letter, 1: a letter, 2 and more: a letter of a telling script."""
+    if not _scripts:
+        table = np.fromiter((chr(p).isalpha() for p in range(0x30000)), np.uint8, 0x30000)
+        for k, spans in enumerate(SCRIPTS.values()):
+            for a, b in spans:
+                table[a : b + 1] *= k + 2
+        _scripts.append(table)
+    return _scripts[0]
 
 
-_FREQUENT = {k: set(v) for k, v in FREQUENT.items()}
+def script_shares(texts: list[str]) -> np.ndarray:
+    """Number in SCRIPTS of the script that tells each text's language, -1 without one."""
+    points, size = _points(texts)
+    kind = _script_table()[np.minimum(points, 0x2FFFF).astype(np.int64)]
+    width = len(SCRIPTS) + 2
+    count = np.bincount(np.repeat(np.arange(len(texts)), size) * width + kind, minlength=len(texts) * width).reshape(-1, width)
+    best = count[:, 2:].argmax(1)
+    return np.where(count[:, 2:].max(1) > 0.3 * np.maximum(1, count[:, 1:].sum(1)), best, -1)
 
 
-def _grams(text: str) -> list[int]:
-    flat = " " + re.sub(r"[\W\d_‹›]+", " ", re.sub(r"```.*?(?:```|$)", " ", simplified(text), flags=re.S).lower()).strip() + " "
-    return [_hash(flat[k : k + 3], LANGUAGE_BITS) for k in range(len(flat) - 2)]
+def triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of each letter triple of the prose in each text: code, names, paths and numbers left out."""
+    flat = [" " + _UNSPOKEN.sub(" ", _FENCED.sub(" ", s)).strip().lower() + " " for s in texts]
+    points, size = _points(flat)
+    return _grams(points, np.repeat(np.arange(len(texts)), size), 3, 7, LANGUAGE_BITS)
 
 
 @dataclass
 class Model:
     """Weights of the languages and of the defects, and the thresholds."""
 
-    languages: np.ndarray  # (languages, grams) logarithms
+    languages: np.ndarray  # (latin languages, triples) logarithms
     weights: np.ndarray | None = None  # (features, defects)
     threshold: np.ndarray | None = None
-    whole: bool = False  # whether short answers also count as a whole
-    known: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def language(self, text: str) -> np.ndarray:
-        """Shares of the languages in a text; even where it says nothing."""
-        found = self.known.get(text)
-        if found is None:
-            if len(self.known) > 5000:
-                self.known.clear()
-            found = self.known[text] = self._language(text)
-        return found
-
-    def _language(self, text: str) -> np.ndarray:
-        out = np.zeros(len(LANGUAGES))
-        script = script_language(text)
-        if script:
-            out[LANGUAGES.index(script)] = 1
-            return out
-        grams = _grams(text)
-        if len(grams) < 3:
-            out[: len(FREQUENT)] = 1 / len(FREQUENT)
-            return out
-        score = self.languages[:, grams].sum(1)
-        share = np.exp((score - score.max()) / math.sqrt(len(grams)))
-        out[: len(FREQUENT)] = share / share.sum()
-        return out
+    whole: bool = True  # whether a short answer also counts as a whole
 
-    def features(self, question: str, answer: str) -> dict[int, float]:
-        """Hashed features of a pair; the last 64 places are for pair features."""
-        base = 1 << BITS
-        out: dict[int, float] = {base: 1.0}
-        if not visible(answer):
-            out[base + 1] = 4.0
+    def spoken(self, texts: list[str], plain: list[str]) -> np.ndarray:
+        """Shares of the languages in each text (texts x LANGUAGES); even over the Latin ones where it says nothing."""
+        n = len(texts)
+        out = np.zeros((n, len(LANGUAGES)))
+        if not n:
             return out
-        plain = simplified(answer)
-        tokens = [t.lower() for t in _TOKENS.findall(plain)]
-        words = [t for t in tokens if t != "\n"]
-        grams = {f"w{a}" for a in words} | {f"b{a} {b}" for a, b in zip(words, words[1:], strict=False)} | {f"c{a} {b} {c}" for a, b, c in zip(words, words[1:], words[2:], strict=False)}
-        weight = 3.0 / math.sqrt(max(1, len(grams)))
-        for g in grams:
-            out[_hash(g, BITS)] = out.get(_hash(g, BITS), 0.0) + weight
-        tail = tokens[-4:]
-        for n in (1, 2, 3, 4):
-            if len(tail) >= n:
-                out[_hash(f"t{n} " + " ".join(tail[-n:]), BITS)] = 1.0
-        fences = answer.count("```")
-        last = answer.rstrip().rsplit("\n", 1)[-1].strip()
-        end = answer.rstrip()[-1]
-        listed = bool(re.match(r"(?:[-*•]|\d+[.)])(?:\s|$)", last))
-        sentences = len(re.findall(r"[.!?。]+(?:\s|$)", plain))
-        put = lambda k, v: out.__setitem__(base + k, float(v))
-        put(2, 2 * (fences % 2))
-        put(3, 2 * bool(re.fullmatch(r"[-*•]|\d+[.)]?", last)))
-        put(4, end in ".!?。！？")
-        put(5, 3 * (end == ":" or end == "："))
-        put(6, end.isalnum() and not listed)
-        put(7, listed)
-        put(8, end in ",;(-–—“«")
-        put(9, unicodedata.category(end)[0] == "S" or end in ")`\"'»”")
-        put(10, fences and fences % 2 == 0 and answer.rstrip().endswith("```"))
-        put(11, min(sentences, 6) / 3)
-        put(12, sentences <= 2)
-        put(13, len(words) <= 12)
-        put(14, answer.count("(") > answer.count(")"))
-        put(15, last.count("`") % 2 and "```" not in last)
-        put(16, 2 * (sentences >= 1 and end.isalnum() and not listed))
-        if self.whole and len(words) <= 10:
-            out[_hash("all " + " ".join(words), BITS)] = 2.0
-        q = re.sub(r"[\W_]+", "", question).casefold()
-        a = re.sub(r"[\W_]+", "", answer).casefold()
-        if q and a:
-            gq, ga = ({x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in (q, a))
-            both = len(gq & ga)
-            put(20, both / len(ga))
-            put(21, both / len(gq))
-            put(22, 2 * (both / len(ga) > 0.6 and both / len(gq) > 0.8))
-            put(23, 3 * (a.replace(q, "") == "" or (q in a and len(a) - len(q) < 18)))
-            put(24, q in a and len(a) - len(q) >= 25)
-            put(25, min(3.0, len(a) / len(q)) / 3)
-        lq, la = self.language(question), self.language(answer)
-        same = float(lq @ la)
-        asked = sum(float(la[LANGUAGES.index(k)]) for k, p in ASKS.items() if p.search(question))
-        fit = max(same, asked)
-        put(30, fit)
-        put(31, 2 * (fit < 0.3))
-        put(32, (fit < 0.3) * min(1.0, len(words) / 8))
-        put(33, 2 * (fit < 0.1))
-        put(34, float(la.max()) * (1 - fit))
+        script = script_shares(texts)
+        owner, gram = triples(plain)
+        count = np.bincount(owner, minlength=n)
+        score = np.stack([np.bincount(owner, weights=row[gram], minlength=n) for row in self.languages], 1)
+        score = (score - score.max(1, keepdims=True)) / np.sqrt(np.maximum(1, count))[:, None]
+        share = np.exp(score) * (count >= 3)[:, None] + (count < 3)[:, None]
+        out[:, : len(LATIN)] = share / share.sum(1, keepdims=True)
+        told = script >= 0
+        out[told] = 0
+        out[np.flatnonzero(told), len(LATIN) + script[told]] = 1
         return out
 
-    def score(self, pairs: list[tuple[str, str]]) -> np.ndarray:
-        """Probability of each defect (pairs x defects)."""
-        out = np.zeros((len(pairs), len(DEFECTS)))
-        for k, (q, a) in enumerate(pairs):
-            f = self.features(q, a)
-            out[k] = np.fromiter(f.values(), float) @ self.weights[np.fromiter(f.keys(), int)]
-        return 1 / (1 + np.exp(-out))
+    def features(self, questions: list[str], answers: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``row, place, value`` of the hashed features and the dense pair features (pairs x DENSE)."""
+        n = len(answers)
+        plain = [simplified(a) for a in answers]
+        found = [_TOKENS.findall(p) for p in plain]
+        number: dict[str, int] = {}
+        flat = np.fromiter((number.setdefault(t, len(number)) for tokens in found for t in tokens), np.int64)
+        codes = np.fromiter((zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) for t in number), np.uint64, len(number))
+        all_codes = codes[flat] if len(flat) else np.zeros(0, np.uint64)
+        size = np.fromiter(map(len, found), np.int64, n)
+        owner = np.repeat(np.arange(n), size)
+        line = zlib.crc32(b"\n")
+        word = all_codes != line
+        w, o = all_codes[word], owner[word]
+        parts = [_grams(w, o, k, k, BITS) for k in (1, 2, 3)]
+        key = np.unique(np.concatenate([(a << BITS) | g for a, g in parts]))
+        row, place = key >> BITS, key & ((1 << BITS) - 1)
+        grams = np.bincount(row, minlength=n)
+        value = (3.0 / np.sqrt(np.maximum(1, grams)))[row]
+        end = np.cumsum(size)
+        more = []
+        for k in (1, 2, 3, 4):
+            have = np.flatnonzero(size >= k)
+            more.append((have, _mixed([all_codes[end[have] - k + j] for j in range(k)], 10 + k, BITS), np.ones(len(have))))
+        words = np.bincount(o, minlength=n)
+        short = np.flatnonzero((words <= 10) & (words > 0) & self.whole)
+        whole = [zlib.crc32(" ".join(t.lower() for t in found[k] if t != "\n").encode("utf-8", "surrogatepass")) for k in short]
+        more.append((short, _mixed([np.array(whole, np.uint64)], 20, BITS) if len(short) else np.zeros(0, np.int64), np.full(len(short), 2.0)))
+        row, place, value = (np.concatenate(x) for x in zip((row, place, value), *more, strict=True))
+        dense = np.zeros((n, DENSE))
+        dense[:, 0] = 1
+        dense[:, 13] = words <= 12
+        for k, (a, p) in enumerate(zip(answers, plain, strict=True)):
+            _shape(dense[k], a, p)
+        self._pair(dense, questions, answers, plain, words)
+        return row, place, value, dense
+
+    def _pair(self, dense: np.ndarray, questions: list[str], answers: list[str], plain: list[str], words: np.ndarray) -> None:
+        """What question and answer have in common: runs of five letters, and the languages."""
+        n = len(answers)
+        qs, as_ = ([_SQUEEZED.sub("", x).casefold() for x in part] for part in (questions, answers))
+        sets = []
+        for part in (qs, as_):
+            points, size = _points(part)
+            owner, gram = _grams(points, np.repeat(np.arange(n), size), 5, 5, 40)
+            few = np.flatnonzero((size > 0) & (size < 5))
+            owner = np.concatenate([owner, few])
+            gram = np.concatenate([gram, np.array([zlib.crc32(part[k].encode("utf-8", "surrogatepass")) for k in few], np.int64)])
+            # Two passes through the same keys: sorted pairs of owner and gram.
+            sets.append(np.unique(_mixed([owner, gram], 6, 63).astype(np.uint64) >> np.uint64(24) | (owner.astype(np.uint64) << np.uint64(39))))
+        here = [np.bincount((s >> np.uint64(39)).astype(np.int64), minlength=n)[:n] for s in sets]
+        both = np.bincount((np.intersect1d(*sets, assume_unique=True) >> np.uint64(39)).astype(np.int64), minlength=n)[:n]
+        ok = (here[0] > 0) & (here[1] > 0)
+        in_answer, in_question = both / np.maximum(1, here[1]), both / np.maximum(1, here[0])
+        dense[:, 20], dense[:, 21] = in_answer * ok, in_question * ok
+        dense[:, 22] = 2 * ok * ((in_answer > 0.6) & (in_question > 0.8))
+        for k in np.flatnonzero(ok & (in_question > 0.8)):
+            q, a = qs[k], as_[k]
+            inside = q in a
+            dense[k, 23] = 3 * (inside and (len(a) - len(q) < 18 or a.replace(q, "") == ""))
+            dense[k, 24] = inside and len(a) - len(q) >= 25
+        dense[:, 25] = ok * np.minimum(3.0, [len(a) / max(1, len(q)) for q, a in zip(qs, as_, strict=True)]) / 3
+        lq, la = self.spoken(questions, [simplified(q) for q in questions]), self.spoken(answers, plain)
+        asked = np.zeros(n)
+        for k, p in ASKS.items():
+            at = LANGUAGES.index(k)
+            asked += np.fromiter((p.search(q) is not None for q in questions), bool, n) * la[:, at]
+        fit = np.maximum((lq * la).sum(1), asked)
+        dense[:, 30], dense[:, 31], dense[:, 32], dense[:, 33] = fit, 2 * (fit < 0.3), (fit < 0.3) * np.minimum(1.0, words / 8), 2 * (fit < 0.1)
+        dense[:, 34] = la.max(1) * (1 - fit)
+
+    def score(self, questions: list[str], answers: list[str]) -> np.ndarray:
+        """Logarithmic odds of each defect (pairs x defects)."""
+        row, place, value, dense = self.features(questions, answers)
+        out = dense @ self.weights[1 << BITS :]
+        for d in range(len(DEFECTS)):
+            out[:, d] += np.bincount(row, weights=self.weights[place, d] * value, minlength=len(answers))
+        return out
 
-    def decide(self, pairs: list[tuple[str, str]]) -> list[str | None]:
+    def decide(self, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
         """The defect of each pair: the one farthest above its threshold; None for a sound pair."""
-        shown = [visible(a) for _, a in pairs]
-        odds = self.score(pairs)
-        over = np.log(odds / (1 - odds) + 1e-12) - np.log(self.threshold / (1 - self.threshold))
+        if not pairs:
+            return []
+        questions, answers = ([x or "" for x in part] for part in zip(*pairs, strict=True))
+        over = self.score(questions, answers) - self.threshold
         over[:, 0] = -np.inf  # empty is checked exactly
         best = over.argmax(1)
-        return [("empty" if not seen else DEFECTS[b] if over[k, b] > 0 else None) for k, (seen, b) in enumerate(zip(shown, best, strict=True))]
-
-
-def learn_languages(texts: list[str]) -> np.ndarray:
-    """Logarithms of the shares of letter triples per language, from texts that frequent words assign."""
-    count = np.full((len(FREQUENT), 1 << LANGUAGE_BITS), 0.02)
-    for k, words in enumerate(FREQUENT.values()):
-        for w in words:
-            np.add.at(count[k], _grams(w), 1.0)
-    names = list(FREQUENT)
-    for text in texts:
-        known = by_words(text)
-        if known in FREQUENT:
-            np.add.at(count[names.index(known)], _grams(text), 1.0)
-    return np.log(count / count.sum(1, keepdims=True))
-
-
-def truncated(r: random.Random, answer: str) -> str | None:
-    """The answer cut off where it is not finished; None where no such place is found."""
-    for _ in range(8):
-        form = r.random()
-        at = r.randint(max(3, len(answer) // 4), len(answer) - 1) if len(answer) > 8 else 0
-        if form < 0.25 and "```" in answer:
-            at = answer.index("```") + r.randint(3, max(4, len(answer) - answer.index("```") - 4))
-        elif form < 0.45 and "\n" in answer:
-            rows = answer.split("\n")
-            k = r.randint(1, len(rows))
-            marker = re.match(r"\s*(?:[-*•]|\d+[.)])", rows[k - 1])
-            if marker:
-                text = "\n".join([*rows[: k - 1], marker.group()])
-                return text if text.strip() and text.strip() != marker.group().strip() else None
-        elif form < 0.5:
-            return answer + r.choice(["\n\nThe remaining steps:", "\n\nDo the following:\n1.", "\nWas noch fehlt:", "\nIl reste à faire :", "\nFaltan estos pasos:"])
-        elif form < 0.65:
-            spaces = [m.start() for m in re.finditer(" ", answer)]
-            at = r.choice(spaces) if spaces else at
-        text = answer[:at].rstrip()
-        if len(text) < 3 or not visible(text):
-            continue
-        if (text.count("```") % 2 == 0) and (text[-1] in ".!?。:)`" or answer[at : at + 1] == "\n" or answer[at:].strip(" .!?。") == ""):
-            continue
-        return text
-    return None
-
-
-def refused(r: random.Random, language: str) -> str:
-    start, middle, end = REFUSALS.get(language, REFUSALS["en"])
-    a, b = r.choice(start), r.choice(middle).format(f=r.choice(["src/a.py", "lib/b/c.go", "that file"]))
-    text = a + (b if a and not a.endswith(". ") else b[0].upper() + b[1:])
-    return text + "." + r.choice(end)
-
-
-def copied(r: random.Random, question: str) -> str:
-    q = question
-    form = r.random()
-    if form < 0.1:
-        q = q.upper()
-    elif form < 0.2:
-        q = q.lower()
-    elif form < 0.3:
-        q = re.sub(" ", "  ", q)
-    elif form < 0.4:
-        q = q.rstrip(".?!")
-    return r.choice(DRESSINGS).format(q=q)
-
-
-def synthesize(r: random.Random, pairs: list[tuple[str, str]]) -> list[tuple[tuple[str, str], int]]:
-    """Pairs and the number of their defect (-1: none) made from pairs taken as sound."""
-    out: list[tuple[tuple[str, str], int]] = []
-    spoken = [by_words(a) or "en" for _, a in pairs]
-    by: dict[str, list[str]] = {}
-    for (_, a), k in zip(pairs, spoken, strict=True):
-        by.setdefault(k, []).append(a)
-    names = {"de": ["Answer in German, please.", "Auf Deutsch bitte."], "fr": ["Reply in French.", "Réponds en français."], "es": ["Write the answer in Spanish for the team.", "En español, por favor."], "en": ["Please answer in English.", "Bitte auf Englisch."]}
-    for (q, a), own in zip(pairs, spoken, strict=True):
-        out.append(((q, a), -1))
-        for _ in range(2):
-            cut = truncated(r, a)
-            if cut:
-                out.append(((q, cut), 1))
-        out.append(((q, refused(r, own if r.random() < 0.85 else r.choice(list(REFUSALS)))), 2))
-        if q.strip():
-            out.append(((q, copied(r, q)), 3))
-            if r.random() < 0.5:
-                out.append(((q, r.choice(LED).format(q=q, a=a)), -1))
-        others = [k for k in by if k != own]
-        if others:
-            k = r.choice(others)
-            foreign = r.choice(by[k])
-            if by_words(q) == own:
-                out.append(((q, foreign), 4))
-                if k in names:
-                    out.append(((f"{q} {r.choice(names[k])}", foreign), -1))
-                other = [x for x in names if x not in (own, k)]
-                if other:
-                    out.append(((f"{q} {r.choice(names[r.choice(other)])}", foreign), 4))
-        if r.random() < 0.3:
-            out.append(((q, r.choice(HARMLESS) + a), -1))
-        if r.random() < 0.1:
-            out.append(((q, r.choice(["", " ", "\n", "​", "   \n"])), 0))
-    return out
-
-
-def _fit(model: Model, rows: list[tuple[tuple[str, str], int]], seed: int, rounds: int = ROUNDS) -> None:
-    """Logistic regression for each defect by Adagrad; thresholds from a held-out fifth."""
-    r = np.random.default_rng(seed)
-    coded = [model.features(q, a) for (q, a), _ in rows]
-    size = np.array([len(f) for f in coded])
-    index = np.concatenate([np.fromiter(f.keys(), np.int64) for f in coded])
-    value = np.concatenate([np.fromiter(f.values(), np.float64) for f in coded])
-    start = np.cumsum(size) - size
-    target = np.zeros((len(rows), len(DEFECTS)))
-    for k, (_, d) in enumerate(rows):
-        if d >= 0:
-            target[k, d] = 1
-    held = np.arange(len(rows)) % 5 == 4
-    used = np.flatnonzero(~held)
-    places = (1 << BITS) + 64
-    w, g2 = np.zeros((places, len(DEFECTS))), np.full((places, len(DEFECTS)), 1e-6)
-
-    def entries(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = size[part].sum()
-        first = np.cumsum(size[part]) - size[part]
-        return np.repeat(start[part] - first, size[part]) + np.arange(total), first
-
-    for round_ in range(rounds):
-        r.shuffle(used)
-        for k in range(0, len(used), 256):
-            part = used[k : k + 256]
-            at, first = entries(part)
-            i, v = index[at], value[at]
-            z = np.add.reduceat(w[i] * v[:, None], first, axis=0)
-            e = (1 / (1 + np.exp(-z)) - target[part]) / len(part)
-            row = np.repeat(np.arange(len(part)), size[part])
-            g = np.stack([np.bincount(i, weights=v * e[row, d], minlength=places) for d in range(len(DEFECTS))], 1)
-            g2 += g * g
-            w -= 0.35 / (1 + 0.15 * round_) * g / np.sqrt(g2)
-    model.weights = w
-    rest = np.flatnonzero(held)
-    at, first = entries(rest)
-    p = 1 / (1 + np.exp(-np.add.reduceat(w[index[at]] * value[at][:, None], first, axis=0)))
-    model.threshold = np.full(len(DEFECTS), 0.5)
-    for d in range(len(DEFECTS)):
-        order = np.argsort(-p[:, d])
-        hit = target[rest][order, d]
-        right = np.cumsum(hit)
-        f1 = 2 * right / (np.arange(1, len(hit) + 1) + max(1, hit.sum()))
-        best = int(f1.argmax())
-        below = p[order[best + 1], d] if best + 1 < len(order) else 0.0
-        model.threshold[d] = min(0.97, max(0.2, (p[order[best], d] + below) / 2))
-
-
-def train(pairs: list[tuple[str, str]], seed: int = 7) -> Model:
-    """A model from sampled pairs, most of which are sound. Two rounds: the second without what the first flags."""
-    r = random.Random(seed)
-    pairs = [(q or "", a or "") for q, a in pairs]
-    model = Model(learn_languages([x for pair in pairs for x in pair]))
-    plausible = [(q, a) for q, a in pairs if visible(a)]
-    if not plausible:
-        plausible = [("How do I run the tests?", "Call the test runner once. It prints a report."), ("Wie starte ich die Tests?", "Rufe das Skript auf. Es schreibt einen Bericht.")]
-    # Answers that occur often count once in the first round, so that frequent refusals don't pass as sound.
-    _fit(model, synthesize(r, list({simplified(a): (q, a) for q, a in plausible}.values())), seed, 4)
-    odds = model.score(plausible)
-    # What is said again and again in the same words is no cut text, however it ends.
-    often: dict[str, int] = {}
-    for _, a in plausible:
-        often[simplified(a)] = often.get(simplified(a), 0) + 1
-    limit = 0.4 * model.threshold
-    sound = []
-    for (q, a), p in zip(plausible, odds, strict=True):
-        over = p >= limit
-        over[1] &= often[simplified(a)] < 3
-        if not over.any():
-            sound.append((q, a))
-    sound = sound or plausible
-    model.whole = True
-    _fit(model, synthesize(r, sound), seed)
-    return model
+        return [("empty" if not visible(a) else DEFECTS[b] if over[k, b] > 0 else None) for k, (a, b) in enumerate(zip(answers, best, strict=True))]
+
+
+def _shape(out: np.ndarray, answer: str, plain: str) -> None:
+    """How an answer ends, and what it is made of."""
+    text = answer.rstrip()
+    if not text:
+        out[1] = 4
+        return
+    end = text[-1]
+    last = text.rsplit("\n", 1)[-1].strip()
+    fences = answer.count("```")
+    listed = _ITEM.match(last) is not None
+    sentences = len(_SENTENCE.findall(plain))
+    letter = end.isalnum()
+    out[2] = 2 * (fences % 2)
+    out[3] = 3 * (_BARE_ITEM.fullmatch(last) is not None and "\n" in text)
+    out[4] = end in ".!?。！？"
+    out[5] = 3 * (end in ":：")
+    out[6] = letter and not listed
+    out[7] = listed
+    out[8] = end in ",;(-–—“«"
+    out[9] = end in ")`\"'»”" or unicodedata.category(end)[0] == "S"
+    out[10] = fences > 0 and fences % 2 == 0 and text.endswith("```")
+    out[11] = min(sentences, 6) / 3
+    out[12] = sentences <= 2
+    out[14] = answer.count("(") > answer.count(")")
+    out[15] = fences == 0 and last.count("`") % 2 == 1
+    out[16] = 2 * (sentences >= 1 and letter and not listed)
+    out[17] = sentences == 0 and "\n" not in text and len(text) < 40
+
+
+_models: dict[str, Model] = {}
+
+
+def model_at(path: str = MODEL) -> Model:
+    """One model per file and worker process."""
+    if path not in _models:
+        with np.load(path) as kept:
+            _models[path] = Model(kept["languages"].astype(np.float64), kept["weights"].astype(np.float64), kept["threshold"])
+    return _models[path]
 
 
 def answer_text(response: Column) -> Column:
@@ -425,24 +278,24 @@ def answer_text(response: Column) -> Column:
     return F.concat_ws("", F.transform(F.coalesce(response, F.array()), lambda e: F.when(e["kind"].isNull(), e["value"]).when(e["kind"] == "markdownContent", e["content"]["value"])))
 
 
-def defective_pairs(pairs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+def defective_pairs(pairs: DataFrame, path: str = MODEL) -> DataFrame:
     """``request_id, defect`` of defective pairs, at most one defect each, from ``request_id, question, answer``.
 
     Null and blank answers are empty; a null question counts as empty text; rows without an id are left out
-    and repeated rows count once. At most ``sample`` pairs, those with the smallest hashes, train the model. An
-    empty table gives no rows.
+    and repeated rows count once; of several different pairs of one id the one with the greatest hash counts, as
+    a pair. An empty table gives no rows. Texts are scored where they are read; only ids, hashes and verdicts are
+    shuffled.
     """
-    rows = pairs.where("request_id is not null").groupBy("request_id").agg(F.max(F.coalesce("question", F.lit(""))).alias("question"), F.max(F.coalesce("answer", F.lit(""))).alias("answer"))
-    taken = rows.orderBy(F.xxhash64("request_id", F.lit(seed)), "request_id").limit(sample).collect()
-    if not taken:
-        return rows.select("request_id", F.lit("").alias("defect"))
-    model = pairs.sparkSession.sparkContext.broadcast(train([(x["question"], x["answer"]) for x in taken], seed))
+    rows = pairs.where("request_id is not null").select("request_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
+    keyed = rows.select("request_id", F.xxhash64("question", "answer").alias("version"), "question", "answer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_at(path)
         for batch in batches:
-            ids, questions, answers = (batch.column(k).to_pylist() for k in range(3))
-            found = model.value.decide(list(zip(questions, answers, strict=True))) if ids else []
-            pick = [k for k, d in enumerate(found) if d]
-            yield pa.record_batch({"request_id": pa.array([ids[k] for k in pick], pa.string()), "defect": pa.array([found[k] for k in pick], pa.string())})
+            questions, answers = (batch.column(k).to_pylist() for k in (2, 3))
+            found = model.decide(list(zip(questions, answers, strict=True)))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["request_id", "version", "defect"])
 
-    return rows.select("request_id", "question", "answer").mapInArrow(run, "request_id string, defect string")
+    scored = keyed.mapInArrow(run, "request_id string, version bigint, defect string")
+    chosen = scored.groupBy("request_id").agg(F.max(F.struct("version", "defect")).alias("said"))
+    return chosen.where("said.defect is not null").select("request_id", F.col("said.defect").alias("defect"))
