@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinlog.operators.hierarchy import SLOT_ROWS, double, gather_above, resolve
+from skeinlog.operators.hierarchy import SLOT_ROWS, gather_above, resolve
 from skeinlog.operators.ordered import previous, running
 from skeinlog.runtime import cut
 
@@ -73,7 +73,7 @@ def _large(rows: DataFrame) -> DataFrame:
     other = rows.select(F.col("uuid").alias("__up"), F.col("session_id").alias("__in"))
     linked = cut(rows.join(other, (F.col("parent") == F.col("__up")) & (F.col("session_id") == F.col("__in")), "left").select("session_id", "uuid", "role", "at", F.col("__up").alias("above")))
     ranked = running(linked.withColumn("__late", F.coalesce("at", F.lit(1 << 62))), ["session_id", "above"], ["__late", "uuid"], "rank")
-    depth = double(linked.select(F.col("uuid").alias("node"), F.col("above").alias("parent"))).select("node", "depth")
+    depth = resolve(linked.select(F.col("uuid").alias("node"), F.col("above").alias("parent"))).select("node", "depth")
     step = F.when(F.col("rank") > 1, F.array(F.struct((-F.col("depth")).alias("d"), F.col("rank").alias("r")))).otherwise(F.expr("cast(array() as array<struct<d:int,r:bigint>>)"))
     keyed = ranked.join(depth, F.col("uuid") == F.col("node")).withColumn("steps", step).select("node", "above", "depth", "session_id", "role", "steps")
     listed = gather_above(keyed, "steps")
