@@ -2,10 +2,11 @@
 
 Links are shuffled by a salted locality key, so that most parents lie in the same task and no hot key fills
 one. Every task runs a weighted disjoint-set forest over its own links: each node gets its local top, its
-offset from it and the outward parent of that top. The contracted links between tops are merged in one
-further forest, which gives roots, depths and rings of the whole. Where more than ``ONE_TASK`` contracted
-links remain, the links are resolved by pointer doubling over DataFrames instead, which has no such bound.
-Paths are then materialised by walking parent indexes, tree by tree.
+offset from it and the outward parent of that top. The contracted links between tops are merged level by level:
+while they are more than one task may hold, leaves are set aside and half of the others are placed with their
+parents, so that every level leaves a fraction of the one before; the last level is one task. Solutions are
+then carried down the levels by joins. Rings are found wherever they close; on which nodes of lower levels they
+run is told by walking up from where they enter a task. Paths are materialised by walking parent indexes, tree by tree.
 """
 
 from __future__ import annotations
@@ -16,27 +17,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.runtime import cut
 
-#: Contracted links that one task may merge (about 200 bytes each); beyond it the distributed way is taken.
+#: Contracted links that one task may merge (about 200 bytes each); while there are more, another level is put in between.
 ONE_TASK = 1_000_000
 #: Rows of one locality key or tree that one task may hold; larger ones are split.
 SLOT_ROWS = 100_000
 
 TREE, OUT, RING, TAIL = 0, 1, 2, 3
-LOCAL = "node string, parent string, top string, off bigint, ext string, state int"
+LOCAL = "node string, parent string, top string, off bigint, low string, ext string, far bigint, state int"
 SOLVED = "node string, root string, dist bigint, state int"
 PATHS = "node string, root string, depth int, path array<string>"
 
 
-def find_all(parent: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def find_all(parent: np.ndarray, weight: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weighted find with full path compression for all nodes of a forest in which each has one link.
 
     ``parent`` holds indexes, -1 where a node has no link. Gives the top of each node, its offset from it,
-    and masks of the nodes on a ring and of those leading into one (whose top is then a node of the ring).
+    and masks of the nodes on a ring and of those leading into one (whose top is then a node of the ring). ``low``
+    (a number for each link) is lowered in place to the least on the way from the node to its top.
     """
     n = len(parent)
     top = np.where(parent < 0, np.arange(n), parent)
@@ -48,6 +50,8 @@ def find_all(parent: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.nda
             break
         step = top[live]
         new_off, new_top = off[live] + off[step], top[step]
+        if low is not None:
+            low[live] = np.minimum(low[live], low[step])
         off[live], top[live] = new_off, new_top
         live = live[~fixed[new_top]]
     on = np.zeros(n, bool)
@@ -57,22 +61,6 @@ def find_all(parent: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.nda
     return top, off, on, into & ~on
 
 
-def ring_roots(ids: np.ndarray, parent: np.ndarray, top: np.ndarray, on: np.ndarray, into: np.ndarray) -> dict[int, int]:
-    """For each node on a ring the index of the smallest id of its ring, by one walk round each ring."""
-    seen: dict[int, int] = {}
-    for start in np.flatnonzero(on):
-        start = int(start)
-        if start in seen:
-            continue
-        ring, at = [start], int(parent[start])
-        while at != start:
-            ring.append(at)
-            at = int(parent[at])
-        least = min(ring, key=lambda k: ids[k])
-        seen.update(dict.fromkeys(ring, least))
-    return seen
-
-
 def _indexed(nodes: pa.Array, parents: pa.Array) -> np.ndarray:
     """Index of each parent among the nodes, -1 where it is null or not among them."""
     return pc.fill_null(pc.index_in(parents, value_set=nodes), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -82,45 +70,72 @@ def _column(batches: list[pa.RecordBatch], name: str, kind: pa.DataType) -> pa.A
     return pa.chunked_array([b.column(name) for b in batches], type=kind).combine_chunks()
 
 
-def _local(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's links ``node, parent, weight, low``, contracted.
+
+    A link covers the nodes above its node up to its parent; ``low`` is the least id among them. Each node gets
+    its top, the offset from it and the least id between (of the top itself: that of its own link), and the parent
+    and weight of the top's link where that leads out of the task. The top of a ring is its least id.
+    """
     batches = [b for b in stream if b.num_rows]
     if not batches:
         return
-    nodes, parents = (_column(batches, name, pa.string()) for name in ("node", "parent"))
+    nodes, parents, lows = (_column(batches, name, pa.string()) for name in ("node", "parent", "low"))
+    weight = _column(batches, "weight", pa.int64()).to_numpy(zero_copy_only=False)
     link = _indexed(nodes, parents)
-    top, off, on, into = find_all(link, np.ones(len(link), np.int64))
-    ids = nodes.to_numpy(zero_copy_only=False)
-    least = ring_roots(ids, link, top, on, into)
-    for k in np.flatnonzero(on | into):
-        top[k] = least[int(top[k])]
-    ext = pc.take(parents, pa.array(top))
+    top, off, on, into, least, names = _least(nodes, lows, link, weight)
     ringed = on | into
-    ext = pc.if_else(pa.array(ringed), pa.scalar(None, pa.string()), ext)
+    ext = pc.if_else(pa.array(ringed), pa.scalar(None, pa.string()), pc.take(parents, pa.array(top)))
     state = np.where(on, RING, np.where(into, TAIL, np.where(ext.is_null().to_numpy(zero_copy_only=False), TREE, OUT))).astype(np.int32)
-    out = pa.table({"node": nodes, "parent": parents, "top": pc.take(nodes, pa.array(top)), "off": off, "ext": ext, "state": state})
-    yield from out.to_batches(max_chunksize=65_536)
+    tops = pc.if_else(pa.array(ringed), pc.take(names, pa.array(np.where(on, least, least[top]))), pc.take(nodes, pa.array(top)))
+    between = pc.if_else(pa.array(top == np.arange(len(top))), lows, pc.take(names, pa.array(least)))
+    yield from pa.table({"node": nodes, "parent": parents, "top": tops, "off": off, "low": between, "ext": ext, "far": weight[top], "state": state}).to_batches(max_chunksize=65_536)
+
+
+def _least(nodes: pa.Array, lows: pa.Array, link: np.ndarray, weight: np.ndarray) -> tuple:
+    """``find_all`` and for each node the number, in the sorted ``names``, of the least id on the way to its top."""
+    names = pc.unique(lows.drop_null())
+    names = pa.concat_arrays([pc.take(names, pc.array_sort_indices(names)), pa.array([None], pa.string())])
+    least = pc.fill_null(pc.index_in(lows, value_set=names.drop_null()), len(names) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+    least = np.where(link < 0, len(names) - 1, least)
+    top, off, on, into = find_all(link, weight, least)
+    return top, off, on, into, least, names
 
 
 def _merge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Solves ``node, parent, weight, root, dist, state``; a row with a root is solved already."""
+    """Solves ``node, parent, weight, low, root, dist, state``; a row with a root is solved already."""
     batches = [b for b in stream if b.num_rows]
     if not batches:
         return
-    nodes, parents, roots = (_column(batches, name, pa.string()) for name in ("node", "parent", "root"))
+    nodes, parents, roots, lows = (_column(batches, name, pa.string()) for name in ("node", "parent", "root", "low"))
     weight = _column(batches, "weight", pa.int64()).to_numpy(zero_copy_only=False)
     base = pc.fill_null(_column(batches, "dist", pa.int64()), 0).to_numpy(zero_copy_only=False)
     given = _column(batches, "state", pa.int32()).to_numpy(zero_copy_only=False)
     link = np.where(roots.is_valid().to_numpy(zero_copy_only=False), -1, _indexed(nodes, parents))
-    top, off, on, into = find_all(link, weight)
-    least = ring_roots(nodes.to_numpy(zero_copy_only=False), link, top, on, into)
-    for k in np.flatnonzero(on | into):
-        top[k] = least[int(top[k])]
-    root = pc.take(pc.coalesce(roots, nodes), pa.array(top))
-    led = given[top]
-    state = np.where(on, RING, np.where(into, TAIL, np.where(led == RING, TAIL, led))).astype(np.int32)
+    top, off, on, into, least, names = _least(nodes, lows, link, weight)
+    ring = pc.take(names, pa.array(np.where(on, least, least[top])))
+    root = pc.if_else(pa.array(on | into), ring, pc.take(pc.coalesce(roots, nodes), pa.array(top)))
+    state = np.where(on, RING, np.where(into, TAIL, given[top])).astype(np.int32)
     yield from pa.table({"node": nodes, "root": root, "dist": off + base[top], "state": state}).to_batches(max_chunksize=65_536)
 
 
+def _mark(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of ``node, parent, entered`` from those where a ring enters up to their tops."""
+    batches = [b for b in stream if b.num_rows]
+    if not batches:
+        return
+    nodes, parents = (_column(batches, name, pa.string()) for name in ("node", "parent"))
+    link = _indexed(nodes, parents)
+    on = np.zeros(len(link), bool)
+    at = np.flatnonzero(_column(batches, "entered", pa.bool_()).to_numpy(zero_copy_only=False))
+    while len(at):
+        on[at] = True
+        at = np.unique(link[at])
+        at = at[at >= 0]
+        at = at[~on[at]]
+    yield from pa.table({"on_ring": nodes.filter(pa.array(on))}).to_batches(max_chunksize=65_536)
+
+
 def salted(df: DataFrame, key: str, rows: int = SLOT_ROWS) -> DataFrame:
     """``df`` with ``__slot``: the hash of ``key``, split further where a key has more than ``rows`` rows.
 
@@ -137,39 +152,73 @@ def _one_per_node(links: DataFrame) -> DataFrame:
     return links.where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"), F.min("locality").alias("locality"))
 
 
-def double(links: DataFrame) -> DataFrame:
-    """``node, root, depth`` of ``node, parent`` by pointer doubling; for any number of links.
+def _coin(node: Column, level: int) -> Column:
+    return F.pmod(F.xxhash64(node, F.lit(level)), F.lit(2)) == 1
+
 
-    A round halves what is left of each chain; rounds are cut from lineage. Depth -1 marks a ring, -2 a node
-    leading into one; such a root is the smallest id of the ring.
+def _next_level(contracted: DataFrame, one_task: int, slot_rows: int, level: int) -> DataFrame:
+    """``node, root, dist, state`` of contracted links too many for one task.
+
+    Leaves wait for their parents. Of the others those that draw tails are placed with a parent that draws
+    heads, so a fraction is contracted whatever the shape; parents with more than ``slot_rows`` children don't
+    gather theirs.
     """
-    known = links.select(F.col("node").alias("known"))
-    cur = cut(
-        links.join(known, F.col("parent") == F.col("known"), "left")
-        .select("node", F.coalesce("known", "node").alias("anc"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("bigint").alias("dist"), F.col("known").isNull().alias("done"))
-    )
-    rounds = max(1, cur.count()).bit_length() + 1
-    for _ in range(rounds):
-        if cur.where("not done").isEmpty():
-            break
-        nxt = cur.select(F.col("node").alias("at"), F.col("anc").alias("to"), F.col("dist").alias("more"), F.col("done").alias("ended"))
-        step = cur.where("not done").join(nxt, F.col("anc") == F.col("at")).select("node", F.col("to").alias("anc"), (F.col("dist") + F.col("more")).alias("dist"), F.col("ended").alias("done"))
-        cur = cut(cur.where("done").unionByName(step))
-    trees = cur.where("done").select("node", F.col("anc").alias("root"), F.col("dist").cast("int").alias("depth"))
-    rest = cur.where("not done").select("node", "anc")
-    if rest.isEmpty():
-        return trees
-    on = rest.select(F.col("anc").alias("ring_node")).distinct()
-    ring = cut(links.join(on, F.col("node") == F.col("ring_node"), "left_semi").select("node", F.col("parent").alias("to"), F.col("node").alias("least")))
-    for _ in range(max(1, ring.count()).bit_length() + 1):
-        nxt = ring.select(F.col("node").alias("at"), F.col("to").alias("far"), F.col("least").alias("other"))
-        ring = cut(ring.join(nxt, F.col("to") == F.col("at")).select("node", F.col("far").alias("to"), F.least("least", "other").alias("least")))
-    least = ring.select(F.col("node").alias("ring_node"), "least")
-    inside = ring.select(F.col("node").alias("inner"))
-    rings = rest.join(least, F.col("anc") == F.col("ring_node")).join(inside, F.col("node") == F.col("inner"), "left").select(
-        "node", F.col("least").alias("root"), F.when(F.col("inner").isNull(), -2).otherwise(-1).alias("depth")
+    live, known = contracted.where("root is null"), contracted.where("root is not null")
+    asked = cut(live.groupBy(F.col("parent").alias("p")).agg(F.count("*").alias("children")))
+    inner = live.join(asked, F.col("node") == F.col("p"), "left_semi")
+    leaf = live.join(asked, F.col("node") == F.col("p"), "left_anti")
+    own, mate = F.col("node"), F.col("parent")
+    solved_here = known.select(F.col("node").alias("t")).withColumn("solved", F.lit(True))
+    sized = inner.join(asked, mate == F.col("p"), "left").join(solved_here, mate == F.col("t"), "left")
+    heads = (_coin(mate, level) | F.coalesce("solved", F.lit(False))) & (F.coalesce("children", F.lit(0)) <= slot_rows)
+    placed = sized.select("node", "parent", "weight", "low", F.when(_coin(own, level), own).when(heads, mate).otherwise(own).alias("place"))
+    ends = known.join(asked, F.col("node") == F.col("p"), "left_semi").select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("weight"), F.lit(None).cast("string").alias("low"), F.col("node").alias("place"))
+    forest = cut(placed.unionByName(ends).repartition("place").select("node", "parent", "weight", "low").mapInArrow(_forest, LOCAL))
+    sub = _solve(forest, one_task, slot_rows, level + 1)
+    said = known.select(F.col("node").alias("kn"), F.col("root").alias("k_root"), F.col("dist").alias("k_dist"), F.col("state").alias("k_state"))
+    done = cut(sub.join(said, F.col("root") == F.col("kn"), "left").select(
+        "node", F.coalesce("k_root", "root").alias("root"), (F.col("dist") + F.coalesce("k_dist", F.lit(0))).alias("dist"), F.when(F.col("k_state") == TAIL, TAIL).otherwise(F.col("state")).alias("state")))
+    above = done.select(F.col("node").alias("up"), F.col("root").alias("u_root"), F.col("dist").alias("u_dist"), F.col("state").alias("u_state"))
+    below = leaf.join(above, F.col("parent") == F.col("up")).select(
+        "node", F.col("u_root").alias("root"), (F.col("weight") + F.col("u_dist")).alias("dist"), F.when(F.col("u_state") == TREE, TREE).otherwise(TAIL).alias("state"))
+    apart = known.join(asked, F.col("node") == F.col("p"), "left_anti").select("node", "root", "dist", "state")
+    return done.unionByName(below).unionByName(apart)
+
+
+def _solve(forest: DataFrame, one_task: int, slot_rows: int, level: int = 0) -> DataFrame:
+    """``node, root, dist, state`` of all nodes of a level, from its tasks' forests."""
+    tops = forest.where((F.col("state") == OUT) & (F.col("node") == F.col("top"))).select("node", F.col("ext").alias("to"), "far", F.col("low").alias("own_low"))
+    aim = forest.select(F.col("node").alias("at"), F.col("top").alias("to_top"), F.col("off").alias("to_off"), F.col("state").alias("to_state"), F.col("low").alias("to_low"))
+    target = F.col("to_state")
+    contracted = cut(
+        tops.join(aim, F.col("to") == F.col("at"), "left").select(
+            "node", F.col("at").alias("entry"),
+            F.when(target == OUT, F.col("to_top")).alias("parent"),
+            (F.col("far") + F.coalesce("to_off", F.lit(0))).alias("weight"),
+            F.when(F.col("at") == F.col("to_top"), F.col("own_low")).otherwise(F.least("own_low", "to_low")).alias("low"),
+            F.when(target.isNull(), F.col("node")).when(target != OUT, F.col("to_top")).alias("root"),
+            F.when(target == TREE, F.col("far") + F.col("to_off")).otherwise(F.lit(0)).cast("bigint").alias("dist"),
+            F.when(target.isNull(), TREE).when(target == OUT, OUT).when(target == TREE, TREE).otherwise(TAIL).alias("state"),
+        )
     )
-    return trees.unionByName(rings)
+    if contracted.count() <= one_task:
+        solved = cut(contracted.coalesce(1).select("node", "parent", "weight", "low", "root", "dist", "state").mapInArrow(_merge, SOLVED))
+    else:
+        solved = cut(_next_level(contracted, one_task, slot_rows, level))
+    said = solved.select(F.col("node").alias("t"), F.col("root").alias("t_root"), F.col("dist").alias("t_dist"), F.col("state").alias("t_state"))
+    joined = forest.join(said, (F.col("top") == F.col("t")) & (F.col("state") == OUT), "left")
+    ringed = solved.where(F.col("state") == RING).select(F.col("node").alias("ring_top"))
+    on = F.lit(False)
+    if not ringed.isEmpty():
+        # A ring through several tasks runs from where it enters a task's tree up to the top of that tree.
+        entries = contracted.join(ringed, F.col("node") == F.col("ring_top"), "left_semi").select(F.col("entry").alias("e")).distinct()
+        trees = forest.where(F.col("state") == OUT).join(ringed, F.col("top") == F.col("ring_top"), "left_semi")
+        walked = trees.join(entries, F.col("node") == F.col("e"), "left").repartition("top").select("node", "parent", F.col("e").isNotNull().alias("entered"))
+        marked = cut(walked.mapInArrow(_mark, "on_ring string"))
+        joined = joined.join(marked, F.col("node") == F.col("on_ring"), "left")
+        on = F.col("on_ring").isNotNull()
+    state = F.when(F.col("state") != OUT, F.col("state")).when(F.col("t_state") == TREE, TREE).when((F.col("t_state") == RING) & on, RING).otherwise(TAIL)
+    return joined.select("node", F.coalesce("t_root", "top").alias("root"), (F.col("off") + F.coalesce("t_dist", F.lit(0))).alias("dist"), state.alias("state"))
 
 
 def resolve(links: DataFrame, one_task: int = ONE_TASK, slot_rows: int = SLOT_ROWS) -> DataFrame:
@@ -182,92 +231,41 @@ def resolve(links: DataFrame, one_task: int = ONE_TASK, slot_rows: int = SLOT_RO
     likely linked.
     """
     if "locality" not in links.columns:
-        links = links.withColumn("locality", F.col("node"))
-        spread = F.hash("node")
-        placed = _one_per_node(links).withColumn("__slot", spread)
+        placed = _one_per_node(links.withColumn("locality", F.col("node"))).withColumn("__slot", F.hash("node"))
     else:
         placed = salted(_one_per_node(links), "locality", slot_rows)
-    local = cut(placed.repartition("__slot").select("node", "parent").mapInArrow(_local, LOCAL))
-    tops = local.where((F.col("state") == OUT) & (F.col("node") == F.col("top"))).select("node", F.col("ext").alias("to"))
-    aim = local.select(F.col("node").alias("at"), F.col("top").alias("to_top"), F.col("off").alias("to_off"), F.col("state").alias("to_state"))
-    lit_null = F.lit(None).cast("string")
-    contracted = cut(
-        tops.join(aim, F.col("to") == F.col("at"), "left").select(
-            "node",
-            F.when(F.col("to_state") == OUT, F.col("to_top")).alias("parent"),
-            (F.coalesce("to_off", F.lit(0)) + 1).alias("weight"),
-            F.when(F.col("to_state").isNull(), F.col("node")).when(F.col("to_state") != OUT, F.col("to_top")).otherwise(lit_null).alias("root"),
-            F.when(F.col("to_state") == TREE, F.col("to_off") + 1).otherwise(F.lit(0)).alias("dist"),
-            F.when(F.col("to_state").isNull(), TREE).when(F.col("to_state") == OUT, OUT).when(F.col("to_state") == TREE, TREE).otherwise(TAIL).alias("state"),
-        )
-    )
-    if contracted.count() > one_task:
-        return double(local.select("node", "parent"))
-    solved = cut(contracted.coalesce(1).mapInArrow(_merge, SOLVED))
-    ring_tops = solved.where(F.col("state") == RING).select(F.col("node").alias("ring_top"))
-    if ring_tops.isEmpty():
-        exact = None
-    else:
-        # A ring through several tasks also has nodes between their tops: all nodes below such tops are solved link by link.
-        below = cut(local.join(ring_tops, F.col("top") == F.col("ring_top"), "left_semi").where(F.col("state") == OUT).select("node", "parent"))
-        if below.count() > one_task:
-            exact = cut(double(below))
-        else:
-            exact = cut(
-                below.select("node", "parent", F.lit(1).cast("bigint").alias("weight"), lit_null.alias("root"), F.lit(0).cast("bigint").alias("dist"), F.lit(TREE).alias("state"))
-                .coalesce(1).mapInArrow(_merge, SOLVED)
-                .select("node", "root", F.when(F.col("state") == RING, -1).otherwise(-2).alias("depth"))
-            )
-    tops_solved = solved.select(F.col("node").alias("t"), F.col("root").alias("t_root"), F.col("dist").alias("t_dist"), F.col("state").alias("t_state"))
-    joined = local.join(tops_solved, (F.col("top") == F.col("t")) & (F.col("state") == OUT), "left").select(
-        "node",
-        F.coalesce("t_root", "top").alias("root"),
-        F.when(F.col("state") == RING, -1).when(F.col("state") == TAIL, -2).when(F.col("state") == TREE, F.col("off"))
-        .when(F.col("t_state") == TREE, F.col("off") + F.col("t_dist")).otherwise(-2).cast("int").alias("depth"),
-        (F.col("t_state") == RING).alias("inexact"),
-        F.coalesce((F.col("t_state") == TAIL), F.lit(False)).alias("tail"),
-    )
-    plain = joined.where("not coalesce(inexact, false)").drop("inexact")
-    if exact is None:
-        return plain.drop("tail")
-    # Tails of a ring through several tasks carry the top of the ring so far; its least id is known now.
-    named = exact.select(F.col("node").alias("r"), F.col("root").alias("least"))
-    plain = plain.join(named, F.col("tail") & (F.col("root") == F.col("r")), "left").select("node", F.coalesce("least", "root").alias("root"), "depth")
-    return plain.unionByName(exact)
+    rows = placed.repartition("__slot").select("node", "parent", F.lit(1).cast("bigint").alias("weight"), F.col("parent").alias("low"))
+    solved = _solve(cut(rows.mapInArrow(_forest, LOCAL)), one_task, slot_rows)
+    return solved.select("node", "root", F.when(F.col("state") == RING, -1).when(F.col("state") == TAIL, -2).otherwise(F.col("dist")).cast("int").alias("depth"))
 
 
 def _walk(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths of whole trees: from parents to children in order of depth, by index."""
+    """Paths of whole trees: all nodes of a batch step up together, each writing its place in the arrays of all."""
     batches = [b for b in stream if b.num_rows]
     if not batches:
         return
     nodes, parents, roots = (_column(batches, name, pa.string()) for name in ("node", "parent", "root"))
-    depth = _column(batches, "depth", pa.int32()).to_numpy(zero_copy_only=False)
+    depth = _column(batches, "depth", pa.int32()).to_numpy(zero_copy_only=False).astype(np.int64)
     link = _indexed(nodes, parents)
-    ids = nodes.to_pylist()
-    size, flat, offsets, order = 0, [], [0], []
-    for k in range(len(ids)):
-        at, path = k, []
-        while at >= 0 and len(path) <= depth[k]:
-            path.append(ids[at])
-            at = int(link[at])
-        flat.extend(reversed(path))
-        offsets.append(len(flat))
-        order.append(k)
-        size += len(path)
-        if size > 500_000:
-            yield _path_batch(nodes, roots, depth, order, offsets, flat)
-            size, flat, offsets, order = 0, [], [0], []
-    if order:
-        yield _path_batch(nodes, roots, depth, order, offsets, flat)
-
-
-def _path_batch(nodes, roots, depth, order, offsets, flat) -> pa.RecordBatch:  # noqa: ANN001
-    pick = pa.array(order)
-    return pa.record_batch({
-        "node": pc.take(nodes, pick), "root": pc.take(roots, pick), "depth": pa.array(depth[order]),
-        "path": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.string())),
-    })
+    ends = np.cumsum(depth + 1)
+    at = 0
+    while at < len(depth):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, side="right")))
+        part = np.arange(at, upto)
+        size = depth[part] + 1
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        flat = np.empty(offsets[-1], np.int64)
+        place, first, cur = offsets[1:] - 1, offsets[:-1], part
+        while len(place):
+            flat[place] = cur
+            more = place > first
+            place, first, cur = place[more] - 1, first[more], link[cur[more]]
+        pick = pa.array(part)
+        yield pa.record_batch({
+            "node": pc.take(nodes, pick), "root": pc.take(roots, pick), "depth": pa.array(depth[part], pa.int32()),
+            "path": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.take(nodes, pa.array(flat))),
+        })
+        at = upto
 
 
 def gather_above(rows: DataFrame, piece: str) -> DataFrame:

@@ -148,6 +148,33 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify(table(spark, sf_dir, "raw_lines"))
 
 
+def _forest_sql(rest: str) -> str:
+    """SQL over both kinds of links: ``l`` has one link per node, ``tree`` the trees, ``rest`` what is on or leads into a ring."""
+    clean = lambda c: f"lower(regexp_replace(trim({c}), '^[{{]+|[}}]+$', '', 'g'))"
+    blank = lambda c: f"nullif({clean(c)}, '')"
+    return f"""
+        WITH RECURSIVE pairs AS (
+            SELECT 'message' AS tree, {blank("uuid")} AS node, {blank('"parentUuid"')} AS parent FROM claude_messages
+            UNION ALL SELECT 'session', {blank("child_session_id")}, {blank("parent_session_id")} FROM grok_subagents
+            UNION ALL SELECT 'session', {blank("parent_session_id")}, NULL FROM grok_subagents),
+        l AS (SELECT tree, node, min(parent) AS parent FROM pairs WHERE node IS NOT NULL GROUP BY ALL),
+        trees AS (
+            SELECT tree, node, node AS root, 0 AS depth, [node] AS path FROM l WHERE parent IS NULL OR (tree, parent) NOT IN (SELECT (tree, node) FROM l)
+            UNION ALL SELECT l.tree, l.node, t.root, t.depth + 1, list_append(t.path, l.node) FROM trees t JOIN l ON l.tree = t.tree AND l.parent = t.node),
+        ringed AS (SELECT * FROM l WHERE (tree, node) NOT IN (SELECT (tree, node) FROM trees)),
+        reach AS (SELECT tree, node, parent AS anc FROM ringed UNION SELECT r.tree, r.node, k.parent FROM reach r JOIN ringed k ON k.tree = r.tree AND k.node = r.anc),
+        ring AS (SELECT tree, node FROM reach WHERE node = anc),
+        named AS (SELECT r.tree, r.node, min(r.anc) AS root, CASE WHEN (r.tree, r.node) IN (SELECT (tree, node) FROM ring) THEN -1 ELSE -2 END AS depth
+                  FROM reach r WHERE (r.tree, r.anc) IN (SELECT (tree, node) FROM ring) GROUP BY r.tree, r.node),
+        walks AS (
+            SELECT tree, node, node AS at, [node] AS path FROM ringed
+            UNION ALL SELECT w.tree, w.node, k.parent, list_prepend(k.parent, w.path) FROM walks w JOIN ringed k ON k.tree = w.tree AND k.node = w.at WHERE NOT list_contains(w.path, k.parent)),
+        walked AS (SELECT tree, node, arg_max(path, len(path)) AS walk FROM walks GROUP BY tree, node),
+        first_ring AS (SELECT w.tree, w.node, arg_min(w.path, len(w.path)) AS path FROM walks w WHERE (w.tree, w.at) IN (SELECT (tree, node) FROM ring) GROUP BY w.tree, w.node)
+        {rest}
+    """
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_unified": p2_unified,
@@ -164,6 +191,12 @@ QUERIES = {
     "p7_found": p7_found,
 }
 SQL: dict[str, str] = {
+    "p1_found": _forest_sql("SELECT tree, node, root, CAST(depth AS INTEGER) AS depth FROM trees UNION ALL SELECT tree, node, root, CAST(depth AS INTEGER) FROM named"),
+    "p1_paths": _forest_sql("""SELECT tree, node, root, CAST(depth AS INTEGER) AS depth, path FROM trees
+        UNION ALL SELECT n.tree, n.node, n.root, CAST(n.depth AS INTEGER), CASE WHEN n.depth = -1 THEN w.walk ELSE f.path END
+        FROM named n JOIN walked w ON w.tree = n.tree AND w.node = n.node JOIN first_ring f ON f.tree = n.tree AND f.node = n.node"""),
+    "p1_descendants": _forest_sql("""SELECT tree, unnest(path) AS ancestor, node, CAST(len(path) - unnest(range(1, len(path) + 1)) AS INTEGER) AS distance FROM trees
+        UNION ALL SELECT tree, unnest(walk), node, CAST(len(walk) - unnest(range(1, len(walk) + 1)) AS INTEGER) FROM walked"""),
     "p6_responses": """
         WITH files AS (SELECT DISTINCT source_file, requests FROM vscode_chats),
         reqs AS (SELECT source_file, unnest(range(len(requests))) AS i, requests FROM files),
