@@ -5,97 +5,159 @@ intervals of its zone gives the offset: one matching interval gives it directly,
 occurs twice (the first is taken), none means it was skipped (the offset before the change is taken).
 
 The interval table has one row per zone and local year, so the as-of join is an equi-join on
-``(zone, year)`` followed by a filter of at most a handful of intervals. It is bounded by the number of
-IANA zones (about 600) times the covered years, whatever the size of the data; it is made on the
-executors and broadcast.
+``(zone, year)`` followed by a filter of at most a handful of intervals. It is made from the zone database alone,
+never from the data: about 600 zones times 166 years, whatever the size of the data, which is why it is
+broadcast. Years after the last one have the rules of a year of the same weekdays before it; those before the
+first have its first offset.
 """
 
 from __future__ import annotations
 
+import functools
+import struct
 from collections.abc import Iterator
-from datetime import UTC, datetime
-from zoneinfo import ZoneInfo
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from datetime import UTC, date, datetime
+from importlib import resources
+from pathlib import Path
+from zoneinfo import TZPATH, ZoneInfo, available_timezones
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.functions.instants import DAY_US, MONTHS, NUMBER, days_from_civil, epoch_us, wall_parts
 
-FIRST_YEAR, LAST_YEAR = 1970, 2060
+FIRST_YEAR, LAST_YEAR = 1900, 2065
 FAR = 1 << 61
-#: Offsets are compared at steps of so many seconds; no zone has changed forth and back within four days since 1970.
-STEP_S = 4 * 86_400
+#: Where only the rule of a zone's end holds, offsets are compared at steps of so many seconds.
+STEP_S = 20 * 86_400
 INTERVALS = "tz string, year int, intervals array<struct<lo:bigint,hi:bigint,off:bigint,abbr:string>>"
 
 
-def offset_intervals(name: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> list[tuple[int, int, int, str]]:
+def _zone_file(name: str) -> bytes:
+    """A zone's compiled file (RFC 8536): of the system or of the tzdata package."""
+    for folder in TZPATH:
+        path = Path(folder) / name
+        if path.is_file():
+            return path.read_bytes()
+    return resources.files("tzdata").joinpath("zoneinfo", *name.split("/")).read_bytes()
+
+
+def _written_changes(data: bytes) -> tuple[list[tuple[int, int, str]], tuple[int, str], bool]:
+    """The changes in a compiled file as ``(utc second, offset, letters)``, the offset before them, and whether a rule with two offsets follows."""
+    head = struct.Struct(">4s c 15x 6l")
+    _, version, *counts = head.unpack_from(data)
+    at, size = head.size, 4
+    if version >= b"2":
+        isut, isstd, leap, times, types, chars = counts
+        at += times * 5 + types * 6 + chars + leap * 8 + isstd + isut
+        _, _, *counts = head.unpack_from(data, at)
+        at, size = at + head.size, 8
+    isut, isstd, leap, times, types, chars = counts
+    stamps = np.frombuffer(data, f">i{size}", times, at)
+    kinds = np.frombuffer(data, np.uint8, times, at + times * size)
+    at += times * (size + 1)
+    infos = [struct.unpack_from(">lbB", data, at + 6 * k) for k in range(types)]
+    letters = data[at + 6 * types : at + 6 * types + chars]
+    named = [(off, letters[i : letters.index(b"\0", i)].decode()) for off, _, i in infos]
+    footer = data[at + 6 * types + chars + leap * (size + 4) + isstd + isut :].strip(b"\n") if size == 8 else b""
+    return [(int(t), *named[k]) for t, k in zip(stamps, kinds, strict=True)], named[0], b"," in footer
+
+
+@functools.cache
+def offset_intervals(name: str, last: int = LAST_YEAR) -> list[tuple[int, int, int, str]]:
     """``(utc start, utc end, offset, letters)`` in seconds of each stretch of one offset and letters.
 
     The first reaches back and the last forward without end.
     """
-    zone = ZoneInfo(name)
-
-    def at(second: int) -> tuple[int, str]:
-        local = datetime.fromtimestamp(second, zone)
-        return int(local.utcoffset().total_seconds()), local.tzname() or ""
-
-    low = int(datetime(first - 1, 12, 1, tzinfo=UTC).timestamp())
-    high = int(datetime(last + 1, 2, 1, tzinfo=UTC).timestamp())
-    found, start, now = [], -(FAR // 1_000_000), at(low)
-    for step in range(low, high, STEP_S):
-        then = at(step + STEP_S)
-        if then != now:
-            a, b = step, step + STEP_S
-            while b - a > 1:
-                mid = (a + b) // 2
-                a, b = (mid, b) if at(mid) == now else (a, mid)
-            found.append((start, b, *now))
-            start, now = b, then
+    changes, now, ruled = _written_changes(_zone_file(name))
+    if ruled:
+        zone = ZoneInfo(name)
+
+        def at(second: int) -> tuple[int, str]:
+            local = datetime.fromtimestamp(second, zone)
+            return int(local.utcoffset().total_seconds()), local.tzname() or ""
+
+        low = max(changes[-1][0] if changes else 0, 0)
+        high = int(datetime(last + 1, 2, 1, tzinfo=UTC).timestamp())
+        here = at(low)
+        for step in range(low, high, STEP_S):
+            then = at(step + STEP_S)
+            if then != here:
+                a, b = step, step + STEP_S
+                while b - a > 1:
+                    mid = (a + b) // 2
+                    a, b = (mid, b) if at(mid) == here else (a, mid)
+                changes.append((b, *then))
+                here = then
+    found, start = [], -(FAR // 1_000_000)
+    for second, off, abbr in changes:
+        if (off, abbr) != now:
+            if second > start:
+                found.append((start, second, *now))
+            start, now = max(start, second), (off, abbr)
     return [*found, (start, FAR // 1_000_000, *now)]
 
 
-def _explode_zones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for name in pdf["tz"]:
+def _explode_zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    years = range(FIRST_YEAR, LAST_YEAR + 1)
+    begins = [int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (*years, LAST_YEAR + 1)]
+    for batch in batches:
+        zones, own, offsets, rows = [], [], [0], {"lo": [], "hi": [], "off": [], "abbr": []}
+        for name in batch.column(0).to_pylist():
             try:
                 spans = offset_intervals(name)
-            except Exception:  # noqa: BLE001 - an unknown zone has no intervals
+            except Exception:  # noqa: BLE001 - an unreadable zone has no intervals
                 continue
-            for year in range(FIRST_YEAR, LAST_YEAR + 1):
-                lo = int(datetime(year, 1, 1, tzinfo=UTC).timestamp()) - 172_800
-                hi = int(datetime(year + 1, 1, 1, tzinfo=UTC).timestamp()) + 172_800
-                if year == FIRST_YEAR:
-                    lo = spans[0][0]
-                if year == LAST_YEAR:
-                    hi = spans[-1][1]
-                rows.append((name, year, [
-                    {"lo": (s + off) * 1_000_000, "hi": (e + off) * 1_000_000, "off": off * 1_000_000, "abbr": abbr}
-                    for s, e, off, abbr in spans if e >= lo and s <= hi
-                ]))
-        yield pd.DataFrame(rows, columns=["tz", "year", "intervals"])
-
-
-def zone_intervals(zones: DataFrame) -> DataFrame:
-    """The interval table of the zones in column ``tz`` (repeats and nulls are ignored)."""
-    return zones.select("tz").where("tz is not null").distinct().mapInPandas(_explode_zones, INTERVALS)
+            for k, year in enumerate(years):
+                lo = begins[k] - 172_800 if k else -FAR
+                hi = begins[k + 1] + 172_800
+                for s, e, off, abbr in spans:
+                    if e >= lo and s <= hi:
+                        rows["lo"].append((s + off) * 1_000_000)
+                        rows["hi"].append((e + off) * 1_000_000)
+                        rows["off"].append(off * 1_000_000)
+                        rows["abbr"].append(abbr)
+                zones.append(name)
+                own.append(year)
+                offsets.append(len(rows["lo"]))
+        values = pa.StructArray.from_arrays([pa.array(rows["lo"], pa.int64()), pa.array(rows["hi"], pa.int64()), pa.array(rows["off"], pa.int64()), pa.array(rows["abbr"], pa.string())], names=list(rows))
+        yield pa.record_batch({"tz": pa.array(zones, pa.string()), "year": pa.array(own, pa.int32()), "intervals": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)})
+
+
+def zone_intervals(spark: SparkSession) -> DataFrame:
+    """The interval table of all zones of the database."""
+    names = spark.createDataFrame([(n,) for n in sorted(available_timezones())], "tz string")
+    return names.repartition(8).mapInArrow(_explode_zones, INTERVALS)
+
+
+def _same_weekdays(year: Column) -> Column:
+    """A year among the last 28 of the table with the same weekdays as a later one."""
+    table = {}
+    for y in range(LAST_YEAR - 27, LAST_YEAR + 1):
+        table[(date(y, 1, 1).weekday(), date(y, 12, 31).weekday())] = y
+    cycle = [table[(date(y, 1, 1).weekday(), date(y, 12, 31).weekday())] for y in range(2000, 2400)]
+    alike = F.array(*[F.lit(y) for y in cycle])
+    return F.when(year > LAST_YEAR, F.get(alike, F.pmod(year, F.lit(400)).cast("int"))).otherwise(F.greatest(year, F.lit(FIRST_YEAR)))
 
 
 def _int(parts: Column, k: int) -> Column:
     return F.get(parts, F.lit(k)).try_cast("bigint")
 
 
-def normalize_instants(df: DataFrame, value: str, zone: str = "tz", order: str = "date_order", out: str = "utc_us") -> DataFrame:
+def normalize_instants(df: DataFrame, value: str, zone: str = "tz", order: str = "date_order", out: str = "utc_us", matches: str | None = None) -> DataFrame:
     """``df`` with ``out``: microseconds since 1970-01-01 UTC of the written time in ``value``.
 
     Null, blank and unusable values, dates and times that do not exist, local times without a known zone
     and slashed dates without a known order give null. Fractions finer than a microsecond are cut off.
     Bare numbers count seconds, ms, µs or ns by their digits. Letters of a zone mean that zone's offset of
-    that name, else UTC or GMT. A year outside FIRST_YEAR..LAST_YEAR takes the offset of the nearest one.
-    Rows are neither added nor dropped; a column called like ``out`` is replaced, all others stay.
+    that name, else UTC or GMT. A zone named in the value (``[Europe/Paris]``) goes before ``zone``. ``matches`` names a
+    column for the number of intervals that hold a time read by a zone's rules: 2 where it occurs twice, 0 where it
+    was skipped, 1 otherwise; null where the value has its own offset or counts seconds, or means no instant. Rows are
+    neither added nor dropped; columns called like ``out`` or ``matches`` are replaced, all others stay.
     """
-    names = [c for c in df.columns if c != out]
+    names = [c for c in df.columns if c not in (out, matches)]
     base = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     v = F.trim(F.regexp_replace(F.col(f"row.`{value}`").cast("string"), r"[ \s]+", " "))
     base = base.select("row", v.alias("v"), F.col(f"row.`{zone}`").alias("tz"), F.upper(F.trim(F.col(f"row.`{order}`"))).alias("ord"))
@@ -143,11 +205,15 @@ def normalize_instants(df: DataFrame, value: str, zone: str = "tz", order: str =
         fixed.alias("fixed"),
         F.when(z.rlike("^[A-Za-z]{2,}$"), F.upper(z)).alias("letters"),
         F.coalesce(F.when(F.col("named") != "", F.col("named")), F.col("tz")).alias("zone"),
-        F.least(F.greatest(y, F.lit(FIRST_YEAR)), F.lit(LAST_YEAR)).cast("int").alias("yr"),
+        _same_weekdays(y).cast("int").alias("yr"), y.alias("y"),
     )
-    table = zone_intervals(df.select(F.col(f"`{zone}`").alias("tz")))
+    one = F.lit(1).cast("bigint")
+    shifted = F.when(F.col("y") > LAST_YEAR, (days_from_civil(F.col("y"), one, one) - days_from_civil(F.col("yr").cast("bigint"), one, one)) * DAY_US).otherwise(F.lit(0))
+    base = base.withColumn("read", F.col("wall") - shifted)
+    # As large as the zone database, not the data: a few megabytes.
+    table = zone_intervals(df.sparkSession)
     joined = base.join(F.broadcast(table.withColumnRenamed("tz", "ztz")), (F.col("zone") == F.col("ztz")) & (F.col("yr") == F.col("year")), "left")
-    w = F.col("wall")
+    w = F.col("read")
     inside = F.filter("intervals", lambda x: (w >= x["lo"]) & (w < x["hi"]))
     before = F.filter("intervals", lambda x: x["hi"] <= w)
     lettered = F.filter("intervals", lambda x: x["abbr"] == F.col("letters"))
@@ -160,4 +226,6 @@ def normalize_instants(df: DataFrame, value: str, zone: str = "tz", order: str =
     offset = F.coalesce(F.col("fixed"), F.when(F.col("letters").isNotNull(), by_letters).otherwise(local))
     result = F.coalesce(F.col("direct"), F.col("wall") - offset)
     # In two steps: a name among the row's own columns could else be taken for one used in the result.
-    return joined.select("row", result.alias("__us")).select("row.*", F.col("__us").alias(out))
+    ruled = F.when(result.isNotNull() & F.col("direct").isNull() & F.col("fixed").isNull() & F.col("letters").isNull(), F.size(inside))
+    done = joined.select("row", result.alias("__us"), ruled.alias("__n"))
+    return done.select("row.*", F.col("__us").alias(out), *([F.col("__n").alias(matches)] if matches else []))

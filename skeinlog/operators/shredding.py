@@ -107,8 +107,8 @@ def _below(leaves: dict[str, Leaf], branch: str) -> Leaf:
     return min(found, key=lambda leaf: len(leaf.lists))
 
 
-def branch_rows(column: pa.Array, branches: list[tuple[str, int]], key: str, key_depth: int) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
-    """For each ``(branch, depth of its list)``: key of the record above, place in the list above (or -1), place.
+def branch_rows(column: pa.Array, branches: list[tuple[str, int]], key: str, key_depth: int) -> Iterator[tuple[str, pa.Array, list[np.ndarray], np.ndarray]]:
+    """For each ``(branch, depth of its list)``: key of the record above, places in the lists between, place.
 
     Null elements count for the places of later ones but give no row; elements without a key neither.
     """
@@ -117,17 +117,17 @@ def branch_rows(column: pa.Array, branches: list[tuple[str, int]], key: str, key
     for branch, depth in branches:
         leaf = _below(leaves, branch)
         rows = assemble(leaf, depth)
-        above, place = rows.slot, np.full(len(rows.slot), -1, np.int64)
+        above, places = rows.slot, []
         for d in range(depth - 1, key_depth, -1):
             up = assemble(leaf, d)
             back = np.full(int((leaf.rep <= d).sum()), -1, np.int64)
             back[up.own] = np.arange(len(up.own))
             pick = back[above]
-            place = up.pos[pick] if d == depth - 1 else place
+            places.insert(0, up.pos[pick])
             above = up.slot[pick]
         owner = pc.take(keys, pa.array(above))
         keep = rows.filled & owner.is_valid().to_numpy(zero_copy_only=False)
-        yield branch, owner.filter(pa.array(keep)), place[keep], rows.pos[keep]
+        yield branch, owner.filter(pa.array(keep)), [place[keep] for place in places], rows.pos[keep]
 
 
 LINKS = "branch string, parent_key string, pos int"
@@ -138,7 +138,7 @@ def nested_links(df: DataFrame, column: str, branches: dict[str, tuple[str, int]
 
     ``branches`` maps the name given to a branch to its dotted path and the depth of its list (the column's
     own list is 1). ``key`` names the field of the outer elements that identifies them. Elements of a list
-    within another branch's list have ``#`` and the place of that list's element behind the key. Null and
+    within other lists below the outer one have ``#`` and the place of each of those lists' elements behind the key. Null and
     empty arrays and null elements at any level give no rows; elements without a key give none. Repeated
     rows are kept; use ``distinct`` where a record may be stored twice.
     """
@@ -147,8 +147,8 @@ def nested_links(df: DataFrame, column: str, branches: dict[str, tuple[str, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, owner, place, pos in branch_rows(batch.column(0), wanted, key, 1):
-                if len(place) and place[0] >= 0:
+            for path, owner, places, pos in branch_rows(batch.column(0), wanted, key, 1):
+                for place in places:
                     owner = pc.binary_join_element_wise(owner, pc.cast(pa.array(place), pa.string()), "#")
                 yield pa.record_batch({"branch": pa.array([paths[path]] * len(pos), pa.string()), "parent_key": owner, "pos": pa.array(pos, pa.int32())})
 

@@ -41,6 +41,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("utc_us is not null").select("tbl", "row_key", "utc_us").distinct()
 
 
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 7: of each written time whether its local time was ambiguous (2 offsets), skipped (0) or plain (1)."""
+    found = normalize_instants(written_times(spark, sf_dir), "value", matches="n_offsets")
+    return found.select("tbl", "row_key", "value", "utc_us", "n_offsets").distinct()
+
+
 def message_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``node, parent, locality`` of claude_messages."""
     return table(spark, sf_dir, "claude_messages").select(
@@ -175,6 +181,9 @@ def _forest_sql(rest: str) -> str:
     """
 
 
+#: The requests of each saved file once, with their places.
+FILES = "WITH files AS (SELECT DISTINCT source_file, requests FROM vscode_chats), reqs AS (SELECT source_file, unnest(range(len(requests))) AS i, requests FROM files), r AS (SELECT source_file, CAST(i AS INTEGER) AS i, requests[i + 1] AS q FROM reqs)"
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_unified": p2_unified,
@@ -189,6 +198,7 @@ QUERIES = {
     "p1_paths": p1_paths,
     "p1_descendants": p1_descendants,
     "p7_found": p7_found,
+    "p7_matches": p7_matches,
 }
 SQL: dict[str, str] = {
     "p1_found": _forest_sql("SELECT tree, node, root, CAST(depth AS INTEGER) AS depth FROM trees UNION ALL SELECT tree, node, root, CAST(depth AS INTEGER) FROM named"),
@@ -197,6 +207,36 @@ SQL: dict[str, str] = {
         FROM named n JOIN walked w ON w.tree = n.tree AND w.node = n.node JOIN first_ring f ON f.tree = n.tree AND f.node = n.node"""),
     "p1_descendants": _forest_sql("""SELECT tree, unnest(path) AS ancestor, node, CAST(len(path) - unnest(range(1, len(path) + 1)) AS INTEGER) AS distance FROM trees
         UNION ALL SELECT tree, unnest(walk), node, CAST(len(walk) - unnest(range(1, len(walk) + 1)) AS INTEGER) FROM walked"""),
+    "p6_found": """
+        WITH asked AS (SELECT unnest(requests) AS r FROM vscode_chats),
+        reqs AS (SELECT r."requestId" AS id, r.message.parts AS parts, r.response AS response, r.result.metadata."toolCallRounds" AS rounds FROM asked WHERE r."requestId" IS NOT NULL),
+        called AS (SELECT id, rounds, unnest(range(len(rounds))) AS i FROM reqs),
+        lines AS (SELECT line_id, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM cursor_lines),
+        said AS (SELECT line_id, j->'$.message.content' AS c FROM lines WHERE json_type(j) = 'OBJECT' AND json_type(j->'$.message') = 'OBJECT'),
+        text AS (SELECT line_id, c, CASE WHEN json_type(c) = 'VARCHAR' AND json_valid(c->>'$') AND json_type(CASE WHEN json_valid(c->>'$') THEN CAST(c->>'$' AS JSON) END) = 'ARRAY' THEN CAST(c->>'$' AS JSON) ELSE c END AS body FROM said),
+        content AS (SELECT line_id, CASE WHEN json_type(body) = 'ARRAY' THEN CAST(body AS JSON[]) ELSE [body] END AS e FROM text WHERE c IS NOT NULL AND json_type(c) <> 'NULL'),
+        rows AS (
+            SELECT 'vscode_chats' AS tbl, id AS parent_key, 'message.parts' AS branch, unnest(range(len(parts))) AS pos, unnest(list_transform(parts, lambda x: x IS NOT NULL)) AS there FROM reqs
+            UNION ALL SELECT 'vscode_chats', id, 'response', unnest(range(len(response))), unnest(list_transform(response, lambda x: x IS NOT NULL)) FROM reqs
+            UNION ALL SELECT 'vscode_chats', id, 'toolCallRounds', unnest(range(len(rounds))), unnest(list_transform(rounds, lambda x: x IS NOT NULL)) FROM reqs
+            UNION ALL SELECT 'vscode_chats', id || '#' || i, 'toolCalls', unnest(range(len(rounds[i + 1]."toolCalls"))), unnest(list_transform(rounds[i + 1]."toolCalls", lambda x: x IS NOT NULL)) FROM called
+            UNION ALL SELECT 'cursor_lines', CAST(line_id AS VARCHAR), 'message.content', unnest(range(len(e))), unnest(list_transform(e, lambda x: x IS NOT NULL AND json_type(x) <> 'NULL')) FROM content)
+        SELECT DISTINCT tbl, parent_key, branch, CAST(pos AS INTEGER) AS pos FROM rows WHERE there
+    """,
+    "p6_requests": FILES + """
+        SELECT DISTINCT source_file, CAST([] AS INTEGER[]) AS places, i AS pos, q."requestId" AS "requestId", q.timestamp AS timestamp, q."modelId" AS "modelId",
+               q.message.text AS message_text, q."isCanceled" AS "isCanceled" FROM r WHERE q IS NOT NULL
+    """,
+    "p6_parts": FILES + """, e AS (SELECT source_file, i, unnest(range(len(q.message.parts))) AS j, q.message.parts AS parts FROM r)
+        SELECT DISTINCT source_file, [i] AS places, CAST(j AS INTEGER) AS pos, parts[j + 1].kind AS kind, parts[j + 1].text AS text FROM e WHERE parts[j + 1] IS NOT NULL
+    """,
+    "p6_rounds": FILES + """, e AS (SELECT source_file, i, unnest(range(len(q.result.metadata."toolCallRounds"))) AS j, q.result.metadata."toolCallRounds" AS rounds FROM r)
+        SELECT DISTINCT source_file, [i] AS places, CAST(j AS INTEGER) AS pos FROM e WHERE rounds[j + 1] IS NOT NULL
+    """,
+    "p6_calls": FILES + """, e AS (SELECT source_file, i, unnest(range(len(q.result.metadata."toolCallRounds"))) AS j, q.result.metadata."toolCallRounds" AS rounds FROM r),
+        c AS (SELECT source_file, i, CAST(j AS INTEGER) AS j, unnest(range(len(rounds[j + 1]."toolCalls"))) AS k, rounds[j + 1]."toolCalls" AS calls FROM e)
+        SELECT DISTINCT source_file, [i, j] AS places, CAST(k AS INTEGER) AS pos, calls[k + 1].name AS name FROM c WHERE calls[k + 1] IS NOT NULL
+    """,
     "p6_responses": """
         WITH files AS (SELECT DISTINCT source_file, requests FROM vscode_chats),
         reqs AS (SELECT source_file, unnest(range(len(requests))) AS i, requests FROM files),

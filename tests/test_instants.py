@@ -26,6 +26,8 @@ CASES = [
     ("2025-03-30 02:30:00.25", "Europe/Berlin", None, us(2025, 3, 30, 1, 30) + 250_000), ("2024-02-29T00:00:00Z", None, None, us(2024, 2, 29)), ("  2025-01-02T00:00:00Z ", None, None, us(2025, 1, 2)),
     ("2025-02-30T10:00:00Z", "UTC", "DMY", None), ("2025-13-01 08:00:00", "UTC", "DMY", None), ("2025-01-01T24:00:00Z", "UTC", None, None), ("2025-01-15 02:57:49", None, None, None), ("02/01/2025 10:00:00", "UTC", None, None),
     ("13/14/2025 10:00:00", "UTC", "DMY", None), ("02/01/2025 13:00:00 PM", "UTC", "DMY", None), ("unknown", "UTC", "DMY", None), ("", "UTC", "DMY", None), (None, "UTC", "DMY", None), ("x" * 100_000, "UTC", "DMY", None),
+    ("2025-07-01T12:00:00[Europe/Paris]", "UTC", None, us(2025, 7, 1, 10)), ("2075-07-01 12:00:00", "Europe/Berlin", None, us(2075, 7, 1, 10)), ("2075-12-01 12:00:00", "Europe/Berlin", None, us(2075, 12, 1, 11)), ("2103-07-01 12:00:00", "America/New_York", None, us(2103, 7, 1, 16)),
+    ("1968-01-10 12:00:00", "Europe/London", None, us(1968, 1, 10, 12)), ("1969-01-10 12:00:00", "Europe/London", None, us(1969, 1, 10, 11)), ("1945-07-01 12:00:00", "Europe/Berlin", None, us(1945, 7, 1, 9)),
     ("2025-01-15 02:57:49", "No/Where", None, None), ("99999999999999999999999", "UTC", None, None),
 ]
 
@@ -44,12 +46,19 @@ def test_clashing_columns_and_empty(spark):
     assert normalize_instants(df.limit(0), "value").count() == 0
 
 
-@pytest.mark.parametrize("name", ["Europe/Berlin", "America/Sao_Paulo", "Africa/Casablanca", "Asia/Kathmandu", "Australia/Lord_Howe"])
+def test_matches(spark):
+    cases = [("2025-10-26 02:30:00", 2), ("2025-03-30 02:30:00", 0), ("2025-05-01 02:30:00", 1), ("2025-05-01T02:30:00Z", None), ("1735839992", None), ("nonsense", None), (None, None)]
+    df = spark.createDataFrame([(k, v, "Europe/Berlin", None) for k, (v, _) in enumerate(cases)], "k int, value string, tz string, date_order string")
+    got = {r["k"]: r["n"] for r in normalize_instants(df, "value", matches="n").collect()}
+    assert [got[k] for k in range(len(cases))] == [n for _, n in cases]
+
+
+@pytest.mark.parametrize("name", ["Europe/Berlin", "Europe/London", "Africa/Cairo", "Asia/Tokyo", "America/Sao_Paulo", "Africa/Casablanca", "Asia/Kathmandu", "Australia/Lord_Howe"])
 def test_intervals_against_zoneinfo(name):
     spans, zone = offset_intervals(name), ZoneInfo(name)
     assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
-    at = datetime(1975, 1, 1, tzinfo=UTC)
-    while at.year < 2055:
+    at = datetime(1903, 1, 1, tzinfo=UTC)
+    while at.year < 2065:
         second = int(at.timestamp())
         span = next(s for s in spans if s[0] <= second < s[1])
         assert span[2] == at.astimezone(zone).utcoffset().total_seconds()

@@ -16,7 +16,7 @@ record = st.one_of(st.none(), st.lists(st.one_of(st.none(), st.fixed_dictionarie
 @settings(max_examples=150, deadline=None)
 @given(st.lists(record, max_size=6))
 def test_links_against_nesting(rows):
-    found = {b: list(zip(o.to_pylist(), place.tolist(), pos.tolist(), strict=True)) for b, o, place, pos in S.branch_rows(pa.array(rows, KIND), [("a", 2), ("a.b", 3)], "id", 1)}
+    found = {b: list(zip(o.to_pylist(), places[-1].tolist() if places else [-1] * len(pos), pos.tolist(), strict=True)) for b, o, places, pos in S.branch_rows(pa.array(rows, KIND), [("a", 2), ("a.b", 3)], "id", 1)}
     want_a = [(r["id"], -1, k) for row in rows for r in (row or []) if r and r["id"] is not None for k, e in enumerate(r["a"] or []) if e is not None]
     want_b = [(r["id"], k, j) for row in rows for r in (row or []) if r and r["id"] is not None for k, e in enumerate(r["a"] or []) if e is not None for j, v in enumerate(e["b"] or []) if v is not None]
     assert found["a"] == want_a and found["a.b"] == want_b
@@ -81,3 +81,10 @@ def test_queries_have_all_flat_tables(spark, data):
     for name, rows in want.items():
         got = [tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in Q.QUERIES[name](spark, data).collect()]
         assert rows and len(got) == len(rows) and set(got) == rows, name
+
+
+def test_keys_at_depth_four(spark):
+    df = spark.sql("""select array(named_struct('k', 'q', 'a', array(
+        named_struct('b', array(named_struct('c', array(named_struct('v', 1))))), named_struct('b', array(named_struct('c', array(named_struct('v', 2)))))))) as r""")
+    rows = sorted((x["parent_key"], x["pos"]) for x in S.nested_links(df, "r", {"c": ("a.b.c", 4)}, "k").collect())
+    assert rows == [("q#0#0", 0), ("q#1#0", 0)]
