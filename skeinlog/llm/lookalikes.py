@@ -1,19 +1,26 @@
 """Visually identical text with different characters (problem 10).
 
-A mapping over code points for widths, spaces, invisible characters and look-alikes is compiled once from
-Unicode data and the tables below and checked for conflicts. A longest-match scanner over grapheme clusters
-then rewrites each text in one pass: only clusters with something to map are touched, and each distinct
-cluster is worked out once.
+A mapping over code points for widths, spaces, invisible characters and look-alikes is compiled once, on the driver,
+from Unicode data, the confusable characters in Spark's own Unicode library and the tables below, and checked for
+conflicts. A longest-match transducer over grapheme clusters then rewrites whole batches in one pass: its classes
+and outputs are arrays over all code points, cluster ends are found for the whole batch at once, clusters of one
+code point are looked up as arrays, and each distinct longer cluster is worked out once.
 """
 
 from __future__ import annotations
 
+import glob
 import hashlib
+import os
 import re
+import struct
 import unicodedata
+import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +40,46 @@ BREAKS = "\r\v\f\x85  "
 ZWJ = "‍"
 
 
+#: Scripts whose look-alikes are in LOOKALIKES, one by one, or whose letters are not compared; by the start of Unicode names.
+LISTED = ("LATIN", "CYRILLIC", "GREEK", "MATHEMATICAL", "CJK", "HANGUL", "ARABIC", "HEBREW", "KANGXI", "BOPOMOFO", "MODIFIER", "FULLWIDTH", "HALFWIDTH", "SCRIPT", "BLACK-LETTER", "DOUBLE-STRUCK", "TURNED", "KATAKANA", "HIRAGANA")
+
+
+def confusables() -> dict[str, str]:
+    """Letters of other scripts that Unicode lists as drawn like a Latin letter, with that letter; empty where the library is not found.
+
+    Read from the compiled table of the ICU library among Spark's jars. Of the letters that share a drawing the one
+    of the same case is taken, for a letter without case the capital.
+    """
+    homes = [os.environ.get("SPARK_HOME", ""), os.path.dirname(pyspark.__file__)]
+    found = [path for home in homes if home for path in sorted(glob.glob(os.path.join(home, "jars", "icu4j-*.jar")))]
+    if not found:
+        return {}
+    with zipfile.ZipFile(found[0]) as jar:
+        data = jar.read("com/ibm/icu/impl/data/icudata/confusables.cfu")
+    body = data[struct.unpack_from(">H", data)[0] :]
+    _, _, _, keys, n, values, _, _, _ = struct.unpack_from(">9I", body)
+    drawn = {}
+    for key, value in zip(struct.unpack_from(f">{n}I", body, keys), struct.unpack_from(f">{n}H", body, values), strict=True):
+        if key >> 24 == 0:  # drawn as one character; the upper byte counts further ones
+            drawn[chr(key & 0xFFFFFF)] = chr(value)
+    latin: dict[str, list[str]] = {}
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+        latin.setdefault(drawn.get(c, c), []).append(c)
+    out = {}
+    for ch, shape in drawn.items():
+        kind, name = unicodedata.category(ch), unicodedata.name(ch, "")
+        fitting = latin.get(shape, [])
+        if not fitting or kind not in ("Lu", "Ll", "Lo") or (name.startswith(LISTED) and ch != "ɡ"):
+            continue
+        same = [c for c in fitting if c.islower() == (kind == "Ll")]
+        if same:
+            out[ch] = same[0]
+    return out
+
+
 def compile_map() -> dict[str, str]:
     """Code point to its plain form, for all code points whose form differs; raises where rules conflict."""
+    alike = confusables() | LOOKALIKES
     out: dict[str, str] = {}
     for point in (*range(0x32400), *range(0xE0000, 0xE0200)):
         ch = chr(point)
@@ -47,11 +92,11 @@ def compile_map() -> dict[str, str]:
             new = ""
         elif ch in SIGNS:
             new = SIGNS[ch]
-        elif unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")):
+        elif unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")) or 0x2160 <= point <= 0x217F:
             new = unicodedata.normalize("NFKC", ch)
         else:
             new = ch
-        new = "".join(LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFD", new))
+        new = "".join(alike.get(c, c) for c in unicodedata.normalize("NFD", new))
         if new != ch:
             out[ch] = new
     for ch, new in out.items():
@@ -61,21 +106,37 @@ def compile_map() -> dict[str, str]:
     return out
 
 
-class Scanner:
-    """The compiled mapping with its longest-match scanner."""
-
-    def __init__(self) -> None:
-        self.map = compile_map()
-        marks = [chr(p) for p in range(0x300, 0x32400) if unicodedata.category(chr(p)).startswith("M")]
-        hidden = [c for c, new in self.map.items() if new == ""]
-        extend = _ranges({*marks, *hidden, "ﾞ", "ﾟ", *map(chr, range(0x1160, 0x1200))})
-        # What already is plain on its own: composed letters whose parts have no other form.
-        touched = {c for c, new in self.map.items() if unicodedata.normalize("NFC", new) != c}
-        self.pattern = re.compile(f"\r\n|[{_ranges(touched)}][{extend}]*|[^\r\n][{extend}]+")
+#: Classes of code points: stays, has another form, belongs to the cluster before it, ends a line.
+STAYS, MAPPED, EXTENDS, BREAK = 0, 1, 2, 3
+
+
+class Transducer:
+    """The compiled mapping as arrays; ``forms`` rewrites a batch."""
+
+    def __init__(self, mapping: dict[str, str] | None = None) -> None:
+        self.map = compile_map() if mapping is None else mapping
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.place = np.zeros(0x110000, np.int32)
+        outputs = [""]
+        for ch, new in self.map.items():
+            plain = unicodedata.normalize("NFC", new)
+            if plain != ch:
+                self.kind[ord(ch)] = MAPPED
+                self.place[ord(ch)] = len(outputs)
+                outputs.append(plain)
+        self.size = np.fromiter(map(len, outputs), np.int64, len(outputs))
+        self.out = np.zeros((len(outputs), int(self.size.max())), np.uint32)
+        for k, text in enumerate(outputs):
+            self.out[k, : len(text)] = [ord(c) for c in text]
+        marks = [p for p in range(0x300, 0x32400) if unicodedata.category(chr(p)).startswith("M")]
+        self.kind[marks] = EXTENDS
+        self.kind[[ord(c) for c, new in self.map.items() if new == ""]] = EXTENDS
+        self.kind[[0xFF9E, 0xFF9F, *range(0x1160, 0x1200)]] = EXTENDS
+        self.kind[[ord("\r"), ord("\n")]] = BREAK
         self.known: dict[str, str] = {}
 
     def cluster(self, text: str) -> str:
-        """Plain form of one cluster."""
+        """Plain form of one cluster of several code points."""
         if text == "\r\n":
             return "\n"
         if ZWJ in text:  # joins pictures into another one; elsewhere it is nothing
@@ -86,44 +147,88 @@ class Scanner:
 
     def _plain(self, text: str) -> str:
         mapped = unicodedata.normalize("NFD", "".join(self.map.get(c, c) for c in text))
-        return unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c) for c in mapped))
+        return unicodedata.normalize("NFC", "".join(self.map.get(c, c) for c in mapped))
 
-    def _replace(self, found: re.Match) -> str:
-        text = found.group()
+    def _known(self, text: str) -> str:
         new = self.known.get(text)
         if new is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
             new = self.cluster(text)
             if len(text) < 64:
+                if len(self.known) > 100_000:
+                    self.known.clear()
                 self.known[text] = new
         return new
 
-    def plain(self, text: str) -> str:
-        """The one form of all texts that look like this one."""
-        return text if text.isascii() and text.isprintable() else self.pattern.sub(self._replace, text)
-
+    def forms(self, texts: list[str]) -> list[str]:
+        """The one form of all texts that look like each of these."""
+        out = list(texts)
+        pick = [k for k, t in enumerate(texts) if not (t.isascii() and t.isprintable())]
+        if not pick:
+            return out
+        joined = "".join(texts[k] for k in pick)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter((len(texts[k]) for k in pick), np.int64, len(pick))
+        begins = np.cumsum(size) - size
+        kind = self.kind[points]
+        head = kind != EXTENDS
+        head[begins[size > 0]] = True
+        # A mark does not join the end of a line before it; a line feed joins the return before it.
+        follows = np.zeros(len(points), bool)
+        follows[1:] = kind[:-1] == BREAK
+        head |= follows
+        feed = follows & (points == 10)
+        feed[1:] &= points[:-1] == 13
+        feed[begins[size > 0]] = False
+        head &= ~feed
+        starts = np.flatnonzero(head)
+        ends = np.append(starts[1:], len(points))
+        new_size = np.ones(len(points), np.int64)
+        single = np.zeros(len(points), bool)
+        single[starts[ends - starts == 1]] = True
+        single &= self.place[points] > 0
+        at = np.flatnonzero(single)
+        rule = self.place[points[at]]
+        new_size[at] = self.size[rule]
+        longer = np.flatnonzero(ends - starts > 1)
+        written = [self._known(joined[a:b]) for a, b in zip(starts[longer].tolist(), ends[longer].tolist(), strict=True)]
+        inside = np.zeros(len(points), bool)
+        for_long = np.repeat(np.arange(len(longer)), ends[longer] - starts[longer])
+        if len(longer):
+            first = np.cumsum(ends[longer] - starts[longer]) - (ends[longer] - starts[longer])
+            inside[np.repeat(starts[longer], ends[longer] - starts[longer]) + np.arange(len(for_long)) - np.repeat(first, ends[longer] - starts[longer])] = True
+        new_size[inside] = 0
+        new_size[starts[longer]] = np.fromiter(map(len, written), np.int64, len(written))
+        offset = np.cumsum(new_size) - new_size
+        result = np.empty(int(new_size.sum()), np.uint32)
+        plain = ~single & ~inside
+        result[offset[plain]] = points[plain]
+        for k in range(self.out.shape[1]):
+            has = self.size[rule] > k
+            result[offset[at[has]] + k] = self.out[rule[has], k]
+        if len(longer):
+            flat = np.frombuffer("".join(written).encode("utf-32-le", "surrogatepass"), np.uint32)
+            many = new_size[starts[longer]]
+            result[np.repeat(offset[starts[longer]], many) + np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)] = flat
+        text = result.tobytes().decode("utf-32-le", "surrogatepass")
+        cuts = np.concatenate([[0], np.cumsum(new_size)])
+        for k, a, b in zip(pick, cuts[begins].tolist(), cuts[begins + size].tolist(), strict=True):
+            out[k] = text[a:b]
+        return out
 
-def _ranges(chars: set[str]) -> str:
-    points = sorted(map(ord, chars))
-    out, k = [], 0
-    while k < len(points):
-        end = k
-        while end + 1 < len(points) and points[end + 1] == points[end] + 1:
-            end += 1
-        out.append(f"\\U{points[k]:08x}" + (f"-\\U{points[end]:08x}" if end > k else ""))
-        k = end + 1
-    return "".join(out)
+    def plain(self, text: str) -> str:
+        """The form of one text."""
+        return self.forms([text])[0]
 
 
-_scanner: list[Scanner] = []
+_transducers: dict[int, Transducer] = {}
 
 
-def scanner() -> Scanner:
-    """One scanner per worker process."""
-    if not _scanner:
-        _scanner.append(Scanner())
-    return _scanner[0]
+def transducer(mapping: dict[str, str] | None = None) -> Transducer:
+    """One transducer per mapping and worker process."""
+    key = len(mapping) if mapping is not None else -1
+    if key not in _transducers:
+        _transducers[key] = Transducer(mapping)
+    return _transducers[key]
 
 
 def plain_text(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame:
@@ -134,11 +239,13 @@ def plain_text(df: DataFrame, text: str = "text", out: str = "form") -> DataFram
     """
     keep = [c for c in df.columns if c != out]
     rows = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    mapping = transducer().map
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scanner()
+        own = transducer(mapping)
         for batch in batches:
-            forms = pa.array([None if t is None else own.plain(t) for t in batch.column(0).to_pylist()], pa.string())
+            texts = batch.column(0).to_pylist()
+            forms = pa.array([None if t is None else f for t, f in zip(texts, own.forms([t or "" for t in texts]), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], forms], names=[*batch.schema.names[1:], "__form"])
 
     schema = rows.drop("__text").schema.add("__form", "string")
@@ -148,12 +255,14 @@ def plain_text(df: DataFrame, text: str = "text", out: str = "form") -> DataFram
 def _keys(df: DataFrame, key: str, text: str) -> DataFrame:
     """``id, form_key, text_key``: digests of the plain form and the text, of rows with visible text."""
 
+    mapping = transducer().map
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scanner()
+        own = transducer(mapping)
         for batch in batches:
             ids, forms, texts = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                form = own.plain(t)
+            given = batch.column(1).to_pylist()
+            for i, t, form in zip(batch.column(0).to_pylist(), given, own.forms(given), strict=True):
                 if form.strip():
                     ids.append(i)
                     forms.append(hashlib.blake2b(form.encode(), digest_size=16).digest())
@@ -164,6 +273,21 @@ def _keys(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, form_key binary, text_key binary")
 
 
+def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, class_id, n_spellings, n_links``: one row per document with visible text.
+
+    ``class_id`` is the smallest id among the documents that look the same, ``n_spellings`` the number of different
+    texts among them and ``n_links`` the number of documents that look the same but are written differently. Rows
+    without visible text or without a key have no row; a key that occurs twice counts once. Counts are combined
+    before the shuffle; no pairs are made.
+    """
+    rows = cut(_keys(df, key, text).distinct())
+    spelled = rows.groupBy("form_key", "text_key").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+    formed = spelled.groupBy("form_key").agg(F.sum("copies").alias("documents"), F.min("least").alias("class_id"), F.count("*").alias("n_spellings"))
+    sized = cut(spelled.join(formed, "form_key").select("text_key", "class_id", "n_spellings", (F.col("documents") - F.col("copies")).alias("n_links")))
+    return rows.join(sized, "text_key").select("id", "class_id", F.col("n_spellings").cast("int").alias("n_spellings"), "n_links")
+
+
 def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", split: int = 20_000) -> DataFrame:
     """``a, b`` (a < b): keys of all pairs of rows whose texts look the same but differ in code points.
 

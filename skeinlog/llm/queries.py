@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skeinlog.functions.ids import clean_id
 from skeinlog.llm.conversations import conversations, infer_role, split_by_gaps
 from skeinlog.llm.defects import answer_text, defective_pairs
-from skeinlog.llm.lookalikes import lookalike_pairs, plain_text
+from skeinlog.llm.lookalikes import lookalike_classes, lookalike_pairs, plain_text
 from skeinlog.llm.mixing import mix, shares
 from skeinlog.llm.pii import found_items, mask_text
 from skeinlog.llm.tokens import encode, encode_with_offsets
@@ -100,6 +100,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents").select("doc_id", "text")).toDF("doc_id_a", "doc_id_b")
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 10: of each document the class of those that look the same and its number of links."""
+    return lookalike_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 10: the one form of each document."""
     return plain_text(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "form")
@@ -117,5 +122,6 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_forms": p10_forms,
+    "p10_classes": p10_classes,
 }
 SQL: dict[str, str] = {}
