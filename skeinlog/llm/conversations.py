@@ -1,8 +1,9 @@
 """Rebuilding conversations from message rows (problem 5).
 
-Messages are sessionized by their session (or any channel), put in order along the tree of answers, given
-roles, and sessions that are broken, empty or unanswered are dropped. Where a channel holds several
-conversations, ``split_by_gaps`` parts it at inactivity gaps whose length is calibrated on all gaps.
+Messages are sessionized by their session, those without one by their channel, parted at inactivity gaps whose
+length is calibrated on all gaps (``split_by_gaps``). They are put in order along the tree of answers and given
+roles; sessions that are broken, empty or unanswered are dropped. ``reciprocal`` drops parts of channels in which
+nobody asks or nobody replies.
 """
 
 from __future__ import annotations
@@ -80,20 +81,34 @@ def _large(rows: DataFrame) -> DataFrame:
     return running(listed, ["session_id"], ["steps", "depth", "node"], "turn").select("session_id", F.col("turn").cast("int").alias("turn"), F.col("node").alias("uuid"), "role")
 
 
+def with_sessions(rows: DataFrame) -> DataFrame:
+    """``rows`` with a session for messages that have none: the part of their channel between inactivity gaps.
+
+    Messages without a session, a channel or an instant are left out. The new ids are the channel, ``#`` and
+    the number of the part.
+    """
+    known = rows.where("session_id is not null")
+    lost = rows.where("session_id is null and channel is not null and at is not null")
+    if lost.isEmpty():
+        return known
+    parted = split_by_gaps(lost, "channel", "at", "uuid")
+    return known.unionByName(parted.withColumn("session_id", F.concat("channel", F.lit("#"), F.col("part").cast("string"))).drop("part"))
+
+
 def conversations(messages: DataFrame, session_rows: int = SLOT_ROWS) -> DataFrame:
     """``session_id, turn, uuid, role``: the messages of every kept conversation in order.
 
-    ``messages`` has ``session_id, uuid, parent, role, at, has_text`` (``at`` in microseconds). Rows without uuid
-    or session are no messages; repeated rows count once. A session is dropped if a message is on or leads
-    into a ring or names a parent that is nowhere in the table, if it has no user message or no text, or if
-    some user message has no assistant message with text directly below it. Messages without an instant come
-    last among their siblings. Sessions of over ``session_rows`` messages are put in order by a way that
-    needs no task to hold one.
+    ``messages`` has ``session_id, uuid, parent, role, at, has_text`` (``at`` in microseconds) and may have ``channel``:
+    then messages without a session are sessionized by their channel's inactivity gaps. Rows without uuid, and
+    without a session after that, are no messages; repeated rows count once, of different rows of one uuid the
+    least as a whole. A session is dropped if a message is on or leads into a ring or names a parent that is
+    nowhere in the table, if it has no user message or no text, or if some user message has no assistant message
+    with text directly below it. Messages without an instant come last among their siblings. Sessions of over
+    ``session_rows`` messages are put in order by a way that needs no task to hold one.
     """
-    rows = cut(
-        messages.where("uuid is not null and session_id is not null").groupBy("uuid").agg(
-            F.min("session_id").alias("session_id"), F.min("parent").alias("parent"), F.min("role").alias("role"), F.min("at").alias("at"), F.max("has_text").alias("has_text"))
-    )
+    fields = ["session_id", "parent", "role", "at", "has_text", *(["channel"] if "channel" in messages.columns else [])]
+    rows = cut(messages.where("uuid is not null").groupBy("uuid").agg(F.min(F.struct(*fields)).alias("said")).select("uuid", "said.*"))
+    rows = cut(with_sessions(rows)) if "channel" in fields else rows.where("session_id is not null")
     placed = resolve(rows.select(F.col("uuid").alias("node"), "parent", F.col("session_id").alias("locality")))
     state = placed.select("node", "depth", (F.col("root") == F.col("node")).alias("is_root"))
     answered = rows.where("role = 'assistant' and has_text and parent is not null").select(F.col("parent").alias("asked")).distinct()
@@ -130,6 +145,14 @@ def calibrated_gap(gaps: DataFrame, gap: str, bins: int = 96) -> float:
     return float(2 ** ((int(np.nanargmax(between)) + 1) / 2))
 
 
+def reciprocal(rows: DataFrame, keys: list[str], role: str = "role") -> DataFrame:
+    """The rows of those groups in which both a user and an assistant speak; null keys form groups of their own."""
+    heard = rows.groupBy(*keys).agg(F.max(F.col(role) == "user").alias("asks"), F.max(F.col(role) == "assistant").alias("replies")).where("asks and replies")
+    other = heard.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(other, cond, "left_semi")
+
+
 def split_by_gaps(rows: DataFrame, channel: str, at: str, key: str, gap_us: float | None = None) -> DataFrame:
     """``rows`` with ``part``: the number of the conversation within its channel, from 1.
 

@@ -104,3 +104,24 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )
+
+
+def phase_shares(mixed: DataFrame, schedule: Schedule) -> DataFrame:
+    """``phase, source, planned_share, actual_share, n_tokens`` of every phase (from 1) and source of the schedule.
+
+    Planned shares are relative to the sources that have documents in the mix. A document belongs to the phase in
+    which its middle lies.
+    """
+    spark = mixed.sparkSession
+    ends = [end for end, _ in schedule]
+    phase = F.lit(len(ends))
+    for k in range(len(ends) - 2, -1, -1):
+        phase = F.when(F.col("progress") < ends[k], F.lit(k + 1)).otherwise(phase)
+    reached = cut(mixed.groupBy(phase.alias("phase"), "source").agg(F.sum("n_tokens").alias("n_tokens")))
+    plan = spark.createDataFrame([(k + 1, s, float(w)) for k, (_, weights) in enumerate(schedule) for s, w in weights.items()], "phase int, source string, weight double")
+    # Both sides have one row per phase and source.
+    there = plan.join(F.broadcast(reached.select("source").distinct()), "source")
+    whole = there.groupBy("phase").agg(F.sum("weight").alias("whole"))
+    total = reached.groupBy("phase").agg(F.sum("n_tokens").alias("total"))
+    rows = there.join(F.broadcast(reached), ["phase", "source"], "left").join(F.broadcast(whole), "phase").join(F.broadcast(total), "phase", "left")
+    return rows.select("phase", "source", (F.col("weight") / F.col("whole")).alias("planned_share"), F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))

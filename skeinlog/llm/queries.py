@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.functions.ids import clean_id
-from skeinlog.llm.conversations import conversations, infer_role, split_by_gaps
+from skeinlog.llm.conversations import conversations, infer_role, reciprocal, split_by_gaps
 from skeinlog.llm.defects import answer_text, defective_pairs
 from skeinlog.llm.lookalikes import lookalike_classes, lookalike_pairs, plain_text
-from skeinlog.llm.mixing import mix, shares
+from skeinlog.llm.mixing import mix, phase_shares, shares
 from skeinlog.llm.pii import found_items, mask_text
 from skeinlog.llm.tokens import encode, encode_with_offsets
 from skeinlog.operators.instants import normalize_instants
@@ -70,9 +70,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem 5: messages by directory, parted at calibrated inactivity gaps."""
-    rows = chat_messages(spark, sf_dir).where("channel is not null").select("channel", "uuid", "role", "at").distinct()
-    return split_by_gaps(rows, "channel", "at", "uuid")
+    """Problem 5: messages by directory (without one, by session), parted at calibrated inactivity gaps; only parts with question and reply."""
+    rows = chat_messages(spark, sf_dir).select(F.coalesce("channel", "session_id").alias("channel"), "uuid", "role", "at").distinct()
+    return reciprocal(split_by_gaps(rows, "channel", "at", "uuid"), ["channel", "part"])
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +85,33 @@ def p8_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_with_offsets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def curriculum(targets: DataFrame, swing: float = 0.5) -> list[tuple[float, dict[str, float]]]:
+    """A schedule of three phases whose integral is the target weights: the heaviest source is rarer at first and more frequent at the end.
+
+    ``targets`` has one row per source. The middle phase has the target weights; the first and the last, equally
+    long, differ from them by ``swing`` of the smaller of the two sides in opposite directions.
+    """
+    weight = {r["source"]: max(0.0, float(r["weight"] or 0)) for r in targets.where("source is not null").collect()}
+    total = sum(weight.values())
+    if not total:
+        return [(1.0, weight)]
+    share = {s: w / total for s, w in weight.items()}
+    top = max(share, key=lambda s: (share[s], s))
+    moved = swing * min(share[top], 1 - share[top])
+    rest = 1 - share[top]
+    shift = lambda sign: {s: q + sign * (moved if s == top else -moved * q / rest) for s, q in share.items()} if rest else share
+    return [(0.3, shift(-1)), (0.7, share), (1.0, shift(1))]
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem 9: the documents of the mix in training order."""
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    """Problem 9: the documents of the mix in training order, by a schedule of three phases."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix(table(spark, sf_dir, "documents"), targets, curriculum(targets))
+
+
+def p9_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 9: the share of each source in each phase of the schedule, planned and reached."""
+    return phase_shares(p9_mix(spark, sf_dir), curriculum(table(spark, sf_dir, "mix_targets")))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +144,7 @@ QUERIES = {
     "p8_offsets": p8_offsets,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_phases": p9_phases,
     "p10_found": p10_found,
     "p10_forms": p10_forms,
     "p10_classes": p10_classes,

@@ -56,3 +56,16 @@ def test_roles_and_gaps(spark):
     got = {x["key"]: x["part"] for x in C.split_by_gaps(rows, "channel", "at", "key").collect()}
     assert got["k0"] == 1 and got["k19"] == 1 and got["k20"] == 2 and got["k99"] == 5 and got["none"] is None and got["e"] == 1
     assert math.isinf(C.calibrated_gap(spark.createDataFrame([(None,)], "g long"), "g"))
+
+
+def test_messages_without_session_are_sessionized(spark):
+    rows = [("u1", None, "user", 0), ("a1", "u1", "assistant", 1_000_000), ("u2", None, "user", 90_000_000_000), ("a2", "u2", "assistant", 90_001_000_000), ("u3", None, "user", 400_000_000_000)]
+    df = spark.createDataFrame([(None, u, p, r, at, True, "c") for u, p, r, at in rows] + [(None, "x", None, "user", 5, True, None)], "session_id string, uuid string, parent string, role string, at long, has_text boolean, channel string")
+    got = [(r["session_id"], r["turn"], r["uuid"]) for r in C.conversations(df).orderBy("session_id", "turn").collect()]
+    assert got == [("c#1", 1, "u1"), ("c#1", 2, "a1"), ("c#2", 1, "u2"), ("c#2", 2, "a2")]
+
+
+def test_reciprocal(spark):
+    df = spark.createDataFrame([("a", 1, "user"), ("a", 1, "assistant"), ("a", 2, "user"), (None, 1, "assistant"), (None, 1, "user"), ("b", None, "user")], "channel string, part int, role string")
+    assert sorted((r["channel"] or "", r["part"]) for r in C.reciprocal(df, ["channel", "part"]).collect()) == [("", 1), ("", 1), ("a", 1), ("a", 1)]
+    assert C.reciprocal(df.limit(0), ["channel", "part"]).count() == 0

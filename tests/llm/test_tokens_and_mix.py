@@ -83,3 +83,21 @@ def test_curriculum(spark):
     assert abs(early["a"] / (early["a"] + early["b"]) - 0.75) < 0.02
     capped = mixing.mix(df, targets, total=10_000_000).groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     assert capped == 1
+
+
+def test_phases_follow_the_schedule(spark, data):
+    from skeinlog.llm import queries as Q
+    from skeinlog.runtime import table
+
+    plan = Q.curriculum(table(spark, data, "mix_targets"))
+    weights = {r["source"]: r["weight"] for r in table(spark, data, "mix_targets").collect()}
+    whole = sum(weights.values())
+    for s, w in weights.items():
+        begin, got = 0.0, 0.0
+        for end, q in plan:
+            got, begin = got + (end - begin) * q[s], end
+        assert abs(got - w / whole) < 1e-9
+    rows = Q.p9_phases(spark, data).collect()
+    assert rows and {r["phase"] for r in rows} == {1, 2, 3}
+    assert all(abs(sum(r[c] for r in rows if r["phase"] == p) - 1) < 1e-6 for p in (1, 2, 3) for c in ("planned_share", "actual_share"))
+    assert max(abs(r["planned_share"] - r["actual_share"]) for r in rows) < 0.1
