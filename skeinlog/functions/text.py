@@ -7,24 +7,24 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What full case folding does beyond lower case, for the letters that occur in practice; fixed values.
-FOLDED = {"ß": "ss", "ς": "σ", "ſ": "s"}
+#: What full case folding does beyond lower case, letter by letter, from Unicode's own table.
+FOLDED = {low: low.casefold() for low in (chr(p).lower() for p in range(0x20000) if not 0xD800 <= p < 0xE000) if len(low) == 1 and low.casefold() != low}
+_ONE = {a: b for a, b in FOLDED.items() if len(b) == 1}
+_MANY = {a: b for a, b in FOLDED.items() if len(b) > 1}
 
 
 def fold(col: Column) -> Column:
-    """Case folding: lower case, and the letters of FOLDED."""
-    out = F.lower(col)
-    for a, b in FOLDED.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Case folding: lower case, and the letters of FOLDED; those that fold to several only where a text has one."""
+    out = F.translate(F.lower(col), "".join(_ONE), "".join(_ONE.values()))
+    several = out
+    for a, b in _MANY.items():
+        several = F.replace(several, F.lit(a), F.lit(b))
+    return F.when(out.rlike(f"[{''.join(_MANY)}]"), several).otherwise(out)
 
 
 def fold_text(text: str) -> str:
     """The same for a needle."""
-    out = text.lower()
-    for a, b in FOLDED.items():
-        out = out.replace(a, b)
-    return out
+    return "".join(FOLDED.get(c, c) for c in text.lower())
 
 
 def is_glob(value: str, classes: bool = False) -> bool:

@@ -43,6 +43,23 @@ def previous(df: DataFrame, keys: list[str], order: list[str], value: str, out:
     return joined.withColumn(out, F.coalesce("__near", "__far")["v"]).drop("__near", "__far", "__at", "__piece", *[f"__{c}" for c in keys])
 
 
+def carried(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the last ``value`` that is not null at or before the row, in ``order``, within equal ``keys``.
+
+    Null keys form one group; rows that tie in ``order`` are put in some order. An empty table stays empty.
+    """
+    rows = _pieces(df, keys, order)
+    span = Window.partitionBy("__piece", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("__near", F.last(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"))), ignorenulls=True).over(span))
+    ends = rows.groupBy("__piece", *keys).agg(F.max(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("__v")))).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    far = ends.withColumn("__far", F.last("__end", ignorenulls=True).over(before)).where("__far is not null").select(
+        F.col("__piece").alias("__at"), *[F.col(c).alias(f"__{c}") for c in keys], F.struct(F.col("__far.__v").alias("v")).alias("__far"))
+    # At most one row per piece has something carried over to it.
+    joined = near.join(F.broadcast(far), _same(near, far, keys), "left")
+    return joined.withColumn(out, F.coalesce("__near", "__far")["v"]).drop("__near", "__far", "__at", "__piece", *[f"__{c}" for c in keys])
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], out: str, value: str | None = None) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` up to and with the row, or without ``value`` its number from 1.
 

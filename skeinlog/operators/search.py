@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinlog.functions.text import java_regex, literal_regex, smart_case
+from skeinlog.operators.display import usable
+from skeinlog.operators.ordered import carried
 from skeinlog.operators.relevance import weighted_ratio
-from skeinlog.plans import lower
+from skeinlog.plans import lower, planning
 from skeinlog.plans.query import Request, terms
 
 IDENTITY = ("kind", "agent", "store")
@@ -83,9 +85,17 @@ def relevance(records: DataFrame, query: str, threshold: float = 0.0, boost: Col
     return out if boost is None else out.withColumn("score", F.col("score") + F.when(boost, 10.0).otherwise(0.0))
 
 
-def search(records: DataFrame, request: Request) -> DataFrame:
-    """The whole search: match, deduplicate, order, limit. A limit is the feature asked for: a top-k report."""
-    found = matched(records, request)
+def search(records: DataFrame, request: Request, conversations: int | None = None) -> DataFrame:
+    """The whole search: open what the effort asks for, match, deduplicate, order, limit. A limit is the feature asked for: a top-k report.
+
+    With a column ``is_authority``, rows of other stores that repeat a text of an authority's session or path are
+    left out, except in scan order. Effort needs ``store_role``; without it every record is open.
+    """
+    opened = planning.planned(records, request, matched, routed, conversations) if "store_role" in records.columns else records
+    found = matched(opened, request)
+    if "is_authority" in records.columns and request.order != "scan":
+        sure = F.coalesce("is_authority", F.lit(False))
+        found = found.where(sure).unionByName(without_authority(found.where(~sure), found.where(sure)))
     if request.dedupe:
         found = deduplicated(found, request.order)
     if request.order == "relevance":
@@ -112,8 +122,13 @@ def sessions(ranked: DataFrame, rank: str = "rank") -> DataFrame:
 
 
 def grep_pattern(patterns: list[str], fixed: bool = False, word: bool = False, case: str = "smart") -> str:
-    """One pattern of the JVM for grep: escaped where fixed, bounded where word, case by the patterns where smart."""
-    parts = [literal_regex(p) if fixed else p for p in patterns]
+    """One pattern of the JVM for grep: escaped where fixed, bounded where word, case by the patterns where smart.
+
+    What is no pattern is left out; without any the result matches nothing.
+    """
+    parts = [literal_regex(p) for p in patterns] if fixed else usable(patterns)
+    if not parts:
+        return "(?!)"
     parts = [rf"\b(?:{p})\b" if word else f"(?:{p})" for p in parts]
     return java_regex("|".join(parts), case == "respect" or (case == "smart" and smart_case(patterns)))
 
@@ -171,23 +186,6 @@ def snippet(text: Column, pattern: str, most: int = 5) -> Column:
     return F.when(total <= most, F.struct(text.alias("snippet"), F.lit(0).alias("remaining"))).otherwise(F.struct(cut.alias("snippet"), (total - most).alias("remaining")))
 
 
-def content_format(text: Column) -> Column:
-    """json, markdown (a heading, fence, bold text, quote, link, list of two or table) or text."""
-    marks = r"(?m)^#{1,6} \S|^```|\*\*\S[^*\n]*\*\*|^> |\[[^\]\n]+\]\([^)\n]+\)|^[-*+] .+\n[-*+] |^\d+\. .+\n\d+\. |^\|.+\|\s*\n\|[ :|-]+\|"
-    braced = F.ltrim(text).rlike(r"^[\[{]") & F.try_parse_json(text).isNotNull()
-    return F.when(F.coalesce(text, F.lit("")) == "", "text").when(braced, "json").when(text.rlike(marks), "markdown").otherwise("text")
-
-
-def relative_time(at: Column, now: Column) -> Column:
-    """now, Nm, Nh, Nd, Nw, Nmo or Ny ago; null for the future."""
-    s = F.unix_timestamp(now) - F.unix_timestamp(at)
-    count = lambda per, unit: F.concat(F.floor(s / per).cast("string"), F.lit(f"{unit} ago"))
-    return (
-        F.when(s < 0, F.lit(None).cast("string")).when(s < 60, F.lit("now")).when(s < 3600, count(60, "m")).when(s < 86_400, count(3600, "h")).when(s < 604_800, count(86_400, "d"))
-        .when(s < 2_592_000, count(604_800, "w")).when(s < 31_536_000, count(2_592_000, "mo")).otherwise(count(31_536_000, "y"))
-    )
-
-
 def fingerprint(records: DataFrame, out: str = "fingerprint", home: str = "/home/u") -> DataFrame:
     """Records with a SHA-256 over their canonical JSON: keys sorted, text by its own digest, home as ``~``."""
     shown = F.when(F.col("path") == home, F.lit("~")).when(F.col("path").startswith(home + "/"), F.concat(F.lit("~"), F.expr(f"substring(path, {len(home) + 1})"))).otherwise(F.col("path"))
@@ -219,7 +217,7 @@ def routed(evidence: DataFrame, records: DataFrame, most: int = 25) -> DataFrame
 
 def filled_from_header(rows: DataFrame, group: str, order: str, column: str, out: str) -> DataFrame:
     """Rows with the last value of ``column`` that is not null at or before them within their file."""
-    return rows.withColumn(out, F.last(column, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return carried(rows, [group], [order], column, out)
 
 
 def found_sources(sources: DataFrame, pattern: str | None = None, how: str = "fixed", case: str = "smart", kind: str | None = None, extensions: list[str] | None = None) -> DataFrame:
@@ -260,6 +258,21 @@ def enumerated(sources: DataFrame, text: str | None) -> DataFrame:
     return sources.where(F.contains(F.lower(F.concat_ws(" ", "agent", "store", "adapter_id", "path", "path_kind")), F.lit(text.strip().lower())))
 
 
+def agent_counts(records: DataFrame) -> DataFrame:
+    """``agent, n``: records of each agent."""
+    return records.groupBy("agent").agg(F.count("*").alias("n"))
+
+
+def files_with_matches(records: DataFrame, pattern: str) -> DataFrame:
+    """``path`` of each file in which some line matches, once."""
+    return records.where(F.exists(F.split("text", "\n"), lambda line: line.rlike(pattern))).select("path").distinct()
+
+
+def recent(sources: DataFrame, since_ns: int, most: int) -> DataFrame:
+    """The newest sources since a time, at most so many: the limit is the report's. Ties go by path."""
+    return sources.where(F.col("mtime_ns") >= since_ns).orderBy(F.col("mtime_ns").desc(), "path").limit(most)
+
+
 def discovery_summary(sources: DataFrame) -> DataFrame:
     """``dimension, value, n``: number of sources in all, by agent, kind of source and kind of path, in one pass."""
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), (F.lit("") if c is None else F.col(c)).alias("value")) for d, c in (("total", None), ("agent", "agent"), ("source_kind", "source_kind"), ("path_kind", "path_kind"))])

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skeinlog.sources.extract import binary_texts, found_messages, unix_time
 from skeinlog.sources.stores import BY_NAME, Store
 
 ORIGIN = "struct<cwd:string,repo:string,worktree:string,branch:string,remote:string,cwd_hash:string>"
@@ -30,18 +31,29 @@ def plain_path() -> Column:
     return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
 
 
+def _text(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Files as text, with the hidden columns of files; ``**`` in a path is any depth."""
+    reader = spark.read
+    root, deep, rest = path.partition("/**/") if isinstance(path, str) else (path, "", "")
+    if deep:
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", rest)
+    return reader.text(root, wholetext=whole)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, _ord, v``: the lines of files as variants, null for what is no JSON; numbered within each file.
+    """``path, _ord, v``: the lines of files as variants, null for what is no JSON; ``_ord`` grows along each file.
 
-    Files are read whole, so that numbers are those of the file; one file is one session and small.
+    Large files are split between tasks. The place of a line is that of its split in the file (in steps of 64 KB,
+    and splits are larger) and its number in the task that reads it.
     """
-    whole = spark.read.text(path, wholetext=True).select(plain_path().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("_ord", "line"))
-    return whole.where(F.trim("line") != "").select("path", F.col("_ord").cast("bigint").alias("_ord"), F.try_parse_json("line").alias("v"))
+    each = _text(spark, path).select(
+        plain_path().alias("path"), (F.shiftleft(F.floor(F.col("_metadata.file_block_start") / 65_536).cast("bigint"), 33) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_ord"), F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
+    return each.where(F.trim("line") != "").select("path", "_ord", F.try_parse_json("line").alias("v"))
 
 
 def values(spark: SparkSession, path: str) -> DataFrame:
     """``path, v``: files that are one JSON value."""
-    return spark.read.text(path, wholetext=True).select(plain_path().alias("path"), F.try_parse_json("value").alias("v"))
+    return _text(spark, path, True).select(plain_path().alias("path"), F.try_parse_json("value").alias("v"))
 
 
 def content_text(v: Column) -> Column:
@@ -178,14 +190,14 @@ def pi_sessions(spark: SparkSession, path: str, store: Store) -> DataFrame:
     return shaped(rows, store, text=text, role=role, timestamp=_get("v", "timestamp"), model=_get("v", "message.model"), session_id=F.col("head.id"), origin=origin(F.col("head.cwd")))
 
 
-CHAT = "struct<sessionId:string,requests:array<struct<requestId:string,timestamp:bigint,modelId:string,message:struct<text:string>,response:array<struct<kind:string,value:string>>,result:struct<metadata:struct<toolCallRounds:array<struct<toolCalls:array<struct<name:string>>>>>>>>>"
+CHAT = "struct<sessionId:string,requests:array<struct<requestId:string,timestamp:bigint,modelId:string,message:struct<text:string>,response:array<struct<kind:string,value:string,content:struct<value:string>>>,result:struct<metadata:struct<toolCallRounds:array<struct<toolCalls:array<struct<name:string>>>>>>>>>"
 
 
 def _chat_records(rows: DataFrame, store: Store) -> DataFrame:
     title = F.element_at(F.filter(F.transform("chat.requests", lambda r: r["message"]["text"]), lambda t: F.coalesce(t, F.lit("")) != ""), 1)
     each = rows.select("path", title.alias("title"), F.col("chat.sessionId").alias("sid"), F.posexplode("chat.requests").alias("at", "r"))
     tools = F.flatten(F.transform(F.coalesce("r.result.metadata.toolCallRounds", F.array()), lambda x: F.transform(F.coalesce(x["toolCalls"], F.array()), lambda c: c["name"])))
-    reply = F.concat_ws("", F.transform(F.filter("r.response", lambda e: e["kind"].isNull()), lambda e: e["value"]))
+    reply = F.concat_ws("", F.transform("r.response", lambda e: F.when(e["kind"].isNull(), e["value"]).when(e["kind"] == "markdownContent", e["content"]["value"])))
     sides = F.array(
         F.struct(F.lit("user").alias("role"), F.col("r.message.text").alias("said"), F.array().cast("array<string>").alias("tools"), F.lit(0).alias("side")),
         F.struct(F.lit("assistant").alias("role"), reply.alias("said"), tools.alias("tools"), F.lit(1).alias("side")))
@@ -241,7 +253,7 @@ def vscode_log(spark: SparkSession, path: str, store: Store) -> DataFrame:
                 out.append(json.dumps(replay(changes)))
             yield pd.DataFrame({"path": pdf["path"], "chat": out})
 
-    whole = spark.read.text(path, wholetext=True).select(plain_path().alias("path"), "value")
+    whole = _text(spark, path, True).select(plain_path().alias("path"), "value")
     return _chat_records(whole.mapInPandas(run, "path string, chat string").select("path", F.from_json("chat", CHAT).alias("chat")), store)
 
 
@@ -262,10 +274,153 @@ def opencode(spark: SparkSession, path: str, store: Store) -> DataFrame:
     return shaped(rows, store, text=text, role=_get("m", "role"), title=F.col("title"), timestamp=millis(_get("m", "time.created", "bigint")), model=_get("m", "modelID"), session_id=F.col("session_id"), origin=origin(F.col("directory")))
 
 
+def _walked(rows: DataFrame, store: Store) -> DataFrame:
+    """Records of ``path, _ord, raw``: every message inside the JSON texts, wherever it is."""
+    found = found_messages(rows, "raw", ["path", "_ord"])
+    placed = found.withColumn("__n", F.col("nth").cast("bigint"))
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    at = F.when(F.col("_ord") == 0, F.col("__n")).otherwise(F.col("_ord") * 1024 + F.least("__n", F.lit(1023)))
+    return shaped(placed.withColumn("_ord", at), store, **{c: F.col(c) for c in ("text", "role", "title", "timestamp", "model", "session_id")}, conversation_id=F.coalesce("conversation_id", stem), origin=F.col("origin").cast(ORIGIN))
+
+
+def walked_values(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    return _walked(_text(spark, path, True).select(plain_path().alias("path"), F.lit(0).cast("bigint").alias("_ord"), F.col("value").alias("raw")), store)
+
+
+def walked_lines(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    return _walked(lines(spark, path).where("v is not null").select("path", "_ord", F.to_json("v").alias("raw")), store)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return _text(spark, path, True).select(plain_path().alias("path"), "value", F.lit(0).cast("bigint").alias("_ord"), F.date_format("_metadata.file_modification_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("written"))
+
+
+def whole_text(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """One record per file: its whole text, timed by the file."""
+    return shaped(_files(spark, path), store, text=F.col("value"), timestamp=F.col("written"), title=F.regexp_extract("path", r"([^/]+)$", 1))
+
+
+def summaries(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """One record per JSON file: its names with the shape of each value, never the values, which may be secret."""
+    shape = F.regexp_replace(F.schema_of_variant(F.try_parse_json("value")), r"^OBJECT<|>$", "")
+    return shaped(_files(spark, path).where(F.try_parse_json("value").isNotNull()), store, text=F.concat(F.regexp_extract("path", r"([^/]+)$", 1), F.lit(": "), shape), timestamp=F.col("written"))
+
+
+def toml_summaries(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """One record per TOML file: its tables and names, without values."""
+    line = F.transform(F.split("value", "\r?\n"), lambda x: F.regexp_extract(x, r"^\s*(\[[^\]]+\]|[\w.\"'-]+(?=\s*=))", 1))
+    return shaped(_files(spark, path), store, text=F.array_join(F.filter(line, lambda x: x != ""), "\n"), timestamp=F.col("written"))
+
+
+def file_facts(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """One record per file: its name, size and number of lines, nothing of its content."""
+    rows = _files(spark, path)
+    said = F.concat(F.regexp_extract("path", r"([^/]+)$", 1), F.lit(": "), F.length(F.encode("value", "UTF-8")).cast("string"), F.lit(" bytes, "), F.size(F.split("value", "\n")).cast("string"), F.lit(" lines"))
+    return shaped(rows, store, text=said, timestamp=F.col("written"))
+
+
+def titles(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """Names of sessions from an index of one per line."""
+    return shaped(lines(spark, path), store, text=F.coalesce(_get("v", "thread_name"), _get("v", "title"), _get("v", "name")), session_id=F.coalesce(_get("v", "id"), _get("v", "session_id")), timestamp=F.coalesce(_get("v", "updated_at"), _get("v", "timestamp")))
+
+
+def todos(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """Tasks: one object a file, a list of them, or one under ``todos`` or ``tasks``."""
+    v = F.col("v")
+    listed = F.coalesce(F.when(F.schema_of_variant(v).startswith("ARRAY"), v.cast("string")), F.to_json(F.try_variant_get(v, "$.todos", "variant")), F.to_json(F.try_variant_get(v, "$.tasks", "variant")), F.concat(F.lit("["), v.cast("string"), F.lit("]")))
+    each = values(spark, path).where("v is not null").select("path", F.posexplode(F.from_json(listed, "array<struct<content:string,subject:string,title:string,description:string,status:string,id:string>>")).alias("at", "t"))
+    said = F.concat_ws("\n", F.coalesce("t.content", "t.subject", "t.title"), "t.description")
+    return shaped(each.withColumn("_ord", F.col("at").cast("bigint")), store, text=said, metadata=F.when(F.col("t.status").isNotNull(), F.create_map(F.lit("status"), F.col("t.status"))))
+
+
+def store_messages(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """Messages of a relational store: a base table, left-joined with those of the two sides."""
+    read = lambda t, c: spark.read.format("skeinlog_sqlite").option("table", t).option("columns", c).load(path)
+    base = read("base_messages", "uuid,session_id,timestamp,cwd").withColumn("_ord", F.col("row"))
+    user = read("user_messages", "uuid,message").select(F.col("uuid").alias("u"), F.col("path").alias("up"), F.col("message").alias("asked"))
+    reply = read("assistant_messages", "uuid,message,model").select(F.col("uuid").alias("a"), F.col("path").alias("ap"), F.col("message").alias("said"), "model")
+    rows = base.join(user, (F.col("uuid") == F.col("u")) & (F.col("path") == F.col("up")), "left").join(reply, (F.col("uuid") == F.col("a")) & (F.col("path") == F.col("ap")), "left")
+    raw = F.try_parse_json(F.coalesce("asked", "said"))
+    text = F.coalesce(content_text(F.try_variant_get(raw, "$.content", "variant")), F.coalesce("asked", "said"))
+    stamp = F.col("timestamp").try_cast("bigint")
+    return shaped(rows, store, text=text, role=F.when(F.col("asked").isNotNull(), "user").when(F.col("said").isNotNull(), "assistant"), model=F.col("model"), session_id=F.col("session_id"),
+                  timestamp=F.coalesce(F.when(stamp > 10_000_000_000, millis(stamp)).otherwise(unix_time(stamp)), F.col("timestamp")), origin=origin(F.col("cwd")))
+
+
+def _rows(spark: SparkSession, path: str, name: str, columns: str) -> DataFrame:
+    return spark.read.format("skeinlog_sqlite").option("table", name).option("columns", columns).load(path).withColumn("_ord", F.col("row"))
+
+
+def grok_search(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """The documents of a search index of sessions."""
+    rows = _rows(spark, path, "session_docs", "session_id,cwd,title,content,updated_at")
+    return shaped(rows, store, text=F.col("content"), title=F.col("title"), session_id=F.col("session_id"), timestamp=F.col("updated_at"), origin=origin(F.col("cwd")))
+
+
+def summarized_talks(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """Summaries of conversations: short form, overview and points."""
+    rows = _rows(spark, path, "conversation_summaries", "conversationId,title,tldr,overview,summaryBullets,model,mode,updatedAt")
+    points = F.from_json("summaryBullets", "array<string>")
+    listed = F.when(points.isNull(), F.col("summaryBullets")).otherwise(F.array_join(F.transform(F.filter(points, lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("- "), x)), "\n"))
+    text = F.concat_ws("\n", F.when(F.col("tldr") != "", F.col("tldr")), F.when(F.col("overview") != "", F.col("overview")), F.when(listed != "", listed))
+    return shaped(rows, store, text=text, title=F.col("title"), model=F.col("model"), conversation_id=F.col("conversationId"), timestamp=millis(F.col("updatedAt").try_cast("bigint")))
+
+
+def codex_goals(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    rows = _rows(spark, path, "thread_goals", "thread_id,goal_id,objective,status")
+    return shaped(rows, store, text=F.col("objective"), session_id=F.col("thread_id"), metadata=F.when(F.col("status").isNotNull(), F.create_map(F.lit("status"), F.col("status"))))
+
+
+def codex_memories(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    rows = _rows(spark, path, "stage1_outputs", "thread_id,raw_memory")
+    return shaped(rows, store, text=F.col("raw_memory"), session_id=F.col("thread_id"))
+
+
+def codex_logs(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    rows = _rows(spark, path, "logs", "id,ts,level,target,feedback_log_body,thread_id")
+    return shaped(rows, store, text=F.col("feedback_log_body"), title=F.col("target"), session_id=F.col("thread_id"), timestamp=unix_time(F.col("ts").try_cast("double")))
+
+
+#: Keys of key-value tables that hold chats, by their beginnings; fixed values.
+CHAT_KEYS = ("composerData:", "bubbleId:", "aiService.prompts", "aiService.generations", "workbench.panel.aichat", "interactive.", "inline-chat-history", "memento/interactive")
+
+
+def key_values(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """Messages in the values of a key-value table, and lists of texts under its prompt keys."""
+    parts = []
+    for name in ("ItemTable", "cursorDiskKV"):
+        rows = spark.read.format("skeinlog_sqlite").option("table", name).option("columns", "key,value").load(path)
+        wanted = F.lit(False)
+        for begin in CHAT_KEYS:
+            wanted = wanted | F.col("key").startswith(begin)
+        parts.append(rows.where(wanted).select("path", F.col("row").alias("_ord"), "key", F.col("value").cast("string").alias("raw")))
+    rows = parts[0].unionByName(parts[1])
+    texts = F.from_json("raw", "array<struct<text:string>>")
+    alone = rows.where(F.contains("key", F.lit("prompts")) | F.contains("key", F.lit("history"))).select("path", F.col("_ord").alias("at"), F.posexplode(F.coalesce(F.filter(F.transform(texts, lambda x: x["text"]), lambda x: x.isNotNull()), F.from_json("raw", "array<string>"))).alias("n", "said"))
+    prompts = shaped(alone.withColumn("_ord", F.col("at") * 1_000_000 + F.col("n")), store, text=F.col("said"), role=F.lit("user"))
+    bubbles = rows.where(F.col("key").startswith("bubbleId:")).withColumn("v", F.try_parse_json("raw"))
+    spoken = shaped(bubbles, store, text=_get("v", "text"), role=F.when(_get("v", "type", "int") == 1, "user").otherwise("assistant"), model=F.coalesce(_get("v", "modelInfo.modelName"), _get("v", "model")), conversation_id=F.element_at(F.split("key", ":"), 2))
+    return prompts.unionByName(spoken).unionByName(_walked(rows.where(~F.col("key").startswith("bubbleId:")).select("path", "_ord", "raw"), store))
+
+
+def binary_blobs(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """Readable texts inside the binary values of a database whose layout is not known; JSON inside them is walked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, o * 10_000 + n, t) for p, o, v in zip(pdf["path"], pdf["_ord"], pdf["value"], strict=True) for n, t in enumerate(binary_texts(bytes.fromhex(v) if isinstance(v, str) else bytes(v or b"")))]
+            yield pd.DataFrame(rows, columns=["path", "_ord", "raw"])
+
+    rows = spark.read.format("skeinlog_sqlite").option("table", "blobs,steps,trajectories").option("columns", "data,step_payload,content").option("binary", "true").load(path)
+    texts = rows.select("path", F.col("row").alias("_ord"), F.coalesce("data", "step_payload", "content").alias("value")).where("value is not null").mapInPandas(run, "path string, _ord bigint, raw string")
+    plain = texts.where(~F.ltrim("raw").rlike(r"^[\[{]"))
+    return shaped(plain, store, text=F.col("raw")).unionByName(_walked(texts.where(F.ltrim("raw").rlike(r"^[\[{]")), store))
+
+
 READERS: dict[str, Callable[[SparkSession, str, Store], DataFrame]] = {
     f.__name__: f for f in (
         codex_history, codex_sessions, codex_state, claude_history, claude_session, cursor_transcripts, string_list, gemini_chats, gemini_logs, grok_prompts, grok_sessions, grok_subagents, antigravity_history,
-        pi_sessions, vscode_chats, vscode_log, opencode)
+        pi_sessions, vscode_chats, vscode_log, opencode, walked_values, walked_lines, whole_text, summaries, toml_summaries, file_facts, titles, todos, store_messages, key_values, binary_blobs, grok_search, summarized_talks, codex_goals, codex_memories, codex_logs)
 }
 
 
@@ -278,22 +433,22 @@ def read(spark: SparkSession, store: str, path: str) -> DataFrame:
     return READERS[known.reader](spark, path, known)
 
 
-def read_home(spark: SparkSession, home: str, agents: list[str] | None = None) -> DataFrame:
-    """All records below a home directory, with the role of their store; stores without files add nothing."""
-    from skeinlog.sources.stores import STORES, discover
+def read_home(spark: SparkSession, home: str, agents: list[str] | None = None, default_only: bool = True) -> DataFrame:
+    """All records below a home directory, with the role and coverage of their store; stores without files add nothing.
+
+    Only whether a store has files is asked of the file system beforehand; paths are listed by the scans themselves.
+    ``default_only`` leaves out stores that are searched on demand only.
+    """
+    from skeinlog.sources.sqlite import register
+    from skeinlog.sources.stores import STORES, files
 
-    here = {r["store"] for r in discover(spark, home, agents).select("store").distinct().collect()}
+    register(spark)
     out = None
     for s in STORES:
-        if s.store in here:
-            glob = f"{home.rstrip('/')}/{s.where}"
-            if "/**/" in glob:
-                paths = [r["path"] for r in discover(spark, home, [s.agent]).where(F.col("store") == s.store).select("path").collect()]
-                rows = read(spark, s.store, paths)
-            else:
-                rows = read(spark, s.store, glob)
-            rows = rows.withColumn("store_role", F.lit(s.role))
-            out = rows if out is None else out.unionByName(rows)
+        if (agents and s.agent not in agents) or (default_only and s.coverage != "default_search") or files(spark, s.below(home)) is None:
+            continue
+        rows = READERS[s.reader](spark, s.below(home), s).withColumn("store_role", F.lit(s.role)).withColumn("coverage", F.lit(s.coverage))
+        out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise FileNotFoundError(f"no store below {home}")
     return out

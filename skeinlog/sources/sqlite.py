@@ -18,7 +18,9 @@ class _File(InputPartition):
 
 
 class SqliteSource(DataSource):
-    """Options: ``path`` (a glob), ``table``, ``columns`` (a comma list; all are read as text). Adds ``path`` and ``row``."""
+    """Options: ``path`` (a glob), ``table`` and ``columns`` (comma lists; of the tables those that are there are read, columns as
+    text, or with ``binary`` as hexadecimal digits of their bytes). Adds ``path`` and ``row``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -34,7 +36,8 @@ class SqliteSource(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType) -> None:
-        self.path, self.table, self.columns = options["path"], options["table"], schema.names[2:]
+        self.path, self.tables, self.columns = options["path"], [t.strip() for t in options["table"].split(",")], schema.names[2:]
+        self.shape = 'hex("{}")' if str(options.get("binary", "")).lower() == "true" else 'CAST("{}" AS TEXT)'
 
     def partitions(self) -> list[InputPartition]:
         plain = self.path.removeprefix("file://")
@@ -44,12 +47,15 @@ class _Reader(DataSourceReader):
         if not partition.path or not os.path.exists(partition.path):
             return
         with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as db:
-            have = {r[1] for r in db.execute(f'PRAGMA table_info("{self.table}")')}
-            if not have:
-                return
-            picked = ", ".join(f'CAST("{c}" AS TEXT)' if c in have else "NULL" for c in self.columns)
-            for row, values in enumerate(db.execute(f'SELECT {picked} FROM "{self.table}"')):
-                yield (partition.path, row, *values)
+            row = 0
+            for table in self.tables:
+                have = {r[1] for r in db.execute(f'PRAGMA table_info("{table}")')}
+                if not have & set(self.columns):
+                    continue
+                picked = ", ".join(self.shape.format(c) if c in have else "NULL" for c in self.columns)
+                for values in db.execute(f'SELECT {picked} FROM "{table}"'):
+                    yield (partition.path, row, *(v or None for v in values))
+                    row += 1
 
 
 def register(spark: SparkSession) -> None:
