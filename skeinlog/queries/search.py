@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinlog.operators import display as D
 from skeinlog.operators import search as S
-from skeinlog.plans import lower
+from skeinlog.plans import lower, planning
 from skeinlog.plans.query import Request, parse
 from skeinlog.runtime import table
 
@@ -136,12 +137,17 @@ def q_only_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("q_files_with_matches", "SELECT DISTINCT path FROM v WHERE contains(text, 'segfault')")
 def q_files_with_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).where(F.contains("text", F.lit("segfault"))).select("path").distinct()
+    return S.files_with_matches(records(spark, sf_dir), S.grep_pattern(["segfault"], case="respect"))
 
 
-@_add("q_spans", "SELECT doc_id, CAST(len(regexp_extract_all(text, 'lock file|cache')) AS BIGINT) AS n_spans FROM v WHERE regexp_matches(text, 'lock file|cache')")
+@_add("q_spans", """, h AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS p FROM v WHERE regexp_matches(text, 'lock file|file lo|cache')),
+m AS (SELECT doc_id, p AS first, p + CASE WHEN substr(text, p, 9) = 'lock file' THEN 9 WHEN substr(text, p, 7) = 'file lo' THEN 7 ELSE 5 END AS last FROM h
+  WHERE substr(text, p, 9) = 'lock file' OR substr(text, p, 7) = 'file lo' OR substr(text, p, 5) = 'cache'),
+g AS (SELECT *, CASE WHEN first <= max(last) OVER (PARTITION BY doc_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM m),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY first ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT doc_id, CAST(min(first) - 1 AS INTEGER) AS first, CAST(max(last) - 1 AS INTEGER) AS last FROM n GROUP BY doc_id, k""")
 def q_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.spans(records(spark, sf_dir), ["lock file", "cache"], KEY).groupBy("doc_id").agg(F.count("*").alias("n_spans"))
+    return S.spans(records(spark, sf_dir), ["lock file", "file lo", "cache"], KEY)
 
 
 @_add("q_snippet", """, l AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM v WHERE contains(text, 'docker')),
@@ -201,7 +207,7 @@ def q_group_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("q_agent_counts", "SELECT agent, count(*) AS n FROM v GROUP BY agent")
 def q_agent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).groupBy("agent").agg(F.count("*").alias("n"))
+    return S.agent_counts(records(spark, sf_dir))
 
 
 @_add("q_authority", ", a AS (SELECT * FROM v WHERE agent = 'codex'), b AS (SELECT * FROM v WHERE agent <> 'codex') SELECT doc_id FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.text = b.text AND (a.path = b.path OR a.session_id = b.session_id))")
@@ -224,7 +230,7 @@ def q_header_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add("q_set_union", f"SELECT path FROM v WHERE {_t('deadlock')} UNION SELECT path FROM v WHERE {_t('segfault')}")
 def q_set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
-    return S.matched(rows, Request("deadlock segfault", any_term=True)).select("path").distinct()
+    return S.matched(rows, Request("deadlock")).select("path").union(S.matched(rows, Request("segfault")).select("path")).distinct()
 
 
 @_add("q_set_intersect", f"SELECT path FROM v WHERE {_t('deadlock')} INTERSECT SELECT path FROM v WHERE {_t('segfault')}")
@@ -233,12 +239,88 @@ def q_set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.matched(rows, Request("deadlock")).select("path").intersect(S.matched(rows, Request("segfault")).select("path"))
 
 
-@_add("q_content_format")
+@_add("q_content_format", """, l AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM v),
+t AS (SELECT *, list_filter(list_zip(x[:-2], x[2:]), lambda p: p[1] IS NOT NULL AND p[2] IS NOT NULL) AS pairs,
+  CASE WHEN regexp_matches(text, '^\\s*[\\[{]') AND json_valid(text) THEN 1 ELSE 0 END AS braced FROM l)
+SELECT doc_id, CASE WHEN text = '' THEN 'text' WHEN braced = 1 THEN 'json' WHEN
+  len(list_filter(x, lambda y: regexp_matches(y, '^#{1,6} \\S') OR starts_with(y, '```') OR regexp_matches(y, '\\*\\*[^\\s*][^*]*\\*\\*') OR regexp_matches(y, '^ *>[\\t ]\\S') OR regexp_matches(y, '\\[[^\\]]+\\]\\([^)]+\\)'))) > 0
+  OR len(list_filter(pairs, lambda p: (regexp_matches(p[1], '^[\\t ]*[*+-] \\S') AND regexp_matches(p[2], '^[\\t ]*[*+-] \\S')) OR (regexp_matches(p[1], '^[\\t ]*[0-9]+\\. \\S') AND regexp_matches(p[2], '^[\\t ]*[0-9]+\\. \\S'))
+    OR (regexp_matches(p[1], '^ *\\|.+\\|') AND regexp_matches(p[2], '^ *\\|?[\\s|:-]*--')))) > 0
+  THEN 'markdown' ELSE 'text' END AS format FROM t""")
 def q_content_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("doc_id", S.content_format(F.col("text")).alias("format"))
+    return records(spark, sf_dir).select("doc_id", D.content_format(F.col("text")).alias("format"))
 
 
-@_add("q_fingerprint")
+@_add("q_code", """, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS y FROM v)
+SELECT doc_id, bool_or(regexp_matches(y, '[{};] *$') OR regexp_matches(y, '^\\s*#(include|define|pragma)\\b') OR regexp_matches(y, '^[\\t ]*(import|from) [\\w.]+')
+  OR regexp_matches(y, '^[\\t ]*(def|class|func|fn|struct|enum|trait|impl|public|private|protected|static) +\\w') OR regexp_matches(y, '^[\\t ]*(function|const|let|var) +\\w+\\s*[=(]')
+  OR regexp_matches(y, '^[\\t ]*(package|namespace|module|use) +[\\w:.]+')) AS code FROM l GROUP BY doc_id""")
+def q_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("doc_id", D.looks_like_code(F.col("text")).alias("code"))
+
+
+@_add("q_first_match_line", """, l AS (SELECT doc_id, list_position(list_transform(string_split(text, chr(10)), lambda y: contains(y, 'cache') OR contains(y, 'retry')), true) AS n FROM v)
+SELECT doc_id, CAST(n - 1 AS INTEGER) AS at FROM l WHERE n > 0""")
+def q_first_match_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("doc_id", D.first_match_line(F.col("text"), ["cache", "retry"]).alias("at")).where("at is not null")
+
+
+@_add("q_bounded_lines", """, l AS (SELECT doc_id, text, string_split(substr(text, 1, 200), chr(10)) AS x FROM v)
+SELECT doc_id, CASE WHEN length(text) > 200 THEN array_to_string(x[:3], chr(10)) || chr(10) || '… (more content)' WHEN len(x) > 3 THEN array_to_string(x[:3], chr(10)) || chr(10) || '… (+' || (len(x) - 3) || ' more lines)' ELSE text END AS shown FROM l""")
+def q_bounded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("doc_id", D.bounded_lines(F.col("text"), 3, 200).alias("shown"))
+
+
+@_add("q_highlight", "SELECT doc_id, regexp_replace(text, '(cache|retry)', '<<\\1>>', 'g') AS shown FROM v WHERE regexp_matches(text, 'cache|retry')")
+def q_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir).where(F.col("text").rlike("cache|retry"))
+    return rows.select("doc_id", D.highlighted(F.col("text"), ["cache", "retry"]).alias("shown"))
+
+
+@_add("q_log_time", "SELECT doc_id, CASE WHEN ts IS NULL THEN '' ELSE replace(substr(ts, 1, 16), 'T', ' ') || ' +0000' END AS shown FROM v")
+def q_log_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("doc_id", D.log_time(F.col("timestamp")).alias("shown"))
+
+
+@_add("q_no_dedupe", f"SELECT doc_id FROM v WHERE {_t('tokenizer')}")
+def q_no_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.search(records(spark, sf_dir), Request("tokenizer", dedupe=False)).select("doc_id")
+
+
+@_add("q_grep_smartcase", "SELECT doc_id, 'lower' AS pattern FROM v WHERE contains(lower(text), 'error') UNION ALL SELECT doc_id, 'upper' FROM v WHERE contains(text, 'Error')")
+def q_grep_smartcase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir)
+    hit = lambda word, name: rows.where(F.col("text").rlike(S.grep_pattern([word]))).select("doc_id", F.lit(name).alias("pattern"))
+    return hit("error", "lower").unionAll(hit("Error", "upper"))
+
+
+@_add("q_effort_prompt", f", d AS (SELECT *, row_number() OVER ({_KEPT} {_NEW}) AS k FROM v WHERE {_t('cache')} AND kind = 'prompt' AND store_role = 'prompt_history') SELECT doc_id FROM d WHERE k = 1")
+def q_effort_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.search(records(spark, sf_dir), Request("cache", scope="prompts")).select("doc_id")
+
+
+@_add("q_targeted", f""", e AS (SELECT session_id, max(coalesce(ts, '')) AS newest FROM v WHERE (store_role = 'prompt_history' OR kind = 'prompt') AND session_id IS NOT NULL AND {_t('cache')} GROUP BY session_id),
+c AS (SELECT session_id FROM e ORDER BY newest DESC, session_id DESC LIMIT 25),
+o AS (SELECT * FROM v WHERE store_role = 'prompt_history' OR session_id IN (SELECT session_id FROM c)),
+d AS (SELECT *, row_number() OVER ({_KEPT} {_NEW}) AS k FROM o WHERE {_t('cache')}) SELECT doc_id FROM d WHERE k = 1""")
+def q_targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.search(records(spark, sf_dir), Request("cache", effort="targeted")).select("doc_id")
+
+
+@_add("q_submatches", """, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM v),
+h AS (SELECT doc_id, n, line, unnest(range(1, length(line) + 1)) AS p FROM l WHERE contains(line, 'retry'))
+SELECT doc_id, CAST(n AS INTEGER) AS line_number, CAST(p - 1 AS INTEGER) AS first, CAST(p + 4 AS INTEGER) AS last FROM h WHERE substr(line, p, 5) = 'retry'""")
+def q_submatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlog.sources.sinks import submatches
+
+    pattern = S.grep_pattern(["retry"], case="respect")
+    lines = S.lines_of(records(spark, sf_dir), pattern, KEY)
+    return lines.select("doc_id", "line_number", F.explode(submatches(F.col("line"), pattern)).alias("m")).select("doc_id", "line_number", F.col("m.start").alias("first"), F.col("m.end").alias("last"))
+
+
+@_add("q_fingerprint", """SELECT doc_id, sha256('{"adapter_id":' || to_json(adapter_id) || ',"agent":' || to_json(agent) || ',"conversation_id":' || coalesce(to_json(session_id), 'null') || ',"kind":"search","path":'
+  || to_json('~' || substr(path, 8)) || ',"record_kind":"' || kind || '","role":' || coalesce(to_json(role), 'null') || ',"session_id":' || coalesce(to_json(session_id), 'null') || ',"store":' || to_json(store)
+  || ',"text_sha256":"' || sha256(text) || '","timestamp":' || coalesce(to_json(ts), 'null') || '}') AS fingerprint FROM v""")
 def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fingerprint(records(spark, sf_dir)).select("doc_id", "fingerprint")
 
@@ -291,7 +373,7 @@ UNION ALL SELECT 'source_kind', source_kind, count(*) FROM s GROUP BY source_kin
 
 def q_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty newest sources; the limit is the report's."""
-    return sources(spark, sf_dir).where("mtime_ns > 0").orderBy(F.col("mtime_ns").desc(), "path").limit(50).select("path", "mtime_ns")
+    return S.recent(sources(spark, sf_dir), 1, 50).select("path", "mtime_ns")
 
 
 QUERIES["q_recent"] = q_recent
@@ -325,3 +407,35 @@ def q_day_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["q_day_window"] = q_day_window
 SQL["q_day_window"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sources of each agent a search for prompts leaves at each step."""
+    found = sources(spark, sf_dir).withColumn("coverage", F.when(F.col("path").like("%a%"), "default_search").otherwise("catalog_only")).withColumn("role", F.when(F.col("agent") == "vscode", "primary_chat").otherwise("prompt_history"))
+    return planning.coverage_of(found, Request("cache", scope="prompts", effort="exhaustive"))
+
+
+QUERIES["q_coverage"] = q_coverage
+SQL["q_coverage"] = SOURCES + "SELECT agent, count(*) AS discovered, count(*) FILTER (path LIKE '%a%') AS searchable, count(*) FILTER (path LIKE '%a%') AS opened FROM s GROUP BY agent"
+
+
+def q_json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message anywhere inside the transcript lines."""
+    from skeinlog.sources.extract import found_messages
+
+    return found_messages(table(spark, sf_dir, "cursor_lines").where("line_id is not null").select("line_id", "raw").distinct(), "raw", ["line_id"]).drop("origin")
+
+
+QUERIES["q_json_walk"] = q_json_walk
+
+
+def q_left_join_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats with the header of their session, where there is one: messages of a session per header."""
+    header = table(spark, sf_dir, "grok_subagents").where("child_session_id is not null").groupBy(F.col("child_session_id").alias("sid")).agg(F.min("subagent_type").alias("kind"))
+    prompts = table(spark, sf_dir, "grok_prompts").where("row_id is not null").select("row_id", "session_id").distinct()
+    return prompts.join(header, F.col("session_id") == F.col("sid"), "left").groupBy(F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+QUERIES["q_left_join_summary"] = q_left_join_summary
+SQL["q_left_join_summary"] = """WITH h AS (SELECT child_session_id AS sid, min(subagent_type) AS kind FROM grok_subagents WHERE child_session_id IS NOT NULL GROUP BY 1),
+p AS (SELECT DISTINCT row_id, session_id FROM grok_prompts WHERE row_id IS NOT NULL) SELECT coalesce(kind, 'none') AS kind, count(*) AS n FROM p LEFT JOIN h ON session_id = sid GROUP BY 1"""

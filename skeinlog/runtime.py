@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -49,14 +50,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_folders: set[str] = set()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of cuts; nothing is left to do where the JVM has ended before."""
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation.
 
     Written as Parquet and not by ``checkpoint()`` so that the next plan sees sizes, prunes columns and
-    pushes filters. Files go when the application's folder is cleaned.
+    pushes filters. All cuts of an application are deleted when its driver ends.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
-    path = f"{checkpoint_dir(spark).rstrip('/')}/skeinlog-{app}/{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/skeinlog-{app}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
