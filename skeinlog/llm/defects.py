@@ -38,6 +38,7 @@ ASKED = {
     "ru": r"russian|russisch\w*|russe|ruso|по-русски", "el": r"greek|griechisch\w*|grec|griego", "ja": r"japanese|japanisch\w*|japonais|japonés|日本語",
 }
 ASKS = {k: re.compile(rf"\b(?:{v})", re.I) for k, v in ASKED.items()}
+ASKS_ANY = re.compile(rf"\b(?:{'|'.join(ASKED.values())})", re.I)
 
 _VISIBLE = regex.compile(r"[^\p{Z}\p{C}ㅤᅟᅠﾠ]")
 _PATH = re.compile(r"[\w.~-]*/[\w./~-]*\w")
@@ -62,6 +63,14 @@ def simplified(text: str) -> str:
     return _DIGITS.sub("9", _NAME.sub("‹", _PATH.sub("›", text)))
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted different values; sorting beats hashing here several times over."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    keep[1:] = values[1:] != values[:-1]
+    return values[keep]
+
+
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in one array and the length of each."""
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), np.fromiter(map(len, texts), np.int64, len(texts))
@@ -158,7 +167,7 @@ class Model:
         word = all_codes != line
         w, o = all_codes[word], owner[word]
         parts = [_grams(w, o, k, k, BITS) for k in (1, 2, 3)]
-        key = np.unique(np.concatenate([(a << BITS) | g for a, g in parts]))
+        key = _distinct(np.concatenate([(a << BITS) | g for a, g in parts]))
         row, place = key >> BITS, key & ((1 << BITS) - 1)
         grams = np.bincount(row, minlength=n)
         value = (3.0 / np.sqrt(np.maximum(1, grams)))[row]
@@ -192,7 +201,7 @@ class Model:
             owner = np.concatenate([owner, few])
             gram = np.concatenate([gram, np.array([zlib.crc32(part[k].encode("utf-8", "surrogatepass")) for k in few], np.int64)])
             # Two passes through the same keys: sorted pairs of owner and gram.
-            sets.append(np.unique(_mixed([owner, gram], 6, 63).astype(np.uint64) >> np.uint64(24) | (owner.astype(np.uint64) << np.uint64(39))))
+            sets.append(_distinct(_mixed([owner, gram], 6, 63).astype(np.uint64) >> np.uint64(24) | (owner.astype(np.uint64) << np.uint64(39))))
         here = [np.bincount((s >> np.uint64(39)).astype(np.int64), minlength=n)[:n] for s in sets]
         both = np.bincount((np.intersect1d(*sets, assume_unique=True) >> np.uint64(39)).astype(np.int64), minlength=n)[:n]
         ok = (here[0] > 0) & (here[1] > 0)
@@ -207,9 +216,8 @@ class Model:
         dense[:, 25] = ok * np.minimum(3.0, [len(a) / max(1, len(q)) for q, a in zip(qs, as_, strict=True)]) / 3
         lq, la = self.spoken(questions, [simplified(q) for q in questions]), self.spoken(answers, plain)
         asked = np.zeros(n)
-        for k, p in ASKS.items():
-            at = LANGUAGES.index(k)
-            asked += np.fromiter((p.search(q) is not None for q in questions), bool, n) * la[:, at]
+        for k in [k for k, q in enumerate(questions) if ASKS_ANY.search(q)]:
+            asked[k] = sum(la[k, LANGUAGES.index(name)] for name, p in ASKS.items() if p.search(questions[k]))
         fit = np.maximum((lq * la).sum(1), asked)
         dense[:, 30], dense[:, 31], dense[:, 32], dense[:, 33] = fit, 2 * (fit < 0.3), (fit < 0.3) * np.minimum(1.0, words / 8), 2 * (fit < 0.1)
         dense[:, 34] = la.max(1) * (1 - fit)
