@@ -9,14 +9,16 @@ classes of names, and one name per class gives the consistent table.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from skeinlog.operators.ordered import previous
 from skeinlog.runtime import cut
@@ -25,6 +27,8 @@ from skeinlog.runtime import cut
 SKETCH = 64
 #: Least score of a rename.
 RENAME = 0.5
+#: Most names of fields that are shipped to every task.
+NAMES = 200_000
 #: Profiles held by a task before they are passed on.
 HELD = 50_000
 
@@ -72,8 +76,8 @@ def fields_of(line: dict, prefix: str = "") -> Iterator[tuple[str, str, object]]
 
 def value_hash(kind: str, value: object) -> int:
     """A hash of a value that is equal for equal values of one type, whatever the order of an object's fields."""
-    text = value if kind == "string" else json.dumps(value, sort_keys=True)
-    return int.from_bytes(hashlib.blake2b(f"{kind}\x1e{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    text = value if kind == "string" else json.dumps(value, sort_keys=True) if kind in ("object", "array") else repr(value)
+    return xxhash.xxh64_intdigest(f"{kind}\x1e{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -368,15 +372,41 @@ def _field_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["line_id", "file_id", "store", "field", "value"])
 
 
-def unify(lines: DataFrame) -> DataFrame:
+def _renaming(known: dict[tuple[str, str], str]) -> Callable:
+    """A function over Arrow batches that gives each line's leaf values under the names of their classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = []
+            for store, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                best: dict[str, tuple[bool, str, str]] = {}
+                for field, kind, value in fields_of(read_object(raw) or {}):
+                    name = known.get((store, field)) if kind != "object" else None
+                    if name is not None:
+                        mine = (field == name, field, value if kind == "string" else json.dumps(value, ensure_ascii=False))
+                        best[name] = max(best[name], mine, key=lambda x: x[:2]) if name in best else mine
+                maps.append([(name, best[name][2]) for name in sorted(best)] or None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(maps, pa.map_(pa.string(), pa.string()))], names=["line_id", "file_id", "store", "digest", "fields"])
+
+    return run
+
+
+def unify(lines: DataFrame, most: int = NAMES) -> DataFrame:
     """``line_id, file_id, store, fields``: every valid line with its leaf values under consistent names.
 
     ``fields`` is a map from name to value, values that are no string as JSON text. Repeated lines count once.
-    Where one line has two fields of one class the value under the class's own name wins.
+    Where one line has two fields of one class the value under the class's own name wins. Up to ``most`` names are
+    shipped to where the lines are read, so that no leaf is shuffled; more are joined.
     """
     profiles = cut(profile(lines))
-    named = names(lines, changes(lines, profiles), profiles)
-    rows = lines.select("line_id", "file_id", "store", "raw").distinct().mapInPandas(_field_rows, FIELDS)
+    named = cut(names(lines, changes(lines, profiles), profiles))
+    picked = lines.select("line_id", "file_id", "store", "raw")
+    if named.count() <= most:
+        known = {(r["store"], r["field"]): r["name"] for r in named.collect()}
+        shape = picked.select("line_id", "file_id", "store", F.xxhash64("raw").alias("digest")).schema.add("fields", MapType(StringType(), StringType()))
+        mapped = picked.withColumn("digest", F.xxhash64("raw")).mapInArrow(_renaming(known), shape).where("fields is not null")
+        return mapped.dropDuplicates(["line_id", "file_id", "store", "digest"]).drop("digest")
+    rows = picked.distinct().mapInPandas(_field_rows, FIELDS)
     joined = rows.join(named.withColumnRenamed("store", "s").withColumnRenamed("field", "f"), (F.col("store") == F.col("s")) & (F.col("field") == F.col("f")))
     leaf = joined.groupBy("line_id", "file_id", "store", "name").agg(F.max_by("value", F.struct((F.col("field") == F.col("name")), F.col("field"))).alias("value"))
     return leaf.groupBy("line_id", "file_id", "store").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("fields"))

@@ -85,3 +85,11 @@ def test_sketches_are_compared_in_their_common_range():
     common, old, new = D.overlap_counts(values[100], values[400])
     assert common == old < new == D.SKETCH
     assert D.overlap_counts(values[50], values[50]) == (50, 50, 50)
+
+
+def test_both_ways_of_unifying(spark, data):
+    from skeinlog.operators.drift import unify
+
+    lines = spark.read.parquet(f"{data}/raw_lines.parquet")
+    ways = [sorted((r["line_id"], r["file_id"], sorted(r["fields"].items())) for r in unify(lines, most).collect()) for most in (200_000, 0)]
+    assert ways[0] == ways[1] and ways[0]
