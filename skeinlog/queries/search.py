@@ -439,3 +439,26 @@ def q_left_join_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["q_left_join_summary"] = q_left_join_summary
 SQL["q_left_join_summary"] = """WITH h AS (SELECT child_session_id AS sid, min(subagent_type) AS kind FROM grok_subagents WHERE child_session_id IS NOT NULL GROUP BY 1),
 p AS (SELECT DISTINCT row_id, session_id FROM grok_prompts WHERE row_id IS NOT NULL) SELECT coalesce(kind, 'none') AS kind, count(*) AS n FROM p LEFT JOIN h ON session_id = sid GROUP BY 1"""
+
+
+@_add("q_same_project", "SELECT doc_id FROM v WHERE branch = 'main' AND (repo = '/work/proj3' OR starts_with(repo, '/work/proj3/') OR cwd = '/work/proj3' OR starts_with(cwd, '/work/proj3/'))")
+def q_same_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlog.plans.origins import same_project
+
+    return records(spark, sf_dir).where(same_project({"repo": "/work/proj3", "branch": "MAIN"})).select("doc_id")
+
+
+def q_source_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version that each session file tells of its writer."""
+    from skeinlog.sources.projects import versions
+
+    return versions(table(spark, sf_dir, "raw_lines"), "file_id", "line_no", "raw")
+
+
+QUERIES["q_source_version"] = q_source_version
+SQL["q_source_version"] = """WITH j AS (SELECT file_id AS path, line_no, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS v FROM raw_lines WHERE file_id IS NOT NULL),
+h AS (SELECT path, line_no, coalesce(v->>'$.payload.cli_version', v->>'$.version', v->>'$.cli_version', v->>'$.appVersion') AS version,
+  CASE WHEN (v->>'$.payload') IS NOT NULL THEN 'envelope' WHEN (v->>'$.message') IS NOT NULL THEN 'message' WHEN (v->>'$.role') IS NOT NULL THEN 'role' WHEN v IS NOT NULL THEN 'object' END AS shape FROM j),
+f AS (SELECT path, arg_min(version, (line_no, version)) FILTER (version IS NOT NULL) AS version, arg_min(shape, (line_no, shape)) FILTER (shape IS NOT NULL) AS shape FROM h GROUP BY path)
+SELECT path, coalesce(version, shape) AS version, CASE WHEN version IS NOT NULL THEN 'embedded_metadata' WHEN shape IS NOT NULL THEN 'shape_inference' ELSE 'unknown' END AS method,
+  CASE WHEN version IS NOT NULL THEN 'high' WHEN shape IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM f"""

@@ -185,7 +185,7 @@ def found_messages(df: DataFrame, raw: str, keep: list[str]) -> DataFrame:
     return df.select(F.col(raw).alias("__raw"), *keep).mapInArrow(run, kind)
 
 
-def is_digest(text: Column, length: int = 64) -> Column:
+def is_digest(text: Column, length: int = 32) -> Column:
     """Whether a text is a digest of so many lower-case hexadecimal digits."""
     return F.coalesce(text.rlike(f"^[0-9a-f]{{{length}}}$"), F.lit(False))
 
