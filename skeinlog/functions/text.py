@@ -13,13 +13,20 @@ _ONE = {a: b for a, b in FOLDED.items() if len(b) == 1}
 _MANY = {a: b for a, b in FOLDED.items() if len(b) > 1}
 
 
-def fold(col: Column) -> Column:
-    """Case folding: lower case, and the letters of FOLDED; those that fold to several only where a text has one."""
+def fold(col: Column, needle: str | None = None) -> Column:
+    """Case folding: lower case, and the letters of FOLDED; those that fold to several only where a text has one.
+
+    With a folded ``needle`` that the result is searched for or compared with, letters whose folded forms have nothing
+    in common with it stay: they are in no match either way.
+    """
     out = F.translate(F.lower(col), "".join(_ONE), "".join(_ONE.values()))
+    many = {a: b for a, b in _MANY.items() if needle is None or set(b) & set(needle)}
+    if not many:
+        return out
     several = out
-    for a, b in _MANY.items():
+    for a, b in many.items():
         several = F.replace(several, F.lit(a), F.lit(b))
-    return F.when(out.rlike(f"[{''.join(_MANY)}]"), several).otherwise(out)
+    return F.when(out.rlike(f"[{''.join(many)}]"), several).otherwise(out)
 
 
 def fold_text(text: str) -> str:
@@ -53,7 +60,8 @@ def glob_regex(pattern: str) -> str:
 
 def matches(col: Column, value: str, case_sensitive: bool = False) -> Column:
     """Substring, or the whole where the value is a glob; null text does not match."""
-    side, needle = (col, value) if case_sensitive else (fold(col), fold_text(value))
+    needle = value if case_sensitive else fold_text(value)
+    side = col if case_sensitive else fold(col, None if is_glob(value) else needle)
     found = side.rlike(glob_regex(needle)) if is_glob(value) else F.contains(side, F.lit(needle))
     return F.coalesce(found, F.lit(False))
 

@@ -7,6 +7,8 @@ which of them count, and by how much.
 
 from __future__ import annotations
 
+from collections import Counter
+
 
 def _common(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
@@ -39,11 +41,21 @@ def partial_ratio(a: str, b: str) -> float:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
-    n, best, letters = len(a), 0.0, set(a)
+    n, best, own = len(a), 0.0, Counter(a)
+    inside: Counter[str] = Counter()
+    bound = 0  # letters that the window shares with the shorter text, whatever their order
     for at in range(1 - n, len(b)):
         lo, hi = max(0, at), min(len(b), at + n)
-        # The best alignment begins or ends on a letter of the shorter text.
-        if b[lo] in letters or b[hi - 1] in letters:
+        if at + n <= len(b):
+            c = b[hi - 1]
+            inside[c] += 1
+            bound += inside[c] <= own[c]
+        if at > 0:
+            c = b[at - 1]
+            bound -= inside[c] <= own[c]
+            inside[c] -= 1
+        # The best alignment begins or ends on a letter of the shorter text; and only a window that can be better is tried.
+        if 200.0 * bound / (n + hi - lo) > best and (b[lo] in own or b[hi - 1] in own):
             best = max(best, ratio(a, b[lo:hi]))
     return best
 

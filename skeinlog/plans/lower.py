@@ -86,8 +86,8 @@ def descends(path: Column, value: str) -> Column:
 
 def same_whole(col: Column, value: str) -> Column:
     """Equal but for case; a glob matches the whole value."""
-    side = fold(col)
-    return _sure(side.rlike(glob_regex(fold_text(value))) if is_glob(value) else side == fold_text(value))
+    needle = fold_text(value)
+    return _sure(fold(col).rlike(glob_regex(needle)) if is_glob(value) else fold(col, needle) == needle)
 
 
 def _origin(name: str) -> Column:
@@ -111,7 +111,7 @@ def in_scope(scope: str) -> Column:
 def term(text: str, case_sensitive: bool = False, columns: tuple[str, ...] = SURFACE) -> Column:
     """A substring in one of the columns; a glob is no wildcard here."""
     needle = text if case_sensitive else fold_text(text)
-    return _any([_sure(F.contains(F.col(c) if case_sensitive else fold(F.col(c)), F.lit(needle))) for c in columns])
+    return _any([_sure(F.contains(F.col(c) if case_sensitive else fold(F.col(c), needle), F.lit(needle))) for c in columns])
 
 
 def records(node: Node, case_sensitive: bool = False) -> Column:
