@@ -58,7 +58,8 @@ CARRIERS = [
     "curl -d 'phone={P}' localhost", "redact {I} in {f}", "delete the line with {A} from {f}", "the dump contains {P} and {I}", "Frau {N} wohnt in {A}", "mein Name ist {N}", "Bitte {N} anrufen: {P}", "Ansprechpartner ist {N}, E-Mail {E}", "Personalausweis {I}", "die Adresse lautet {A}", "Telefon {P}",
     "mon nom est {N}", "appelez {N} au {P}", "son adresse est {A}", "écrivez à {E}", "numéro de pièce {I}", "M. {N} a signalé le problème", "el cliente {N} vive en {A}", "llama a {N} al {P}", "mi correo es {E}", "documento {I} de {N}", "contacto: {N}, {E}",
     "I am {N}.", "This is {N} from support", "written by {N}", "{N}: looks good to me", "@{w} cc {N}", "{E}", "{P}", "{A}", "{I}", "{N}", "call me at {P} or write to {E}", "tell {N} that {w} broke", "{N} lives at {A}; phone {P}", "as discussed with {N}, the {c} moves to {f}", "ask {N}",
-    "{E} and {E}", "mail {E} or {E}", "{E}, {E}", "{P} or {P}", "{P} and {P}", "{I} and {I}", "{N} and {N}", "{N}, {N} and {N}", "both {A} and {A}", "{I}, {P}", "{P}; {I}", "{I} / {P} / {E}", "id {I}, tel {P}", "not {P} but {P}", "{E} or {P}", "user.name={N} user.email={E}", "--name \"{N}\" --mail {E}",
+    "{N} says it works", "{N} opened a ticket about {w}", "{N} merged {f}", "{N} broke the build, dial {P}", "{N} asked for this; {P}", "{N} noticed that {w} fails", "{N} wants {f} back", "{N} will ship the {c}", "{N} left a note: {P}", "{N} is on call, ring {P} when {w} stops", "{N} fixed {w}", "{N} moved to {A}", "{N} sent {E}", "{N} here, {w} fails", "{N} is out until {M}",
+    "Signed: {N} {E}", "{N} et {N}", "{N} a écrit {w}", "{N} hat {w} geändert", "{N} cambió {w}", "{N} demande {P}", "{N} / {E} / {P}", "{P} / {N}", "{E} and {E}", "mail {E} or {E}", "{E}, {E}", "{P} or {P}", "{P} and {P}", "{I} and {I}", "{N} and {N}", "{N}, {N} and {N}", "both {A} and {A}", "{I}, {P}", "{P}; {I}", "{I} / {P} / {E}", "id {I}, tel {P}", "not {P} but {P}", "{E} or {P}", "user.name={N} user.email={E}", "--name \"{N}\" --mail {E}",
 ]
 #: Sentences that hold none; fixed values.
 NOTHING = [
@@ -448,9 +449,11 @@ def train(data: str, out: str = MODEL, seed: int = 1, rounds: int = ROUNDS, star
 
 
 if __name__ == "__main__":
-    # The weights beside the model: 360 rounds, then 110, 90 and 45 more at lower rates.
+    # The weights beside the model: 360 rounds, then 110, 90, 45, 160 and 90 more at lower rates.
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     train(sys.argv[1])
     train(sys.argv[1], seed=2, rounds=110, start=MODEL, rate=0.005)
     train(sys.argv[1], seed=3, rounds=90, start=MODEL, rate=0.005)
     train(sys.argv[1], seed=4, rounds=45, start=MODEL, rate=0.004)
+    train(sys.argv[1], seed=5, rounds=160, start=MODEL, rate=0.008)
+    train(sys.argv[1], seed=6, rounds=90, start=MODEL, rate=0.006)
