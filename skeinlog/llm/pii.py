@@ -71,7 +71,9 @@ class Tagger:
         self.out = np.ascontiguousarray(weights["V"].transpose(0, 2, 1).astype(np.float32))  # (2, tags, h)
         self.bias = weights["b"].astype(np.float32)
         self.step = weights["A"].astype(np.float32)  # from, to
-        self.margin = 2 * float(self.step.max() - self.step.min())
+        # Most that transitions can gain by another tag in the place of "none", for each of these tags.
+        into, out_of = (self.step - self.step[:, :1]).max(0), (self.step - self.step[:1]).max(1)
+        self.margin = np.maximum(0, into + out_of)[1:].astype(np.float32)
 
     def scores(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Scores (place, tag, window) of windows of ``symbols``, which should be of similar length."""
@@ -107,13 +109,13 @@ class Tagger:
     def paths(self, score: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Best tags (place, text) of texts from their scores (place, tag, text).
 
-        Where "none" leads by more than two transitions can ever make up for, every best path passes through it.
+        Where "none" leads each tag by more than its two transitions can ever make up for, every best path passes through it.
         Only the stretches between such places are decoded, each from "none" to "none" but at the text's ends.
         """
         longest, _, n = score.shape
         out = np.zeros((longest, n), np.int8)
         free = np.zeros((n, longest + 1), np.int8)
-        free[:, :-1] = ((score[:, 0] - score[:, 1:].max(axis=1) < self.margin) & (np.arange(longest)[:, None] < size)).T
+        free[:, :-1] = (((score[:, 1:] + self.margin[:, None]).max(axis=1) >= score[:, 0]) & (np.arange(longest)[:, None] < size)).T
         edges = np.flatnonzero(np.diff(free.ravel(), prepend=0))
         begin, length = edges[::2], edges[1::2] - edges[::2]
         order = np.argsort(length, kind="stable")
