@@ -60,7 +60,8 @@ def visible(text: str) -> bool:
 
 def simplified(text: str) -> str:
     """Paths, names of code and numbers each as one sign."""
-    return _DIGITS.sub("9", _NAME.sub("‹", _PATH.sub("›", text)))
+    text = _NAME.sub("‹", _PATH.sub("›", text) if "/" in text else text)
+    return text if text.isalpha() else _DIGITS.sub("9", text)
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
@@ -120,7 +121,7 @@ def script_shares(texts: list[str]) -> np.ndarray:
 
 def triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Owner and hash of each letter triple of the prose in each text: code, names, paths and numbers left out."""
-    flat = [" " + _UNSPOKEN.sub(" ", _FENCED.sub(" ", s)).strip().lower() + " " for s in texts]
+    flat = [" " + _UNSPOKEN.sub(" ", _FENCED.sub(" ", s) if "```" in s else s).strip().lower() + " " for s in texts]
     points, size = _points(flat)
     return _grams(points, np.repeat(np.arange(len(texts)), size), 3, 7, LANGUAGE_BITS)
 
@@ -157,8 +158,8 @@ class Model:
         n = len(answers)
         plain = [simplified(a) for a in answers]
         found = [_TOKENS.findall(p) for p in plain]
-        number: dict[str, int] = {}
-        flat = np.fromiter((number.setdefault(t, len(number)) for tokens in found for t in tokens), np.int64)
+        number = {t: k for k, t in enumerate(set().union(*found))}
+        flat = np.array([number[t] for tokens in found for t in tokens], np.int64)
         codes = np.fromiter((zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) for t in number), np.uint64, len(number))
         all_codes = codes[flat] if len(flat) else np.zeros(0, np.uint64)
         size = np.fromiter(map(len, found), np.int64, n)
